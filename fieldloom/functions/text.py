@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from fieldloom import constants as K
 
 
+# --- Fixed values: the characters that count as blank at the ends of a text ---
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c) -> Column:
-    """Trim every Unicode blank at both ends (Spark's ``trim`` knows only the plain space)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim every Unicode blank at both ends (Spark's plain ``trim`` knows only the space)."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c) -> Column:
@@ -30,6 +35,11 @@ def contains_any(text, needles) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
 
 
+def fixed(number, digits) -> Column:
+    """Number with a set count of decimals, ties to even as in C and Python formatting."""
+    return F.call_function("format_number", number, F.lit("0." + "0" * digits))
+
+
 def head(array, n) -> Column:
     return F.slice(array, 1, n)
 
@@ -58,20 +68,10 @@ def basename(path) -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1)
 
 
-def last_wins(pairs) -> Column:
-    """Array of (key, value) structs to a map: first position of a key, last value of it."""
-    keys = F.transform(pairs, lambda p: p["key"])
-
-    def chosen(k):
-        at = F.size(keys) - F.array_position(F.reverse(keys), k) + 1
-        return F.struct(k.alias("key"), F.element_at(pairs, at.cast("int"))["value"].alias("value"))
-
-    return F.map_from_entries(F.transform(F.array_distinct(keys), chosen))
-
-
-def pair(key, value) -> Column:
-    key = F.lit(key) if isinstance(key, str) else key
-    return F.struct(key.alias("key"), value.cast("string").alias("value"))
+def last_at(keys, k) -> Column:
+    """0-based position of the last ``k`` in an array, NULL when absent."""
+    from_end = F.array_position(F.reverse(keys), k)
+    return F.when(from_end > 0, F.size(keys) - from_end).cast("int")
 
 
 def json_span(text) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import constants as K
-from fieldloom.functions.text import ellipsis, filled, head, is_blank, preview
+from fieldloom.functions.text import ellipsis, filled, fixed, head, is_blank, preview, strip
 
 
 def row_text(metadata) -> Column:
@@ -124,7 +124,7 @@ def pair_description(a, b, similarity) -> Column:
 
     Struct fields: type, content, metadata, functional_areas, key_terms, pages.
     """
-    lead = F.format_string("%s (%.3f) between '%s' and '%s'", similarity_band(similarity), similarity,
+    lead = F.format_string("%s (%s) between '%s' and '%s'", similarity_band(similarity), fixed(similarity, 3),
                            short_description(a), short_description(b))
     areas = F.array_sort(F.array_intersect(a["functional_areas"], b["functional_areas"]))
     terms = head(F.array_sort(F.array_intersect(a["key_terms"], b["key_terms"])), 3)
@@ -148,7 +148,6 @@ def pair_summary(a, b) -> Column:
 
 def merged_terms(*arrays) -> Column:
     """Terms from several lists: trimmed, non-empty, distinct, in value order."""
-    from fieldloom.functions.text import strip
     none = F.expr("cast(array() as array<string>)")
     every = F.concat(*[F.coalesce(a, none) for a in arrays])
     return F.array_sort(F.array_distinct(F.filter(F.transform(every, strip), filled)))

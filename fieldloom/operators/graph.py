@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import constants as K
-from fieldloom.functions.text import preview
+from fieldloom.functions.text import fixed, preview
 
 NO_ATTRS = "cast(map() as map<string,string>)"
 
@@ -176,8 +176,8 @@ def node_presentation(nodes: DataFrame, size_attribute=None) -> DataFrame:
 
 def edge_presentation(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", F.format_string(
-        "%s --[%s(%.2f)]--> %s", "src", F.coalesce("relationship_type", F.lit("unknown")),
-        F.coalesce("weight", F.lit(1.0)), "dst").alias("label"))
+        "%s --[%s(%s)]--> %s", "src", F.coalesce("relationship_type", F.lit("unknown")),
+        fixed(F.coalesce("weight", F.lit(1.0)), 2), "dst").alias("label"))
 
 
 def similarity_edges(pairs: DataFrame, kind="semantic_similarity") -> DataFrame:

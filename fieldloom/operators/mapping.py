@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import constants as K
-from fieldloom.functions.text import contains_any, filled, is_blank, last_wins, pair, plain_spaces, strip
+from fieldloom.functions.text import contains_any, filled, is_blank, last_at, plain_spaces, strip
 
 NORMAL_COLUMNS = [name for name, _ in K.HEADER_RULES]
 
@@ -22,18 +22,41 @@ def normal_name(header) -> Column:
     return chain.otherwise(F.replace(low, F.lit(" "), F.lit("_")))
 
 
-def cell_pairs(header, cells) -> Column:
-    """Zip a header array with a cell array into trimmed (key, value) structs; blank headers drop out."""
-    zipped = F.zip_with(
-        header, cells,
-        lambda h, v: F.struct(strip(h).alias("key"), F.coalesce(strip(v), F.lit("")).alias("value")),
-    )
-    # the header decides the width: short rows are filled, longer rows lose the surplus
-    return F.filter(zipped, lambda p: filled(p["key"]))
+# --- Fixed values: names the parser itself adds to a row; a header of that name gives way ---
+ROW_KEYS = ["_row_number", "_source_file"]
+MAPPING_KEYS = ROW_KEYS + ["_mapping_type", "_has_source_table", "_has_target_field", "_has_transformation", "_mapping_relationship"]
+
+
+def layouts(rows: DataFrame, mapping: bool, strict_compat: bool = False) -> DataFrame:
+    """What each distinct header means, worked out once per header instead of once per row.
+
+    ``keys``/``at``: distinct map keys in order of first appearance and the cell each one takes its
+    value from (the last of that name). ``at_<column>``: cell of each normalised mapping column.
+    """
+    names = F.transform("header", lambda h: strip(h if strict_compat or not mapping else plain_spaces(h)))
+    made = rows.select("header").distinct().withColumn("_names", names)
+    made = made.withColumn("_norm", F.transform("_names", lambda n: F.when(n != "", normal_name(n)).otherwise("")))
+    every = F.concat("_names", "_norm") if mapping else F.col("_names")
+    made = made.withColumn("_every", every)
+    reserved = F.array(*[F.lit(k) for k in (MAPPING_KEYS if mapping else ROW_KEYS)])
+    keys = F.filter(F.array_distinct("_every"), lambda k: (k != "") & ~F.array_contains(reserved, k))
+    made = made.withColumn("keys", keys).withColumn(
+        "at", F.transform("keys", lambda k: F.pmod(last_at(F.col("_every"), k), F.size("header"))))
+    found = [last_at(F.col("_norm"), F.lit(c)).alias(f"at_{c}") for c in NORMAL_COLUMNS] if mapping else []
+    return made.select("header", "keys", "at", *found)
 
 
-def row_map(header, cells) -> Column:
-    return last_wins(cell_pairs(header, cells))
+def cell_map(keys, at, cells) -> Column:
+    """Map of header names to cell values; a cell the row does not have is empty."""
+    return F.map_from_arrays(keys, F.transform(at, lambda i: F.coalesce(F.get(cells, i), F.lit(""))))
+
+
+def row_maps(rows: DataFrame) -> DataFrame:
+    """Plain rows (header, cells) to a ``metadata`` map with row number and file."""
+    tidy = rows.withColumn("cells", F.transform("cells", strip)).join(layouts(rows, False), "header")
+    own = F.create_map(F.lit("_row_number"), F.col("row_number").cast("string"), F.lit("_source_file"), F.col("source_file"))
+    return tidy.withColumn("metadata", F.map_concat(cell_map(F.col("keys"), F.col("at"), F.col("cells")), own)).drop(
+        "header", "cells", "keys", "at")
 
 
 def drop_blank_rows(rows: DataFrame, cells="cells") -> DataFrame:
@@ -67,20 +90,18 @@ def normalise_rows(rows: DataFrame, strict_compat: bool = False) -> DataFrame:
     ``strict_compat`` keeps no-break spaces in headers and values; by default they become plain
     spaces before the header rules look at them.
     """
-    tidy = rows if strict_compat else rows.withColumn(
-        "header", F.transform("header", plain_spaces)).withColumn("cells", F.transform("cells", plain_spaces))
-    tidy = drop_blank_rows(tidy).withColumn("_raw", cell_pairs(F.col("header"), F.col("cells")))
-    tidy = tidy.withColumn("_norm", F.transform(
-        "_raw", lambda p: F.struct(normal_name(p["key"]).alias("key"), p["value"].alias("value"))))
-    tidy = tidy.withColumn("_by_name", last_wins(F.col("_norm")))
+    tidy = drop_blank_rows(rows).withColumn(
+        "cells", F.transform("cells", lambda v: strip(v if strict_compat else plain_spaces(v))))
+    tidy = tidy.join(layouts(rows, True, strict_compat), "header")
     for name in NORMAL_COLUMNS:
-        tidy = tidy.withColumn(name, F.coalesce(F.element_at("_by_name", F.lit(name)), F.lit("")))
+        tidy = tidy.withColumn(name, F.coalesce(F.get("cells", F.col(f"at_{name}")), F.lit("")))
     tidy = tidy.withColumns({
         "has_source_table": F.col("source_table") != "",
         "has_target_field": F.col("target_field") != "",
         "has_transformation": F.col("transformation_rule") != "",
     })
-    return with_relationship(tidy).withColumn("metadata", _metadata()).drop("_raw", "_norm", "_by_name", "header", "cells")
+    return with_relationship(tidy).withColumn("metadata", _metadata()).drop(
+        "header", "cells", "keys", "at", *[f"at_{c}" for c in NORMAL_COLUMNS])
 
 
 def with_relationship(rows: DataFrame) -> DataFrame:
@@ -105,17 +126,13 @@ def _metadata() -> Column:
         F.lit("{"),
         F.concat_ws(", ", *[F.concat(F.lit(f"'{p}': "), _py_text(rel[p])) for p in parts]),
         F.lit("}"))
-    fixed = F.array(
-        pair("_row_number", F.col("row_number")),
-        pair("_source_file", F.col("source_file")),
-        pair("_mapping_type", F.lit("data_mapping")),
-        pair("_has_source_table", flag("has_source_table")),
-        pair("_has_target_field", flag("has_target_field")),
-        pair("_has_transformation", flag("has_transformation")),
-    )
-    nested = F.when(rel.isNotNull(), F.array(pair("_mapping_relationship", shown))).otherwise(
-        F.expr("cast(array() as array<struct<key:string,value:string>>)"))
-    return last_wins(F.concat("_raw", "_norm", fixed, nested))
+    own = [F.col("row_number").cast("string"), F.col("source_file"), F.lit("data_mapping"),
+           flag("has_source_table"), flag("has_target_field"), flag("has_transformation")]
+    fixed = [x for k, v in zip(MAPPING_KEYS, own) for x in (F.lit(k), v)]
+    nested = F.create_map(F.lit(MAPPING_KEYS[-1]), shown)
+    none = F.expr("cast(map() as map<string,string>)")
+    return F.map_concat(cell_map(F.col("keys"), F.col("at"), F.col("cells")), F.create_map(*fixed),
+                        F.when(rel.isNotNull(), nested).otherwise(none))
 
 
 def resolve_source_column(metadata) -> Column:

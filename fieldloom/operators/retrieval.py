@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import preview
+from fieldloom.functions.text import fixed, preview
 from fieldloom.operators.graph import both_ways
 from fieldloom.operators.mapping import field_lineage, mapping_relationships
 
@@ -26,7 +26,7 @@ def graph_context(hits: DataFrame, edges: DataFrame, documents: DataFrame, top=3
 def context_text(hits: DataFrame, related: DataFrame, chars=1000) -> DataFrame:
     """Context per query: each hit's header and text in rank order, then the related documents."""
     found = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(
-        F.format_string("\n--- Document %s (similarity: %.3f) ---\n", F.col("id").cast("string"), "similarity"),
+        F.format_string("\n--- Document %s (similarity: %s) ---\n", F.col("id").cast("string"), fixed(F.col("similarity"), 3)),
         preview(F.col("document"), chars)).alias("text")))).alias("h"))
     around = related.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "n", F.concat(F.lit("\n"), "content", F.lit("\n")).alias("text")))).alias("r"))

@@ -84,7 +84,8 @@ def _nearest_batch(collection, batch, n, metric):
                 if metric == "cosine":
                     dist = 1.0 - vecs @ target.T
                 else:
-                    dist = (vecs ** 2).sum(1)[:, None] + (target ** 2).sum(1)[None, :] - 2.0 * (vecs @ target.T)
+                    dist = np.maximum(
+                        0.0, (vecs ** 2).sum(1)[:, None] + (target ** 2).sum(1)[None, :] - 2.0 * (vecs @ target.T))
                 names = np.repeat(own[:, None], dist.shape[1], axis=1)
                 if kept[k] is not None:
                     dist, names = np.vstack([kept[k][0], dist]), np.vstack([kept[k][1], names])

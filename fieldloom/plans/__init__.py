@@ -1,0 +1,6 @@
+"""Registered queries over the given tables."""
+
+from fieldloom.plans import mapping_queries, source_queries  # noqa: F401
+from fieldloom.plans.registry import CHECKS, QUERIES
+
+__all__ = ["CHECKS", "QUERIES"]

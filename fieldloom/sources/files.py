@@ -5,10 +5,14 @@ from pyspark.sql import functions as F
 
 from fieldloom import constants as K
 from fieldloom.functions.numbering import number_rows
-from fieldloom.functions.text import basename, contains_any, last_wins, pair, preview
-from fieldloom.operators.mapping import normalise_rows, row_map
+from fieldloom.functions.text import basename, contains_any, preview
+from fieldloom.operators.mapping import normalise_rows, row_maps
+from fieldloom.session import materialise
 
 SAMPLE_CHARS, SAMPLE_LINES = 1024, 5
+MAX_NAMED_FILES = 10_000
+CELL_SCHEMA = ("path string, source_file string, row_number bigint, header array<string>, "
+               "cells array<string>, is_mapping boolean")
 
 
 def file_class(path) -> Column:
@@ -51,23 +55,26 @@ def _folder(spark, kind, path, **options):
 
 
 def csv_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: delimiter and mapping-sheet flag, from its first lines only.
+    """Per file: delimiter, mapping-sheet flag and an upper bound of its columns, from its first lines.
 
     The first lines of a file all lie in its first block, in order, so a partial top-n per file
     (WindowGroupLimit) is all that reaches the shuffle.
     """
     lines = _folder(spark, "text", path, lineSep="\n", pathGlobFilter="*.csv").select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
-        preview(F.col("value"), SAMPLE_CHARS).alias("line"), F.monotonically_increasing_id().alias("_at"))
+        F.col("value"), F.monotonically_increasing_id().alias("_at"))
     ordered = Window.partitionBy("path").orderBy("_at")
     first = (lines.where("_block = 0").withColumn("_n", F.row_number().over(ordered))
              .where(F.col("_n") <= SAMPLE_CHARS))
-    gathered = first.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("_n", "line"))).alias("_lines"))
+    one = F.struct("_n", preview(F.col("value"), SAMPLE_CHARS).alias("line"))
+    gathered = first.groupBy("path").agg(
+        F.array_sort(F.collect_list(one)).alias("_lines"),
+        F.min_by("value", "_n").alias("_first"))
     texts = F.transform("_lines", lambda x: x["line"])
-    return gathered.select(
-        "path",
-        delimiter_of(preview(F.array_join(texts, "\n"), SAMPLE_CHARS)).alias("delimiter"),
+    profile = gathered.select(
+        "path", "_first", delimiter_of(preview(F.array_join(texts, "\n"), SAMPLE_CHARS)).alias("delimiter"),
         is_mapping_sheet(F.slice(texts, 1, SAMPLE_LINES)).alias("is_mapping"))
+    return profile.withColumn("columns", F.size(F.split("_first", F.col("delimiter")))).drop("_first")
 
 
 def _numbered(raw: DataFrame) -> DataFrame:
@@ -83,39 +90,40 @@ def _numbered(raw: DataFrame) -> DataFrame:
         "_row", F.col("_at") - F.col("_lo") + F.col("_offset") + 1).drop("_lo", "_offset")
 
 
-def read_csv_cells(spark: SparkSession, path: str, max_columns: int = 256) -> DataFrame:
+def read_csv_cells(spark: SparkSession, path: str, max_columns: int | None = None) -> DataFrame:
     """Every CSV under ``path`` as (path, source_file, row_number, header, cells, is_mapping).
 
     Files may differ in delimiter, header and width: rows are read headerless with a wide
-    all-string schema, and row 1 of each file becomes that file's header. ``max_columns`` only
-    bounds the schema; a file with more columns fails the read instead of losing columns.
+    all-string schema, and row 1 of each file becomes that file's header. The schema is as wide as
+    the widest first line (or ``max_columns``); a header wider than that fails the read instead of
+    losing columns.
     """
-    profile = csv_profile(spark, path)
-    kinds = [r["delimiter"] for r in profile.select("delimiter").distinct().collect()]  # at most three
-    schema = ", ".join(f"c{i} string" for i in range(max_columns + 1))
-    frames = []
-    for delimiter in sorted(kinds):
-        raw = spark.read.schema(schema).options(
-            sep=delimiter, multiLine=True, quote='"', escape='"', recursiveFileLookup=True,
-            pathGlobFilter="*.csv", encoding="UTF-8").csv(path)
-        cells = F.array(*[F.col(f"c{i}") for i in range(max_columns)])
+    profile = materialise(csv_profile(spark, path), "profile")
+    # at most three groups of files, one per delimiter
+    kinds = profile.groupBy("delimiter").agg(F.max("columns").alias("columns"), F.count("*").alias("files")).collect()
+    if not kinds:
+        return spark.createDataFrame([], CELL_SCHEMA)
+    body = None
+    for kind in sorted(kinds, key=lambda k: k["delimiter"]):
+        mine = profile.where(F.col("delimiter") == kind["delimiter"])
+        # few files are named to the reader; beyond that the folder is scanned and joined
+        where = [r["path"] for r in mine.select("path").collect()] if kind["files"] <= MAX_NAMED_FILES else path
+        width = max_columns or kind["columns"]
+        raw = spark.read.schema(", ".join(f"c{i} string" for i in range(width + 1))).options(
+            sep=kind["delimiter"], multiLine=True, quote='"', escape='"', recursiveFileLookup=True,
+            pathGlobFilter="*.csv", encoding="UTF-8").csv(where)
         raw = raw.select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_at"), cells.alias("cells"),
-            F.col(f"c{max_columns}").alias("_surplus"))
-        frames.append(_numbered(raw).join(profile.where(F.col("delimiter") == delimiter), "path"))
-    if not frames:
-        return spark.createDataFrame(
-            [], "path string, source_file string, row_number bigint, header array<string>, cells array<string>, is_mapping boolean")
-    rows = frames[0]
-    for other in frames[1:]:
-        rows = rows.unionByName(other)
-    header = rows.where("_row = 1").select("path", _header_cells("cells", max_columns).alias("header"))
-    body = rows.where("_row > 1").join(header, "path")
-    # a row longer than its header loses the surplus cells
-    return body.select(
-        "path", basename(F.col("path")).alias("source_file"), (F.col("_row") - 1).alias("row_number"),
-        "header", F.slice("cells", 1, F.greatest(F.size("header"), F.lit(1))).alias("cells"), "is_mapping")
+            F.monotonically_increasing_id().alias("_at"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
+            F.col(f"c{width}").alias("_surplus"))
+        rows = _numbered(raw).join(mine.select("path", "is_mapping"), "path")
+        header = rows.where("_row = 1").select("path", _header_cells("cells", width).alias("header"))
+        one = rows.where("_row > 1").join(header, "path").select(
+            "path", basename(F.col("path")).alias("source_file"), (F.col("_row") - 1).alias("row_number"),
+            # a row longer than its header loses the surplus cells
+            "header", F.slice("cells", 1, F.size("header")).alias("cells"), "is_mapping")
+        body = one if body is None else body.unionByName(one)
+    return body
 
 
 def _header_cells(cells, max_columns) -> Column:
@@ -129,12 +137,8 @@ def _header_cells(cells, max_columns) -> Column:
 def parse_csv(spark: SparkSession, path: str, strict_compat: bool = False):
     """All CSVs under ``path``: (plain rows, mapping rows), each with a string ``metadata`` map."""
     cells = read_csv_cells(spark, path)
-    plain = cells.where(~F.col("is_mapping")).select(
-        "path", "source_file", "row_number",
-        last_wins(F.concat(
-            F.map_entries(row_map(F.col("header"), F.col("cells"))),
-            F.array(pair("_row_number", F.col("row_number")), pair("_source_file", F.col("source_file"))))).alias("metadata"))
-    return plain, normalise_rows(cells.where("is_mapping"), strict_compat)
+    return (row_maps(cells.where(~F.col("is_mapping"))).drop("is_mapping"),
+            normalise_rows(cells.where("is_mapping"), strict_compat).drop("is_mapping"))
 
 
 def parse_mapping_csv(spark: SparkSession, path: str, strict_compat: bool = False) -> DataFrame:
