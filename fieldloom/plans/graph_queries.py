@@ -183,8 +183,8 @@ def _path_edges(spark, sf_dir):
 @query("gr3_simple_paths", f"""WITH RECURSIVE {B.PLACE}, e AS (SELECT src, dst FROM place UNION SELECT 'customer_' || o_custkey, 'order_' || o_orderkey FROM orders
   UNION SELECT 'order_' || l_orderkey, 'part_' || l_partkey FROM lineitem UNION SELECT 'supplier_' || l_suppkey, 'part_' || l_partkey FROM lineitem),
   u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-  w(at, path, hops) AS (SELECT 'customer_0', ['customer_0'], 0 UNION ALL SELECT b, list_append(path, b), hops + 1 FROM w JOIN u ON a = at WHERE hops < 4 AND at <> 'supplier_0' AND NOT list_contains(path, b))
-SELECT array_to_string(path, '>') AS path, hops FROM w WHERE at = 'supplier_0'""")
+  w(here, path, hops) AS (SELECT 'customer_0', ['customer_0'], 0 UNION ALL SELECT b, list_append(path, b), hops + 1 FROM w JOIN u ON a = here WHERE hops < 4 AND here <> 'supplier_0' AND NOT list_contains(path, b))
+SELECT array_to_string(path, '>') AS path, hops FROM w WHERE here = 'supplier_0'""")
 def gr3(spark, sf_dir):
     found = GA.simple_paths(_path_edges(spark, sf_dir), "customer_0", "supplier_0", 4)
     return found.select(F.array_join("path", ">").alias("path"), "hops")
