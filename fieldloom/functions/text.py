@@ -54,14 +54,20 @@ def ellipsis(c, limit) -> Column:
     return F.when(F.length(c) > limit, F.concat(preview(c, limit - 3), F.lit("..."))).otherwise(c)
 
 
+def _pattern(pattern, flags="") -> str:
+    """Blanks of any script count as blanks, as in the patterns' origin; costs time, so only where asked for."""
+    flags += "U" if r"\s" in pattern else ""
+    return f"(?{flags}){pattern}" if flags else pattern
+
+
 def first_match(text, patterns, flags="") -> Column:
     """First capture group of the first pattern that matches, else the empty string."""
-    tries = [F.nullif(F.regexp_extract(text, f"(?U{flags}){p}", 1), F.lit("")) for p in patterns]
+    tries = [F.nullif(F.regexp_extract(text, _pattern(p, flags), 1), F.lit("")) for p in patterns]
     return F.coalesce(*tries, F.lit(""))
 
 
 def all_matches(text, pattern, group=0, flags="") -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?U{flags}){pattern}"), F.lit(group))
+    return F.regexp_extract_all(text, F.lit(_pattern(pattern, flags)), F.lit(group))
 
 
 def basename(path) -> Column:
@@ -98,29 +104,31 @@ def chunks(text, size=K.CHUNK_SIZE, overlap=K.CHUNK_OVERLAP, keep=K.CHUNK_BREAK)
     if least <= overlap:
         raise ValueError("overlap must be smaller than the shortest chunk")
     text = F.col(text) if isinstance(text, str) else text
-    length = F.length(text)
-    blank = F.expr("cast(array() as array<struct<at:int,n:int>>)")
-    start = F.struct(F.lit(0).alias("pos"), blank.alias("cuts"))
+    none = F.expr("cast(array() as array<string>)")
+    start = F.struct(F.lit(0).alias("pos"), F.length(text).alias("chars"), none.alias("made"))
+
+    def let(value, body):
+        return F.element_at(F.transform(F.array(value), body), 1)
 
-    def cut_at(pos):
-        window = F.substring(text, pos + 1, F.lit(size))
-        from_end = F.instr(F.reverse(window), " ")
-        usable = (pos + size < length) & (from_end > 0) & (F.length(window) - from_end > size * keep)
-        return F.when(usable, F.length(window) - from_end).otherwise(F.lit(size))
+    def cut(state, window, tail):
+        # tail: characters after the window's last space; a cut there must leave the window long enough
+        last_space = F.length(window) - tail - 1
+        cuts = (state["pos"] + size < state["chars"]) & (last_space > size * keep)
+        return F.when(cuts, last_space).otherwise(F.lit(size))
 
-    def grow(state, n):
+    def grow(state, window, n):
         return F.struct(
-            (state["pos"] + n - overlap).alias("pos"),
-            F.concat(state["cuts"], F.array(F.struct(state["pos"].alias("at"), n.alias("n")))).alias("cuts"),
-        )
+            (state["pos"] + n - overlap).alias("pos"), state["chars"].alias("chars"),
+            F.concat(state["made"], F.array(strip(F.substring(window, 1, n)))).alias("made"))
 
     def step(state, _):
-        return F.when(state["pos"] >= length, state).otherwise(
-            F.element_at(F.transform(F.array(cut_at(state["pos"])), lambda n: grow(state, n)), 1)
-        )
+        def cut_window(window):
+            tail = F.length(F.substring_index(window, " ", -1))
+            return let(cut(state, window, tail), lambda n: grow(state, window, n))
 
-    def finish(state):
-        return F.transform(state["cuts"], lambda c: strip(F.substring(text, c["at"] + 1, c["n"])))
+        return F.when(state["pos"] >= state["chars"], state).otherwise(
+            let(F.substring(text, state["pos"] + 1, F.lit(size)), cut_window))
 
-    rounds = F.sequence(F.lit(0), F.ceil(length / (least - overlap)).cast("int"))
-    return F.when(length <= size, F.array(text)).otherwise(F.aggregate(rounds, start, step, finish))
+    rounds = F.sequence(F.lit(0), F.ceil(F.length(text) / (least - overlap)).cast("int"))
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(
+        F.aggregate(rounds, start, step, lambda state: state["made"]))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from fieldloom import constants as K
 from fieldloom.functions.text import (
-    all_matches, chunks, contains_any, ellipsis, filled, first_match, head, is_blank, preview, strip)
+    all_matches, chunks, contains_any, ellipsis, filled, first_match, head, preview, strip)
+from fieldloom.session import spread
 
 SAMPLE = 200
 
@@ -13,14 +14,14 @@ SAMPLE = 200
 def chunk_documents(documents: DataFrame, size=K.CHUNK_SIZE, overlap=K.CHUNK_OVERLAP) -> DataFrame:
     """Chunk rows (source_file, chunk_id from 0, chunk) of full texts (source_file, text)."""
     others = [c for c in documents.columns if c != "text"]
-    return documents.select(*others, F.posexplode(chunks("text", size, overlap)).alias("chunk_id", "chunk"))
+    return spread(documents).select(*others, F.posexplode(chunks("text", size, overlap)).alias("chunk_id", "chunk"))
 
 
 def chunk_analysis(chunk) -> Column:
     """Struct of content type, codes, areas, key terms and description of a chunk."""
     chunk = F.col(chunk) if isinstance(chunk, str) else chunk
     low = F.lower(chunk)
-    lines = F.split(chunk, "\n")
+    lines = F.split(chunk, "\n", 6)  # the first five, and the rest unsplit
     is_table = contains_any(low, K.DICTIONARY_WORDS)
     codes = F.concat(*[head(all_matches(chunk, p), 5) for p in K.CODE_PATTERNS])
     areas = F.concat(*[all_matches(low, p, 1, "i") for p in K.CHUNK_AREA_PATTERNS])
@@ -143,6 +144,3 @@ def inventory_counts(inventory: DataFrame) -> DataFrame:
     kinds = {"functions": "function", "classes": "class", "imports": "import", "variables": "variable"}
     return inventory.groupBy("path").agg(*[F.count_if(F.col("kind") == v).alias(k) for k, v in kinds.items()])
 
-
-def non_blank(df: DataFrame, column="text") -> DataFrame:
-    return df.where(~is_blank(F.col(column)))

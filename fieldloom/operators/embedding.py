@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.text import is_blank
+from fieldloom.session import spread
 
 
 def fit_text_vectors(documents: DataFrame, dim: int = 256):
@@ -17,14 +18,14 @@ def fit_text_vectors(documents: DataFrame, dim: int = 256):
     counts = HashingTF(numFeatures=dim, inputCol="_tokens", outputCol="_tf")
 
     def tokens(df):
-        words = F.filter(F.split(F.lower("content"), r"(?U)[^\p{L}\p{N}_]+"), lambda w: w != "")
+        words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
         return df.withColumn("_tokens", F.coalesce(words, F.expr("cast(array() as array<string>)")))
 
-    weights = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(tokens(documents.select("content"))))
+    weights = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(tokens(spread(documents.select("content")))))
     unit = Normalizer(inputCol="_idf", outputCol="_unit")
 
     def embed(df: DataFrame) -> DataFrame:
-        made = unit.transform(weights.transform(counts.transform(tokens(df))))
+        made = unit.transform(weights.transform(counts.transform(tokens(spread(df)))))
         vector = vector_to_array("_unit", "float32")
         return made.withColumn("embedding", F.when(~is_blank(F.col("content")), vector)).drop("_tokens", "_tf", "_idf", "_unit")
 

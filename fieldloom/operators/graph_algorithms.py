@@ -1,6 +1,6 @@
 """Iterative graph operators. The driver keeps only loop counters; every round is a table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldloom.operators.graph import both_ways, endpoints
@@ -95,28 +95,31 @@ def simple_paths(edges: DataFrame, source, target, max_length: int = 5) -> DataF
     A breadth-first pass from the target first finds how far each node is from it; the forward pass
     then extends a path only to nodes from which the target is still within reach.
     """
-    links = both_ways(edges.where("src <> dst")).distinct()
+    stored = materialise(edges.where("src <> dst").select("src", "dst"), "links")
     spark = edges.sparkSession
     id_type = dict(edges.dtypes)["src"]
+    # the moving side is small and of known size, so a step is one scan of the edges, not their shuffle
+    links = both_ways(stored)
     far = spark.createDataFrame([(target, 0)], f"id {id_type}, hops int")
     border = far
     for hop in range(1, max_length):
-        step = border.join(links, border["id"] == links["a"]).select(F.col("b").alias("id")).distinct()
+        step = links.join(border, links["a"] == border["id"]).select(F.col("b").alias("id")).distinct()
         border = materialise(step.join(far.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)), "reach")
         if border.isEmpty():
             break
         far = far.unionByName(border)
     far = materialise(far, "reach")
-    useful = links.join(far.select(F.col("id").alias("b"), "hops"), "b")
-    paths = spark.createDataFrame([(source, [source])], f"at {id_type}, path array<{id_type}>")
+    paths = spark.createDataFrame([(source, [source])], f"here {id_type}, path array<{id_type}>")
     found = None
     for length in range(1, max_length + 1):
-        grown = paths.join(useful.where(F.col("hops") <= max_length - length), paths["at"] == F.col("a")).where(
-            ~F.array_contains("path", F.col("b"))).select(F.col("b").alias("at"), F.array_append("path", F.col("b")).alias("path"))
+        grown = links.join(paths, F.col("a") == F.col("here")).where(~F.array_contains("path", F.col("b")))
+        near = far.where(F.col("hops") <= max_length - length).select(F.col("id").alias("b"))
+        grown = grown.join(near, "b", "left_semi").select(
+            F.col("b").alias("here"), F.array_append("path", F.col("b")).alias("path")).distinct()
         grown = materialise(grown, "paths")
-        done = grown.where(F.col("at") == target).select("path", F.lit(length).alias("hops"))
+        done = grown.where(F.col("here") == target).select("path", F.lit(length).alias("hops"))
         found = done if found is None else found.unionByName(done)
-        paths = grown.where(F.col("at") != target)
+        paths = grown.where(F.col("here") != target)
         if paths.isEmpty():
             break
     return found if source != target else found.where(F.lit(False))
@@ -165,12 +168,13 @@ def betweenness(nodes: DataFrame, edges: DataFrame, source_batches: int = 1) ->
     return nodes.select("id").join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, classes: int = 4, max_rounds: int = 100) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Communities by neighbour majority (id, community).
 
-    Nodes are updated one hash class at a time, as two neighbours updated at once could swap labels
-    forever; classes are drawn anew each round. A node keeps its label while that is among the most
-    frequent around it, else takes the smallest of those. Done when no node would change.
+    A node keeps its label while that is among the most frequent around it, else it wants the
+    smallest of those. Two neighbours that change at once could swap labels forever, so of two that
+    want to change only the one with the larger hash, drawn anew each round, does. Done when no node
+    wants to change.
     """
     links = materialise(both_ways(edges.where("src <> dst")).distinct(), "links")
     labels = materialise(nodes.select("id", F.col("id").alias("label")), "labels")
@@ -180,13 +184,15 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, classes: int = 4, max_
         best = votes.join(own, "a").groupBy("a").agg(
             F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("choice"), F.max("n").alias("most"),
             F.max(F.when(F.col("label") == F.col("own"), F.col("n"))).alias("own_n"))
-        moves = materialise(best.where("own_n is null or own_n < most").select(F.col("a").alias("id"), "choice"), "moves")
-        if moves.isEmpty():
+        wish = materialise(best.where("own_n is null or own_n < most").select(
+            F.col("a").alias("id"), "choice", F.xxhash64("a", F.lit(turn)).alias("draw")), "moves")
+        if wish.isEmpty():
             break
-        # no link inside a class may move at both ends: of two movers of a class the hash decides
-        due = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(classes)) == turn % classes
-        labels = materialise(labels.join(moves, "id", "left").select(
-            "id", F.when(due & F.col("choice").isNotNull(), F.col("choice")).otherwise(F.col("label")).alias("label")), "labels")
+        rival = links.join(wish.select(F.col("id").alias("a"), F.col("draw").alias("mine")), "a").join(
+            wish.select(F.col("id").alias("b"), F.col("draw").alias("theirs")), "b").where("theirs > mine")
+        moves = wish.join(rival.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+        labels = materialise(labels.join(moves.select("id", "choice"), "id", "left").select(
+            "id", F.coalesce("choice", "label").alias("label")), "labels")
     return _smallest_id(labels, "label")
 
 
@@ -215,7 +221,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
 def louvain(nodes: DataFrame, edges: DataFrame, max_levels: int = 10, max_moves: int = 12, least_gain: float = 1e-6) -> DataFrame:
     """Communities by modularity: rounds of local moves, then contraction, until nothing is gained.
 
-    In one round half of the nodes (by hash, drawn anew) may move to the neighbouring community
+    In one round half of the nodes (the halves take turns) may move to the neighbouring community
     with the largest gain; a round that lowers modularity is undone and ends the level.
     """
     weight = F.coalesce("weight", F.lit(1.0))
@@ -232,6 +238,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, max_levels: int = 10, max_moves:
         loops = both_ways(graph, F.col("weight"))
         degree = materialise(loops.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")), "degree")
         links = materialise(loops.where("a <> b"), "links")
+        idle = False
         for turn in range(max_moves):
             strength = placed.join(degree, "id").groupBy("community").agg(F.sum("k").alias("total"))
             towards = links.join(placed.select(F.col("id").alias("b"), "community"), "b").groupBy(
@@ -245,16 +252,22 @@ def louvain(nodes: DataFrame, edges: DataFrame, max_levels: int = 10, max_moves:
             scored = options.withColumn("gain", F.round(F.col("w") - others * F.col("k") / twice, 9))
             best = scored.groupBy("id").agg(
                 F.min_by("community", F.struct(-F.col("gain"), F.when(F.col("community") == F.col("own"), 0).otherwise(1), F.col("community"))).alias("choice"))
-            due = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
-            moved = materialise(placed.join(best, "id", "left").select(
+            due = F.pmod(F.xxhash64("id") + F.lit(turn), F.lit(2)) == 0
+            seen = Observation("moves")
+            trial = placed.join(best, "id", "left").select(
                 "id", F.when(due, F.coalesce("choice", "community")).otherwise(F.col("community")).alias("community"),
-                (due & (F.col("choice") != F.col("community"))).alias("moved")), "placed")
-            after = modularity(graph, moved.drop("moved"))
+                (due & (F.col("choice") != F.col("community"))).alias("moved")).observe(seen, F.count_if("moved").alias("n"))
+            trial = materialise(trial, "placed").drop("moved")
+            if seen.get["n"] == 0:
+                if idle:
+                    break  # neither half wants to move
+                idle = True
+                continue
+            after = modularity(graph, trial)
             if after < before - 1e-12:
                 break
-            still = moved.where("moved").isEmpty()
-            gained, before, placed = after - before, after, moved.drop("moved")
-            if still and turn > 0 or (turn > 2 and gained < least_gain):
+            gained, before, placed, idle = after - before, after, trial, False
+            if turn > 2 and gained < least_gain:
                 break
         if before - start < least_gain:
             break

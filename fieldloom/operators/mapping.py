@@ -228,13 +228,16 @@ def link_terms(mappings: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``mappings``: id, source_column, source_table, target_field. ``pages``: id, key_terms array.
     """
-    # One term per page and spelling class first, so that equal terms of a page never multiply rows.
-    terms = (pages.select(F.col("id").alias("dst"), F.explode("key_terms").alias("term"))
-             .where(~is_blank(F.col("term")))
-             .groupBy("dst", F.lower(strip(F.col("term"))).alias("key")).agg(F.min("term").alias("matched_term")))
+    spelled = F.array_distinct(F.transform(
+        F.filter("key_terms", lambda t: ~is_blank(t)),
+        lambda t: F.struct(F.lower(strip(t)).alias("key"), t.alias("matched_term"))))
+    terms = pages.select(F.col("id").alias("dst"), F.inline(spelled))
     keyed = mappings.where(~is_blank(F.col("source_column"))).withColumn("key", F.lower(strip(F.col("source_column"))))
-    return keyed.join(terms, "key").select(
-        F.col("id").alias("src"), "dst", F.lit("field_to_pdf_keyterm").alias("relationship_type"),
+    # terms without a partner are gone before the one shuffle by mapping and page
+    found = keyed.join(terms, "key").groupBy(F.col("id").alias("src"), "dst", "source_column", "source_table", "target_field").agg(
+        F.min("matched_term").alias("matched_term"))
+    return found.select(
+        "src", "dst", F.lit("field_to_pdf_keyterm").alias("relationship_type"),
         F.lit(1.0).alias("weight"), F.lit(1.0).alias("confidence"),
         "source_column", "source_table", "target_field", "matched_term",
         F.format_string("Mapping source column '%s' matches PDF key term '%s'", "source_column", "matched_term")

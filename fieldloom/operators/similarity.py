@@ -10,9 +10,9 @@ from fieldloom.functions.numbering import number_rows
 from fieldloom.functions.vectors import distance, literal
 from fieldloom.session import materialise
 
-MAX_QUERIES = 1024      # query vectors held by each task at once
+MAX_QUERY_BYTES = 16 << 20  # query vectors held by each task at once
 MAX_PIVOTS = 128
-SLACK = 1e-9            # keeps rounding from losing a pair at a partition border
+SLACK = 1e-9                # keeps rounding from losing a pair at a partition border
 
 
 def nearest(collection: DataFrame, query, n=5, metric="l2sq", where=None) -> DataFrame:
@@ -46,20 +46,27 @@ def nearest_many(collection: DataFrame, queries: DataFrame, n=5, metric="l2sq")
     rows once and hands on only its ``n`` best per query, so the shuffle carries
     tasks x queries x n rows and the collection itself never moves.
     """
-    few = queries.limit(MAX_QUERIES + 1).collect()
-    if len(few) <= MAX_QUERIES:
+    probe = queries.limit(1).collect()
+    if not probe:
+        return _nearest_batch(collection, [], n, metric)
+    most = max(1, MAX_QUERY_BYTES // (8 * max(1, len(probe[0]["embedding"]))))
+    few = queries.limit(most + 1).collect()
+    if len(few) <= most:
         return _nearest_batch(collection, few, n, metric)
     numbered = materialise(number_rows(queries, ["query_id"], name="_n"), "queries")
     total = numbered.agg(F.max("_n")).first()[0]
     out = None
-    for start in range(0, total, MAX_QUERIES):
-        batch = numbered.where((F.col("_n") > start) & (F.col("_n") <= start + MAX_QUERIES)).drop("_n").collect()
+    for start in range(0, total, most):
+        batch = numbered.where((F.col("_n") > start) & (F.col("_n") <= start + most)).drop("_n").collect()
         one = _nearest_batch(collection, batch, n, metric)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def _nearest_batch(collection, batch, n, metric):
+    if not batch:
+        return collection.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"),
+                                 F.lit(0.0).alias("similarity")).where(F.lit(False))
     ids = np.array([r["query_id"] for r in batch])
     wanted = np.array([r["embedding"] for r in batch], dtype=np.float64)
     if metric == "cosine":

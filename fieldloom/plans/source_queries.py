@@ -232,7 +232,7 @@ def win1(spark, sf_dir):
 def win2(spark, sf_dir):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
     rows = number_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", *order), order, within=["l_orderkey"], name="line_number")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.col("line_number").cast("bigint").alias("line_number"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "line_number")
 
 
 @query("win4_file_ids", """WITH f AS (SELECT url, CASE page_id % 4 WHEN 0 THEN 'csv' WHEN 1 THEN 'pdf' WHEN 2 THEN 'python' ELSE 'other' END AS file_class, page_id FROM pages),

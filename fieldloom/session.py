@@ -4,7 +4,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+_PRIVATE: dict = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -12,11 +14,12 @@ def scratch_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="fieldloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _PRIVATE:
+        _PRIVATE[context.applicationId] = tempfile.mkdtemp(prefix="fieldloom-")
+    return _PRIVATE[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -32,6 +35,10 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after counting that it holds at most ``max_rows`` rows."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else df
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a costly per-row step when the input has fewer splits than cores.
+
+    Large inputs have more splits than cores and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
