@@ -28,7 +28,7 @@ COMPLEXITY_RULES = [
 # --- Fixed values: header spellings probed for a source column, in order ---
 SOURCE_COLUMN_KEYS = [
     "source_column", "Source Column", "source_field", "Source Field",
-    "\ufeffSource\xa0Field", "Source\xa0Field", "\ufeffSource Field", "Source Field",
+    "\ufeffSource\xa0Field", "Source\xa0Field", "\ufeffSource Field",
 ]
 
 # --- Fixed values: page patterns (first match wins within each list) ---

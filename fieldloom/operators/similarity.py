@@ -225,8 +225,10 @@ def similar_pairs(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), b
             sims = score[i, j]
         x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
         swap = x > y
-        out = {k: [key[n]] * len(x) for n, k in enumerate(within)}
-        out["id_a"], out["id_b"] = np.where(swap, y, x), np.where(swap, x, y)
+        # plain object columns: text columns that pandas infers itself do not always convert when empty
+        out = {k: pd.Series([key[n]] * len(x), dtype=object) for n, k in enumerate(within)}
+        out["id_a"] = pd.Series(np.where(swap, y, x), dtype=object)
+        out["id_b"] = pd.Series(np.where(swap, x, y), dtype=object)
         out["similarity"] = sims
         return pd.DataFrame(out)
 

@@ -130,7 +130,7 @@ def _header_cells(cells, max_columns) -> Column:
     """Header cells up to the last named one; a header that fills the whole schema is an error."""
     last = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull() & (c != ""), i + 1).otherwise(0)))
     kept = F.slice(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), 1, F.greatest(last, F.lit(1)))
-    full = F.col("_surplus").isNotNull()
+    full = (F.col("_row") == 1) & F.col("_surplus").isNotNull()
     return F.when(full, F.raise_error(F.lit(f"a CSV header has more than {max_columns} columns")).cast("array<string>")).otherwise(kept)
 
 
