@@ -57,16 +57,20 @@ def chunk_pages(chunks_df: DataFrame, pages: DataFrame) -> DataFrame:
     tagged = chunks_df.withColumn("_marked", marked_pages(F.col("chunk"))).withColumn(
         "_sample", strip(preview(F.col("chunk"), SAMPLE)))
     wanted = tagged.where(F.size("_marked") == 0).select("source_file", F.col("_sample").alias("sample")).distinct()
+    page = [F.col("source_file"), F.col("page"), F.xxhash64("text").alias("_text")]
     unique = pages.groupBy("source_file", "text").agg(F.min("page_number").alias("page"))
-    tokens = unique.select("source_file", "page", "text", F.explode(F.array_distinct(
-        F.split("text", r"(?U)\s+"))).alias("word"))
+    tokens = unique.select(*page, F.explode(F.array_distinct(F.split("text", r"(?U)\s+"))).alias("word"))
     # the outer words of a head may be cut: only words between two blanks are whole
-    inner = F.slice(F.split("sample", r"(?U)\s+"), 2, F.greatest(F.size(F.split("sample", r"(?U)\s+")) - 2, F.lit(0)))
+    words = F.split("sample", r"(?U)\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     whole = wanted.where(F.size(inner) > 0).select("source_file", "sample", F.explode(F.array_distinct(inner)).alias("word"))
-    spread = tokens.groupBy("source_file", "word").agg(F.count("*").alias("_pages"))
-    rarest = whole.join(spread, ["source_file", "word"], "left").groupBy("source_file", "sample").agg(
+    spread_of = tokens.groupBy("source_file", "word").agg(F.count("*").alias("_pages"))
+    rarest = whole.join(spread_of, ["source_file", "word"], "left").groupBy("source_file", "sample").agg(
         F.min_by("word", F.struct(F.coalesce("_pages", F.lit(0)), "word")).alias("word"))
-    by_word = rarest.join(tokens, ["source_file", "word"]).where(F.contains("text", F.col("sample")))
+    # words lead to page keys; page texts are fetched for these candidates only
+    candidates = rarest.join(tokens, ["source_file", "word"]).select("source_file", "sample", "page", "_text")
+    texts = unique.select(*page, "text")
+    by_word = candidates.join(texts, ["source_file", "page", "_text"]).where(F.contains("text", F.col("sample")))
     # heads of one or two words have no whole word inside: compare them with their source's pages
     short = wanted.where(F.size(inner) == 0).join(unique, "source_file").where(F.contains("text", F.col("sample")))
     first = by_word.select("source_file", "sample", "page").unionByName(
@@ -76,6 +80,11 @@ def chunk_pages(chunks_df: DataFrame, pages: DataFrame) -> DataFrame:
         F.array(F.coalesce("_page", F.lit(1)).cast("int")))).drop("_marked", "_sample", "_page")
 
 
+def analyse_chunks(chunks_df: DataFrame, column="chunk") -> DataFrame:
+    """Rows with the columns of ``chunk_analysis`` beside their own."""
+    return spread(chunks_df).withColumn("_a", chunk_analysis(column)).select(*chunks_df.columns, "_a.*")
+
+
 def assemble_chunks(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """Chunks of full texts with their analysis and pages."""
     made = chunk_documents(documents.select("source_file", "text"))

@@ -25,13 +25,13 @@ def add_batch(collection: DataFrame, batch: DataFrame) -> DataFrame:
 
 def batch_check(ids: DataFrame, embeddings: DataFrame, documents: DataFrame) -> DataFrame:
     """Row counts of the three inputs and whether they agree; an unequal batch is rejected whole."""
-    counts = [ids.agg(F.count("*").alias("n_ids")), embeddings.agg(F.count("*").alias("n_embeddings")),
-              documents.agg(F.count("*").alias("n_documents"))]
-    tagged = counts[0].withColumn("k", F.lit(1))
-    for other in counts[1:]:
-        tagged = tagged.join(other.withColumn("k", F.lit(1)), "k")  # one row each
+    tagged = None
+    for name, df in (("n_ids", ids), ("n_embeddings", embeddings), ("n_documents", documents)):
+        one = df.select(F.lit(name).alias("of"))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    counts = tagged.agg(*[F.count_if(F.col("of") == n).alias(n) for n in ("n_ids", "n_embeddings", "n_documents")])
     same = (F.col("n_ids") == F.col("n_embeddings")) & (F.col("n_ids") == F.col("n_documents"))
-    return tagged.drop("k").withColumn("accepted", same)
+    return counts.withColumn("accepted", same)
 
 
 def update(collection: DataFrame, changes: DataFrame) -> DataFrame:
@@ -68,9 +68,11 @@ def search_text(collection: DataFrame, text: str, n: int = 5, where=None) -> Dat
 
 def collection_stats(collection: DataFrame, sample: int = 100) -> DataFrame:
     """Row count, and the metadata keys seen on the first ``sample`` rows by id."""
-    total = collection.agg(F.count("*").alias("total_documents"))
+    total = collection.agg(F.count("*").alias("total_documents")).withColumns(
+        {"sample_size": F.lit(None).cast("bigint"), "metadata_keys": F.lit(None).cast("array<string>")})
     head = collection.orderBy("id").limit(sample)
     keys = head.agg(
-        F.count("*").alias("sample_size"),
+        F.lit(None).cast("bigint").alias("total_documents"), F.count("*").alias("sample_size"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("metadata"))))).alias("metadata_keys"))
-    return total.withColumn("k", F.lit(1)).join(keys.withColumn("k", F.lit(1)), "k").drop("k")
+    # two one-row tables become one row; max skips the blanks
+    return total.unionByName(keys).agg(*[F.max(c).alias(c) for c in total.columns])

@@ -56,10 +56,10 @@ def edge_counts(edges: DataFrame) -> DataFrame:
 
 def size_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Node and edge totals, average degree 2m/n and density m/(n(n-1)); zeros for an empty graph."""
-    n = nodes.agg(F.count("*").alias("num_nodes")).withColumn("k", F.lit(1))
-    m = edges.agg(F.count("*").alias("num_edges")).withColumn("k", F.lit(1))
+    both = nodes.select(F.lit(True).alias("is_node")).unionByName(edges.select(F.lit(False).alias("is_node")))
+    counts = both.agg(F.count_if("is_node").alias("num_nodes"), F.count_if(~F.col("is_node")).alias("num_edges"))
     size, links = F.col("num_nodes").cast("double"), F.col("num_edges").cast("double")
-    return n.join(m, "k").drop("k").withColumns({
+    return counts.withColumns({
         "average_degree": F.when(size > 0, 2.0 * links / size).otherwise(0.0),
         "density": F.when(size > 1, links / (size * (size - 1.0))).otherwise(0.0)})
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import constants as K
 from fieldloom.functions.text import contains_any, filled, is_blank, last_at, plain_spaces, strip
+from fieldloom.session import spread
 
 NORMAL_COLUMNS = [name for name, _ in K.HEADER_RULES]
 
@@ -231,7 +232,7 @@ def link_terms(mappings: DataFrame, pages: DataFrame) -> DataFrame:
     spelled = F.array_distinct(F.transform(
         F.filter("key_terms", lambda t: ~is_blank(t)),
         lambda t: F.struct(F.lower(strip(t)).alias("key"), t.alias("matched_term"))))
-    terms = pages.select(F.col("id").alias("dst"), F.inline(spelled))
+    terms = spread(pages.select("id", "key_terms")).select(F.col("id").alias("dst"), F.inline(spelled))
     keyed = mappings.where(~is_blank(F.col("source_column"))).withColumn("key", F.lower(strip(F.col("source_column"))))
     # terms without a partner are gone before the one shuffle by mapping and page
     found = keyed.join(terms, "key").groupBy(F.col("id").alias("src"), "dst", "source_column", "source_table", "target_field").agg(

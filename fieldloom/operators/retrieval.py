@@ -48,7 +48,10 @@ def mapping_context(hits: DataFrame, mappings: DataFrame, documents_shown=3, map
         "Mapping: %s.%s → %s (Transformation: %s)", "source_table", "source_column", "target_field", "transformation_rule").alias("line"))
     listed = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", "line"))),
                                                 lambda r: r["line"]), "\n").alias("lines"), F.count("*").alias("mappings_shown"))
-    joined = docs.withColumn("k", F.lit(1)).join(listed.withColumn("k", F.lit(1)), "k").drop("k")
+    blank = {"docs": "string", "mapping_docs": "bigint", "lines": "string", "mappings_shown": "bigint"}
+    wide = [df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in blank.items()]) for df in (docs, listed)]
+    # two one-row tables become one row; max skips the blanks
+    joined = wide[0].unionByName(wide[1]).agg(*[F.max(c).alias(c) for c in blank])
     return joined.select("mapping_docs", "mappings_shown", F.concat("docs", F.when(
         F.col("mappings_shown") > 0, F.concat(F.lit("\n\nData Mappings:\n"), "lines")).otherwise("")).alias("context"))
 

@@ -12,6 +12,8 @@ from fieldloom.session import materialise
 
 MAX_QUERY_BYTES = 16 << 20  # query vectors held by each task at once
 MAX_PIVOTS = 128
+MAX_BLOCK_BYTES = 32 << 20  # vectors of one block of a similarity join
+TILE = 2048
 SLACK = 1e-9                # keeps rounding from losing a pair at a partition border
 
 
@@ -117,7 +119,7 @@ def _unit(matrix):
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def similar_pairs(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), block_rows=2048, pivots=None):
+def similar_pairs(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), block_rows=None, pivots=None):
     """All pairs of *distinct* vectors with cosine similarity at or above ``threshold``; exact.
 
     ``vectors``: id, embedding and the ``within`` columns (pairs only inside equal values).
@@ -129,7 +131,7 @@ def similar_pairs(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), b
     a distance of at most sqrt(2-2t), so a row is also sent to a lower-numbered pivot only if it
     lies that near to the border between the two; every pair then meets in exactly one partition.
     Partitions are cut into blocks of ``block_rows`` by hash, so a crowded pivot becomes many equal
-    tasks. A task compares two blocks with one matrix product and emits only pairs that qualify.
+    tasks. A task compares two blocks tile by tile and emits only pairs that qualify.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -144,9 +146,14 @@ def similar_pairs(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), b
     copies = members.join(reps, [*within, "_h", "embedding"]).where("id <> rep").select(*within, "rep", "id")
 
     total = distinct.count()
-    wanted = pivots if pivots is not None else min(MAX_PIVOTS, max(1, total // (4 * block_rows)))
+    wanted = pivots if pivots is not None else min(MAX_PIVOTS, max(1, total // 8192))
     # a fixed number of pivot vectors, spread by hash
     picked = np.array([r["embedding"] for r in distinct.orderBy("_h").limit(wanted).collect()], dtype=np.float64)
+    if block_rows is None:
+        # every copy of a row costs shuffle, so blocks are as large as a task can hold twice, but
+        # small inputs are still cut finely enough to use all cores
+        fits = MAX_BLOCK_BYTES // (8 * (picked.shape[1] if picked.size else 1))
+        block_rows = max(1, min(fits, max(1024, -(-total // (2 * spark.sparkContext.defaultParallelism)))))
     centres = _unit(picked) if len(picked) else np.zeros((1, 1))
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + SLACK
     gaps = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
@@ -212,17 +219,19 @@ def similar_pairs(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), b
         left_at, right_at = key[-2], key[-1]
         left = frame[frame["left"]]
         right = left if left_at == right_at else frame[~frame["left"]]
-        a = np.frombuffer(b"".join(left["vec"]), dtype=np.float64).reshape(len(left), -1) if len(left) else None
-        b = np.frombuffer(b"".join(right["vec"]), dtype=np.float64).reshape(len(right), -1) if len(right) else None
-        if a is None or b is None:
-            i = j = np.array([], dtype=int)
-            sims = np.array([], dtype=float)
-        else:
-            score = a @ b.T
-            if left_at == right_at:
-                score = np.where(np.triu(np.ones(score.shape, dtype=bool), 1), score, -2.0)
-            i, j = np.nonzero(score >= threshold)
-            sims = score[i, j]
+        found = [np.empty((3, 0))]
+        if len(left) and len(right):
+            a = np.frombuffer(b"".join(left["vec"]), dtype=np.float64).reshape(len(left), -1)
+            b = np.frombuffer(b"".join(right["vec"]), dtype=np.float64).reshape(len(right), -1)
+            for i in range(0, len(a), TILE):
+                for j in range(i if left_at == right_at else 0, len(b), TILE):
+                    score = a[i:i + TILE] @ b[j:j + TILE].T
+                    if left_at == right_at and i == j:
+                        score[np.tril_indices(len(score))] = -2.0
+                    hit = np.nonzero(score >= threshold)
+                    found.append(np.vstack([hit[0] + i, hit[1] + j, score[hit]]))
+        i, j, sims = np.hstack(found)
+        i, j = i.astype(int), j.astype(int)
         x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
         swap = x > y
         # plain object columns: text columns that pandas infers itself do not always convert when empty

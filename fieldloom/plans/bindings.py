@@ -39,7 +39,8 @@ def mapping_raw(spark, sf_dir) -> DataFrame:
     return sheet_cells(spark, sf_dir).select(
         F.concat("p_brand", F.lit(".csv")).alias("source_file"), (F.col("p_partkey") + 1).alias("row_number"),
         F.concat(F.lit("map_"), F.col("p_partkey").cast("string")).alias("doc_id"),
-        F.array(*[F.lit(h) for h in SHEET_HEADER]).alias("header"), "cells")
+        # a column, not a constant: headers normally come from files
+        F.when(F.col("p_partkey").isNotNull(), F.array(*[F.lit(h) for h in SHEET_HEADER])).alias("header"), "cells")
 
 
 def mappings(spark, sf_dir) -> DataFrame:

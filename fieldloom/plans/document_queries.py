@@ -147,7 +147,7 @@ ANALYSIS = r"""w AS (SELECT *, string_split(text, chr(10)) AS lines, lower(text)
   CASE WHEN length(first) > 100 THEN substring(first, 1, 97) || '...' ELSE first END || CASE WHEN len(codes) > 0 THEN ' | Contains: ' || array_to_string(codes[1:3], ', ') ELSE '' END
   || CASE WHEN len(areas) > 0 THEN ' | Area: ' || array_to_string(areas[1:2], ', ') ELSE '' END AS description FROM x""")
 def txt3(spark, sf_dir):
-    made = table(spark, sf_dir, "documents").select("doc_id", CH.chunk_analysis("text").alias("a")).select("doc_id", "a.*")
+    made = CH.analyse_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return made.select("doc_id", "content_type", "has_table_data", "has_codes", F.array_join("key_terms", "|").alias("key_terms"),
                        F.array_join("functional_areas", "|").alias("functional_areas"), "description")
 
@@ -197,12 +197,25 @@ def txt4(spark, sf_dir):
     return CH.chunk_pages(made, pages).select("own_page", "chunk_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
-@query("txt2_assembled_chunks")
+@query("txt2_assembled_chunks", f"""WITH RECURSIVE s AS (SELECT 'c' || conv_id || '_' || turn AS source_file, turn + 1 AS page_number, text FROM conversations),
+  c(source_file, text, pos, n, ord) AS (
+  SELECT source_file, text, 0, CASE WHEN 700 < length(text) AND strpos(reverse(substring(text, 1, 700)), ' ') > 0 AND 700 - strpos(reverse(substring(text, 1, 700)), ' ') > 560
+    THEN 700 - strpos(reverse(substring(text, 1, 700)), ' ') ELSE 700 END, 0 FROM s WHERE length(text) > 700
+  UNION ALL SELECT source_file, text, pos + n - 100, CASE WHEN pos + n + 600 < length(text) AND strpos(reverse(substring(text, pos + n - 99, 700)), ' ') > 0
+      AND 700 - strpos(reverse(substring(text, pos + n - 99, 700)), ' ') > 560 THEN 700 - strpos(reverse(substring(text, pos + n - 99, 700)), ' ') ELSE 700 END, ord + 1
+  FROM c WHERE pos + n - 100 < length(text)),
+  documents AS (SELECT source_file, ord::INTEGER AS chunk_id, trim(substring(text, pos + 1, n), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS text FROM c
+    UNION ALL SELECT source_file, 0::INTEGER, text FROM s WHERE length(text) <= 700), {ANALYSIS}
+SELECT x.source_file, chunk_id, x.text, CASE WHEN contains(s.text, trim(substring(x.text, 1, 200), ' ' || chr(9) || chr(10) || chr(13) || chr(160))) THEN page_number ELSE 1 END::VARCHAR AS pages,
+  CASE WHEN has_table_data THEN 'data_dictionary' ELSE 'general' END AS content_type, array_to_string(list_sort(list_distinct(list_concat(codes, words)[1:10])), '|') AS key_terms,
+  CASE WHEN length(first) > 100 THEN substring(first, 1, 97) || '...' ELSE first END || CASE WHEN len(codes) > 0 THEN ' | Contains: ' || array_to_string(codes[1:3], ', ') ELSE '' END
+  || CASE WHEN len(areas) > 0 THEN ' | Area: ' || array_to_string(areas[1:2], ', ') ELSE '' END AS description, has_table_data, len(codes) > 0 AS has_codes,
+  array_to_string(list_sort(list_distinct(areas)), '|') AS functional_areas FROM x JOIN s ON s.source_file = x.source_file""")
 def txt2(spark, sf_dir):
     """Conversation texts as files of one page each: chunks with analysis and pages."""
     c = table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("source_file"), (F.col("turn") + 1).alias("page_number"), "text")
-    return CH.assemble_chunks(c, c)
+    return CH.assemble_chunks(c, c).withColumns({n: F.array_join(F.col(n).cast("array<string>"), "|") for n in ("pages", "key_terms", "functional_areas")})
 
 
 @query("txt5_page_analysis", f"""WITH {B.PA} SELECT source_file, page_number, kind AS content_type, area AS functional_area, tab AS table_name,

@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPLIT_BYTES = 64 << 20
 _PRIVATE: dict = {}
 
 
@@ -38,7 +39,10 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a costly per-row step when the input has fewer splits than cores.
 
-    Large inputs have more splits than cores and are left where they are.
+    Decided from the planner's size estimate, without running anything. Inputs of more splits than
+    cores are left where they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    bytes_in = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if bytes_in < cores * SPLIT_BYTES else df

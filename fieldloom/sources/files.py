@@ -78,16 +78,20 @@ def csv_profile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(raw: DataFrame) -> DataFrame:
-    """Row number inside each file without shuffling the rows.
+    """Row number and first row of the file beside each row, without shuffling the rows.
 
     Rows of one file block are consecutive in one task, so the number is the distance from the
-    block's first row plus the row counts of the blocks before; only those counts are aggregated.
+    block's first row plus the row counts of the blocks before. Only one line per block is
+    aggregated and joined back.
     """
-    blocks = raw.groupBy("path", "_block").agg(F.min("_at").alias("_lo"), F.count("*").alias("_n"))
+    kept = [c for c in raw.columns if c not in ("path", "_block", "_at")]
+    blocks = raw.groupBy("path", "_block").agg(
+        F.min("_at").alias("_lo"), F.count("*").alias("_n"), F.min_by(F.struct(*kept), "_at").alias("_first"))
     before = Window.partitionBy("path").orderBy("_block")
-    blocks = blocks.withColumn("_offset", F.sum("_n").over(before) - F.col("_n")).drop("_n")
+    blocks = blocks.select("path", "_block", "_lo", (F.sum("_n").over(before) - F.col("_n")).alias("_offset"),
+                           F.first("_first").over(before).alias("_first"))
     return raw.join(blocks, ["path", "_block"]).withColumn(
-        "_row", F.col("_at") - F.col("_lo") + F.col("_offset") + 1).drop("_lo", "_offset")
+        "_row", F.col("_at") - F.col("_lo") + F.col("_offset") + 1).drop("_lo", "_offset", "_at", "_block")
 
 
 def read_csv_cells(spark: SparkSession, path: str, max_columns: int | None = None) -> DataFrame:
@@ -116,9 +120,8 @@ def read_csv_cells(spark: SparkSession, path: str, max_columns: int | None = Non
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_at"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
             F.col(f"c{width}").alias("_surplus"))
-        rows = _numbered(raw).join(mine.select("path", "is_mapping"), "path")
-        header = rows.where("_row = 1").select("path", _header_cells("cells", width).alias("header"))
-        one = rows.where("_row > 1").join(header, "path").select(
+        rows = _numbered(raw).where("_row > 1").join(mine.select("path", "is_mapping"), "path")
+        one = rows.withColumn("header", _header_cells(F.col("_first"), width)).select(
             "path", basename(F.col("path")).alias("source_file"), (F.col("_row") - 1).alias("row_number"),
             # a row longer than its header loses the surplus cells
             "header", F.slice("cells", 1, F.size("header")).alias("cells"), "is_mapping")
@@ -126,12 +129,13 @@ def read_csv_cells(spark: SparkSession, path: str, max_columns: int | None = Non
     return body
 
 
-def _header_cells(cells, max_columns) -> Column:
+def _header_cells(first, width) -> Column:
     """Header cells up to the last named one; a header that fills the whole schema is an error."""
+    cells = first["cells"]
     last = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull() & (c != ""), i + 1).otherwise(0)))
     kept = F.slice(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), 1, F.greatest(last, F.lit(1)))
-    full = (F.col("_row") == 1) & F.col("_surplus").isNotNull()
-    return F.when(full, F.raise_error(F.lit(f"a CSV header has more than {max_columns} columns")).cast("array<string>")).otherwise(kept)
+    fail = F.raise_error(F.lit(f"a CSV header has more than {width} columns")).cast("array<string>")
+    return F.when(first["_surplus"].isNotNull(), fail).otherwise(kept)
 
 
 def parse_csv(spark: SparkSession, path: str, strict_compat: bool = False):
