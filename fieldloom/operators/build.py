@@ -45,9 +45,6 @@ def build_graph(documents: DataFrame, vectors: DataFrame, threshold=K.CONTENT_SI
         edges.append(G.upsert_edges(mapping_edges).select(*plain))
     if model_edges is not None:
         edges.append(G.between_documents(model_edges, documents).select(*plain))
-    every = edges[0]
-    for other in edges[1:]:
-        every = every.unionByName(other)
     # an ordered pair has one edge; the step that comes later in the list above wins
     listed = None
     for at, one in enumerate(edges):
@@ -60,7 +57,7 @@ def build_graph(documents: DataFrame, vectors: DataFrame, threshold=K.CONTENT_SI
     for other in nodes[1:]:
         all_nodes = all_nodes.unionByName(other)
     full = G.complete_nodes(all_nodes, kept)
-    return full, kept, G.relationship_breakdown(every)
+    return full, kept, G.relationship_breakdown(listed)
 
 
 def corpus_report(documents: DataFrame, embedded: DataFrame, reviews: DataFrame, summaries: DataFrame, entities: DataFrame) -> DataFrame:

@@ -75,8 +75,7 @@ def claim_diagnoses(claims: DataFrame, slots: int = K.CLAIM_SLOTS) -> DataFrame:
 
     every = [slot(0, "PRNCPAL_DGNS_CD", "PRNCPAL_DGNS_VRSN_CD", "PRNCPAL_DGNS_POA_IND_SW")]
     every += [slot(n, f"ICD_DGNS_CD{n}", f"ICD_DGNS_VRSN_CD{n}", f"ICD_DGNS_POA_IND_SW{n}") for n in range(1, slots + 1)]
-    used = F.filter(F.array(*every), lambda s: s["diagnosis_code"].isNotNull())
-    rows = claims.select(F.col("CLM_ID").alias("claim_id"), F.inline(used))
+    rows = claims.select(F.col("CLM_ID").alias("claim_id"), F.inline(F.array(*every))).where("diagnosis_code is not null")
     return rows.select(
         row_key(F.col("claim_id"), F.lit("diagnosis"), F.col("diagnosis_sequence")).alias("claim_diagnosis_id"),
         "claim_id", "diagnosis_code", "diagnosis_code_version", "diagnosis_sequence",
@@ -89,8 +88,7 @@ def claim_procedures(claims: DataFrame, slots: int = K.CLAIM_SLOTS) -> DataFrame
         F.lit(n).alias("procedure_sequence"), F.col(f"ICD_PRCDR_CD{n}").alias("procedure_code"),
         F.col(f"ICD_PRCDR_VRSN_CD{n}").alias("procedure_code_version"), F.col(f"PRCDR_DT{n}").alias("_date"))
         for n in range(1, slots + 1)]
-    used = F.filter(F.array(*every), lambda s: s["procedure_code"].isNotNull())
-    rows = claims.select(F.col("CLM_ID").alias("claim_id"), F.inline(used))
+    rows = claims.select(F.col("CLM_ID").alias("claim_id"), F.inline(F.array(*every))).where("procedure_code is not null")
     return rows.select(
         row_key(F.col("claim_id"), F.lit("procedure"), F.col("procedure_sequence")).alias("claim_procedure_id"),
         "claim_id", "procedure_code", "procedure_code_version", "procedure_sequence",

@@ -93,6 +93,14 @@ def page_description(meta, text) -> Column:
     return F.when(body != "", F.coalesce(paged, body)).otherwise(plain)
 
 
+def _relation_end(metadata, end) -> Column:
+    """One end of the mapping relationship that a row's metadata holds as text."""
+    shown = F.element_at(metadata, F.lit("_mapping_relationship"))
+    single, double = rf"'{end}': '((?:[^'\\]|\\.)*)'", rf"'{end}': \"([^\"]*)\""
+    found = F.concat(F.regexp_extract(shown, single, 1), F.regexp_extract(shown, double, 1))
+    return F.coalesce(F.replace(found, F.lit("\\'"), F.lit("'")), F.lit("unknown"))
+
+
 def short_description(doc) -> Column:
     """Short label of a document struct (type, content, metadata), by type."""
     meta, content = doc["metadata"], F.coalesce(doc["content"], F.lit(""))
@@ -107,7 +115,7 @@ def short_description(doc) -> Column:
         .when(doc["type"] == "csv_row", F.concat(
             F.lit("CSV row "), m("row_number"), F.lit(" from "), m("source_file")))
         .when(doc["type"] == "data_mapping", F.concat(
-            F.lit("Mapping: "), m("mapping_source_field"), F.lit(" → "), m("mapping_target_field")))
+            F.lit("Mapping: "), _relation_end(meta, "source"), F.lit(" → "), _relation_end(meta, "target")))
         .when(content != "", F.concat(doc["type"], F.lit(": "), preview(content, 50), F.lit("...")))
         .otherwise(doc["type"]))
 

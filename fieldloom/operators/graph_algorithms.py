@@ -96,11 +96,11 @@ def simple_paths(edges: DataFrame, source, target, max_length: int = 5) -> DataF
     then extends a path only to nodes from which the target is still within reach.
     """
     stored = materialise(edges.where("src <> dst").select("src", "dst"), "links")
-    spark = edges.sparkSession
     id_type = dict(edges.dtypes)["src"]
+    one = edges.sparkSession.range(1)  # a one-row table whose size the planner knows
     # the moving side is small and of known size, so a step is one scan of the edges, not their shuffle
     links = both_ways(stored)
-    far = spark.createDataFrame([(target, 0)], f"id {id_type}, hops int")
+    far = one.select(F.lit(target).cast(id_type).alias("id"), F.lit(0).alias("hops"))
     border = far
     for hop in range(1, max_length):
         step = links.join(border, links["a"] == border["id"]).select(F.col("b").alias("id")).distinct()
@@ -109,7 +109,8 @@ def simple_paths(edges: DataFrame, source, target, max_length: int = 5) -> DataF
             break
         far = far.unionByName(border)
     far = materialise(far, "reach")
-    paths = spark.createDataFrame([(source, [source])], f"here {id_type}, path array<{id_type}>")
+    start = F.lit(source).cast(id_type)
+    paths = one.select(start.alias("here"), F.array(start).alias("path"))
     found = None
     for length in range(1, max_length + 1):
         grown = links.join(paths, F.col("a") == F.col("here")).where(~F.array_contains("path", F.col("b")))

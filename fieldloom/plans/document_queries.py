@@ -56,7 +56,7 @@ def _neighbour_pairs(spark, sf_dir):
     kind = (F.when(F.col("lang") == "en", "csv_row").when(F.col("lang") == "fr", "pdf_chunk").when(F.col("lang") == "de", "data_mapping").otherwise("pdf"))
     n = F.col("doc_id")
     meta = F.when(n % 2 == 0, F.create_map(F.lit("description"), F.col("text"), F.lit("row_number"), n.cast("string"),
-                                           F.lit("mapping_source_field"), F.lit("t.c"))).otherwise(F.create_map(F.lit("source_file"), F.col("source")))
+                                           F.lit("_mapping_relationship"), F.concat(F.lit("{'source': 't.c', 'target': \"f'"), n.cast("string"), F.lit("\"}")))).otherwise(F.create_map(F.lit("source_file"), F.col("source")))
     shaped = d.select(n.alias("n"), "text", F.struct(
         kind.alias("type"), F.col("text").alias("content"), meta.alias("metadata"), F.array("lang", "source").alias("functional_areas"),
         F.array(F.concat(F.lit("k"), (n % 3).cast("string")), F.concat(F.lit("k"), (n % 5 + 3).cast("string")), F.col("lang")).alias("key_terms"),
@@ -68,7 +68,7 @@ def _neighbour_pairs(spark, sf_dir):
 PAIRS = """p AS (SELECT doc_id AS n, text, source, lang, CASE lang WHEN 'en' THEN 'csv_row' WHEN 'fr' THEN 'pdf_chunk' WHEN 'de' THEN 'data_mapping' ELSE 'pdf' END AS type,
   CASE lang WHEN 'fr' THEN CASE WHEN doc_id % 2 = 0 THEN CASE WHEN length(text) > 80 THEN substring(text, 1, 77) || '...' ELSE text END ELSE 'PDF chunk: ' || substring(text, 1, 50) || '...' END
     WHEN 'en' THEN 'CSV row ' || CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'unknown' END || ' from ' || CASE WHEN doc_id % 2 = 0 THEN 'unknown' ELSE source END
-    WHEN 'de' THEN 'Mapping: ' || CASE WHEN doc_id % 2 = 0 THEN 't.c' ELSE 'unknown' END || ' → unknown'
+    WHEN 'de' THEN 'Mapping: ' || CASE WHEN doc_id % 2 = 0 THEN 't.c → f''' || doc_id ELSE 'unknown → unknown' END
     ELSE CASE WHEN text <> '' THEN 'pdf: ' || substring(text, 1, 50) || '...' ELSE 'pdf' END END AS short,
   [lang, source] AS areas, ['k' || (doc_id % 3), 'k' || (doc_id % 5 + 3), lang] AS terms FROM documents),
   j AS (SELECT a.*, b.short AS short_b, b.type AS type_b, b.text AS text_b, b.n AS nb, (a.n % 1000) / 1000.0::DOUBLE AS similarity,

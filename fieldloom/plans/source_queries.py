@@ -7,6 +7,7 @@ from fieldloom.functions.text import basename
 from fieldloom.operators import collection as CO
 from fieldloom.operators import documents as DO
 from fieldloom.operators.claims import load_claims
+from fieldloom.operators.ingest import process_files
 from fieldloom.operators.reports import system_status
 from fieldloom.plans import bindings as B
 from fieldloom.plans.registry import query, table
@@ -260,3 +261,10 @@ def agg7(spark, sf_dir):
 @query("dml5_drop_collection", "SELECT vec_id AS id, label FROM embeddings WHERE false")
 def dml5(spark, sf_dir):
     return CO.drop_all(B.vectors(spark, sf_dir)).select("id", "label")
+
+
+@query("prj15_csv_documents", """SELECT 'csv_row' AS type, count(*) AS documents, count(*) AS shaped_ids FROM (SELECT p_partkey FROM part WHERE p_size <> 7
+  UNION ALL SELECT s_suppkey FROM supplier UNION ALL SELECT n_nationkey FROM nation)""")
+def prj15_documents(spark, sf_dir):
+    docs = process_files(spark, B.sheet_folder(spark, sf_dir)).where("type = 'csv_row'")
+    return docs.groupBy("type").agg(F.count("*").alias("documents"), F.count_distinct(F.regexp_extract("doc_id", r"^csv_\d+_row_\d+$", 0)).alias("shaped_ids"))

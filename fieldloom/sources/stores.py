@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import filled
-
 DOCUMENT_SCHEMA = (
     "doc_id string, type string, source_file string, content string, raw_text string, "
     "parent_document string, row_number int, metadata map<string,string>")
@@ -110,6 +108,3 @@ def read_staging(spark: SparkSession, path: str) -> DataFrame:
     """Staging folder with the merged schema of all its appends."""
     return spark.read.option("mergeSchema", True).parquet(path)
 
-
-def identified(documents: DataFrame) -> DataFrame:
-    return documents.where(filled(F.col("doc_id")))
