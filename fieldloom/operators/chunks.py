@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fieldloom import constants as K
 from fieldloom.functions.text import (
     all_matches, chunks, contains_any, ellipsis, filled, first_match, head, preview, strip)
-from fieldloom.session import spread
+from fieldloom.session import materialise, spread
 
 SAMPLE = 200
 
@@ -46,35 +46,61 @@ def marked_pages(chunk) -> Column:
     return F.transform(all_matches(chunk, K.PAGE_MARKER, 1), lambda n: n.cast("int"))
 
 
+def _grams(text, size) -> Column:
+    """All character runs of one length, built by shifting the letters against themselves."""
+    letters = F.split(text, "")
+    runs = letters
+    for shift in range(2, size + 1):
+        runs = F.zip_with(runs, F.slice(letters, shift, F.greatest(F.length(text), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.filter(runs, lambda r: F.length(r) == size)
+
+
+def _keys(kind, values) -> Column:
+    return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
 def chunk_pages(chunks_df: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds ``pages``: the markers in the chunk, else the first page holding its stripped 200-char
     head, else page 1.
 
-    A head is looked up through its rarest whole word within the source: only pages with that word
-    are compared, so no chunk meets all pages of its source. Equal page texts and equal heads are
-    compared once.
+    A head is looked up through its rarest whole word within the source (a head of one or two words
+    through its rarest run of three letters): only pages with that key are compared, so no chunk
+    meets all pages of its source. Equal page texts and equal heads are compared once.
     """
     tagged = chunks_df.withColumn("_marked", marked_pages(F.col("chunk"))).withColumn(
         "_sample", strip(preview(F.col("chunk"), SAMPLE)))
     wanted = tagged.where(F.size("_marked") == 0).select("source_file", F.col("_sample").alias("sample")).distinct()
-    page = [F.col("source_file"), F.col("page"), F.xxhash64("text").alias("_text")]
-    unique = pages.groupBy("source_file", "text").agg(F.min("page_number").alias("page"))
-    tokens = unique.select(*page, F.explode(F.array_distinct(F.split("text", r"(?U)\s+"))).alias("word"))
-    # the outer words of a head may be cut: only words between two blanks are whole
     words = F.split("sample", r"(?U)\s+")
+    # the outer words of a head may be cut: only words between two blanks are whole
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    whole = wanted.where(F.size(inner) > 0).select("source_file", "sample", F.explode(F.array_distinct(inner)).alias("word"))
-    spread_of = tokens.groupBy("source_file", "word").agg(F.count("*").alias("_pages"))
-    rarest = whole.join(spread_of, ["source_file", "word"], "left").groupBy("source_file", "sample").agg(
-        F.min_by("word", F.struct(F.coalesce("_pages", F.lit(0)), "word")).alias("word"))
-    # words lead to page keys; page texts are fetched for these candidates only
-    candidates = rarest.join(tokens, ["source_file", "word"]).select("source_file", "sample", "page", "_text")
+    # written once: heads are small beside the chunks they were cut from
+    wanted = materialise(wanted.withColumn("_inner", inner).withColumn("_short", F.size("_inner") == 0), "heads")
+    size = F.length("sample")
+    runs = F.when(size >= 3, _grams(F.col("sample"), 3)).when(size == 2, F.array("sample")).when(size == 1, F.array("sample"))
+    asked = wanted.where(size > 0).select("source_file", "sample", F.explode(
+        F.when(F.col("_short"), _keys("letters", runs)).otherwise(_keys("word", F.col("_inner")))).alias("key"))
+
+    page = [F.col("source_file"), F.col("page"), F.xxhash64("text").alias("_text")]
+    unique = pages.groupBy("source_file", "text").agg(F.min("page_number").alias("page"))
+    word_keys = unique.select(*page, F.explode(_keys("word", F.split("text", r"(?U)\s+"))).alias("key"))
+    # runs of letters only where a short head asks for them
+    with_short = unique.join(wanted.where("_short").select("source_file").distinct(), "source_file", "left_semi")
+    letter_keys = with_short.select(*page, F.explode(_keys("letters", F.flatten(F.array(
+        *[_grams(F.col("text"), n) for n in (1, 2, 3)])))).alias("key"))
+    # keys nobody asks for are gone before anything is counted
+    offered = word_keys.unionByName(letter_keys).join(asked.select("source_file", "key").distinct(), ["source_file", "key"], "left_semi")
+    held_by = offered.groupBy("source_file", "key").agg(F.count("*").alias("_pages"))
+    rarest = asked.join(held_by, ["source_file", "key"], "left").groupBy("source_file", "sample").agg(
+        F.min_by("key", F.struct(F.coalesce("_pages", F.lit(0)), "key")).alias("key"))
+    # keys lead to page numbers; page texts are fetched for these candidates only
+    candidates = rarest.join(offered, ["source_file", "key"]).select("source_file", "sample", "page", "_text")
     texts = unique.select(*page, "text")
-    by_word = candidates.join(texts, ["source_file", "page", "_text"]).where(F.contains("text", F.col("sample")))
-    # heads of one or two words have no whole word inside: compare them with their source's pages
-    short = wanted.where(F.size(inner) == 0).join(unique, "source_file").where(F.contains("text", F.col("sample")))
-    first = by_word.select("source_file", "sample", "page").unionByName(
-        short.select("source_file", "sample", "page")).groupBy("source_file", "sample").agg(F.min("page").alias("_page"))
+    matched = candidates.join(texts, ["source_file", "page", "_text"]).where(F.contains("text", F.col("sample")))
+    # an empty head lies in every page, so in the first
+    empty = wanted.where(size == 0).select("source_file", "sample").join(
+        pages.groupBy("source_file").agg(F.min("page_number").alias("page")), "source_file")
+    first = matched.select("source_file", "sample", "page").unionByName(
+        empty.select("source_file", "sample", "page")).groupBy("source_file", "sample").agg(F.min("page").alias("_page"))
     joined = tagged.join(first.withColumnRenamed("sample", "_sample"), ["source_file", "_sample"], "left")
     return joined.withColumn("pages", F.when(F.size("_marked") > 0, F.col("_marked")).otherwise(
         F.array(F.coalesce("_page", F.lit(1)).cast("int")))).drop("_marked", "_sample", "_page")

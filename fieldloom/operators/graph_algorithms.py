@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from fieldloom.operators.graph import both_ways, endpoints
 from fieldloom.session import materialise
 
+SOURCES_PER_BATCH = 20_000
+
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(in + out degree) / (n - 1); 1 for a lone node, as for a complete graph of one."""
@@ -126,15 +128,17 @@ def simple_paths(edges: DataFrame, source, target, max_length: int = 5) -> DataF
     return found if source != target else found.where(F.lit(False))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, source_batches: int = 1) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, source_batches: int | None = None) -> DataFrame:
     """Directed, unweighted betweenness, normalised by (n-1)(n-2), over all sources.
 
     Shortest-path counts are level tables keyed (source, node); the dependencies are then summed
     back level by level. Sources are worked off in ``source_batches`` hash batches to bound the
-    table of one round.
+    table of one round (by default about 20,000 sources each).
     """
     total = nodes.count()
     links = materialise(edges.where("src <> dst").select("src", "dst").distinct(), "links")
+    if source_batches is None:
+        source_batches = max(1, -(-links.select("src").distinct().count() // SOURCES_PER_BATCH))
     scale = 1.0 / ((total - 1) * (total - 2)) if total > 2 else 1.0
     sums = None
     for batch in range(source_batches):

@@ -109,7 +109,7 @@ def test_chunk_pages_brute_force(spark):
             at = rng.randrange(len(text))
             made.append((source, len(made), text[at:at + 400]))
         made.append((source, len(made), f"zzz\n--- Page {number} ---\n{text}\n--- Page 99 ---"))
-        made.append((source, len(made), "nowhere to be found"))
+        made += [(source, len(made) + n, c) for n, c in enumerate(["nowhere to be found", "", " \n", text[0], text[:2], "a eps", "q", "qq", "zzzz"])]
     chunk_df = spark.createDataFrame(made, "source_file string, chunk_id int, chunk string")
     page_df = spark.createDataFrame(pages, "source_file string, page_number int, text string")
     got = {r.chunk_id: r.pages for r in CH.chunk_pages(chunk_df, page_df).collect()}
