@@ -1,26 +1,26 @@
 """Scratch space, lineage cuts and size checks shared by all operators."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 SPLIT_BYTES = 64 << 20
-_PRIVATE: dict = {}
+SCRATCH = "spark.fieldloom.scratch.dir"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a private one only for local masters."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _PRIVATE:
-        _PRIVATE[context.applicationId] = tempfile.mkdtemp(prefix="fieldloom-")
-    return _PRIVATE[context.applicationId]
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or ``spark.fieldloom.scratch.dir`` where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)
+    if not found:
+        raise RuntimeError(f"set spark.checkpoint.dir (or {SCRATCH} on a running session) to a folder every executor can reach")
+    return found
+
+
+def ensure_scratch(spark: SparkSession) -> None:
+    """For entry points: where no folder is named, use one beside the session's tables, which all executors share."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)):
+        spark.conf.set(SCRATCH, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -36,6 +36,22 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Lineage cuts of a loop in two alternating folders: round n overwrites round n-2, so disk does not grow with the rounds.
+
+    A frame that ``keep`` returned may be read until the second ``keep`` after it.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.base, self.round = scratch_path(spark, label), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{self.round % 2}"
+        self.round += 1
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a costly per-row step when the input has fewer splits than cores.
 
