@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import quality_classifier
+from fieldloom.llm import pii, quality_classifier
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -27,3 +27,11 @@ def query(function):
 @query
 def op10_quality_scores(spark, sf_dir):
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_personal_data(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+CHECKS["op4_personal_data"] = pii.SQL
