@@ -9,8 +9,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4")
-               .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+               .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.checkpoint.dir", str(shared / "checkpoints")).config("spark.sql.warehouse.dir", str(shared / "warehouse")).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
