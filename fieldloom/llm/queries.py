@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import pii, quality_classifier
+from fieldloom.llm import packing, pii, quality_classifier
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file, the same on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(function):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_scratch(spark)
@@ -35,3 +42,8 @@ def op4_personal_data(spark, sf_dir):
 
 
 CHECKS["op4_personal_data"] = pii.SQL
+
+
+@query
+def op3_packed_pieces(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
