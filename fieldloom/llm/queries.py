@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import packing, pii, quality_classifier
+from fieldloom.llm import order_minhash, packing, pii, quality_classifier
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -47,3 +47,8 @@ CHECKS["op4_personal_data"] = pii.SQL
 @query
 def op3_packed_pieces(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op5_near_copies(spark, sf_dir):
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
