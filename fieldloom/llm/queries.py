@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import order_minhash, packing, pii, quality_classifier
+from fieldloom.llm import line_dedup, order_minhash, packing, pii, quality_classifier
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -52,3 +52,8 @@ def op3_packed_pieces(spark, sf_dir):
 @query
 def op5_near_copies(spark, sf_dir):
     return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_line_repeats(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
