@@ -28,66 +28,73 @@ from fieldloom.session import materialise
 
 CAPACITY = 1024
 END_ID = 2
-CACHED_SEGMENTS = 300_000
+CACHED_SEGMENTS = 600_000
 ROUNDS = 128
-# The split pattern of the byte-level vocabulary, and the characters that the fast path below handles.
+# The split pattern of the byte-level vocabulary, and the characters and single words that need no general splitter.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = r"[\t\n\r -~¡-ɏ]*"
+SINGLE = r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)"
 
 
-def segments(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where to cut the texts so that tokens never cross a cut: before single spaces between two characters that are no white space.
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    """For every UTF-8 byte: 1 letter, 2 digit, 3 space, 4 punctuation but for the apostrophe, and 0 for all that is left alone.
 
-    Unicode white space begins with the bytes C2 or E1 to E3 in UTF-8; next to those nothing is cut.
+    Letters are those of ASCII and the two-byte ones that begin with C3, which holds two other signs (97 and B7).
     """
-    spot = np.flatnonzero(data == 32)
-    spot = spot[(spot > 2) & (spot < len(data) - 1)]
-    before, after = data[spot - 1], data[spot + 1]
-    odd = np.zeros(256, bool)
-    odd[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-    fine = (before > 32) & (after > 32) & ~odd[after] & ((before < 128) | ~(odd[data[spot - 2]] | odd[data[spot - 3]]))
-    return np.unique(np.concatenate([at, spot[fine]]))
+    table = np.zeros(256, np.uint8)
+    table[33:127] = 4
+    table[48:58] = 2
+    table[65:91] = table[97:123] = 1
+    table[32], table[39] = 3, 0
+    kind = table[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = 1
+    return kind
+
+
+def segments(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where to cut the texts so that no token crosses a cut: where letters, digits and punctuation meet, and before a single
+    space between two of them. Around all other characters nothing is cut."""
+    kind = kinds_of(data)
+    word = (kind == 1) | (kind == 2) | (kind == 4)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = word[:-1] & word[1:] & (kind[:-1] != kind[1:])
+    cut[1:-2] |= word[:-2] & (kind[1:-1] == 3) & word[2:]
+    cut[at] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
     """Token ids of whole texts. Equal segments are tokenised once; a bounded cache holds them."""
 
     def __init__(self, path: str):
+        import re
+
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.split, self.plain = self.tokenizer.model, regex.compile(SPLIT), regex.compile(PLAIN)
+        self.model, self.split, self.plain, self.single = self.tokenizer.model, regex.compile(SPLIT), regex.compile(PLAIN), re.compile(SINGLE)
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in kept]
         self.letters = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
         self.known: dict = {}
-        self.words: dict = {}
 
-    def word(self, text: str) -> list:
-        ids = self.words.get(text)
-        if ids is None:
-            if len(self.words) > CACHED_SEGMENTS:
-                self.words.clear()
-            spelled = text.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[text] = [t.id for t in self.model.tokenize(spelled)]
-        return ids
+    def word(self, raw: bytes) -> list:
+        return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))]
 
     def segment(self, raw: bytes) -> np.ndarray:
-        ids = self.known.get(raw)
-        if ids is None:
-            if len(self.known) > CACHED_SEGMENTS:
-                self.known.clear()
-            text = raw.decode()
-            if self.plain.fullmatch(text):
-                found = [i for w in self.split.findall(text) for i in self.word(w)]
-            else:
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = np.array(found, np.uint32)
-            if len(raw) < 64:
-                self.known[raw] = ids
-        return ids
+        """Ids of one segment: a single word goes to the model at once, plain text is split first, and the rest is for the library."""
+        text = raw.decode()
+        if self.single.fullmatch(text):
+            found = self.word(raw)
+        elif self.plain.fullmatch(text):
+            found = [i for w in self.split.findall(text) for i in self.word(w.encode())]
+        else:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(found, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one more entry than texts)."""
@@ -97,12 +104,22 @@ class Encoder:
         cuts = segments(data, at)
         parts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
         coded = parts.dictionary_encode()
-        own = [self.segment(raw) for raw in coded.dictionary.to_pylist()]
-        size = np.array([len(x) for x in own], np.int64)
-        flat, first = np.concatenate(own), np.concatenate([[0], np.cumsum(size)[:-1]])
+        known, own = self.known, []
+        for raw in coded.dictionary.to_pylist():
+            ids = known.get(raw)
+            if ids is None:
+                ids = self.segment(raw)
+                if len(raw) < 64:
+                    known[raw] = ids
+            own.append(ids)
+        if len(known) > CACHED_SEGMENTS:
+            known.clear()
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        flat, first = np.concatenate(own), np.cumsum(size) - size
         code = coded.indices.to_numpy(zero_copy_only=False)
-        ends = np.cumsum(size[code])
-        places = np.arange(ends[-1]) + np.repeat(first[code] - (ends - size[code]), size[code])
+        sizes = size[code]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1]) + np.repeat(first[code] - (ends - sizes), sizes)
         return flat[places], np.concatenate([[0], ends])[np.searchsorted(cuts, at)]
 
 
