@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import line_dedup, order_minhash, packing, pii, quality_classifier
+from fieldloom.llm import line_dedup, order_minhash, packing, pii, quality_classifier, toxicity
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -57,3 +57,8 @@ def op5_near_copies(spark, sf_dir):
 @query
 def op2_line_repeats(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_toxicity_scores(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
