@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import line_dedup, order_minhash, packing, pii, quality_classifier, toxicity
+from fieldloom.llm import line_dedup, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -62,3 +62,9 @@ def op2_line_repeats(spark, sf_dir):
 @query
 def op1_toxicity_scores(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
