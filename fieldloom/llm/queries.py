@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import line_dedup, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity
+from fieldloom.llm import line_dedup, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity, unigram
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -68,3 +68,8 @@ def op1_toxicity_scores(spark, sf_dir):
 def op8_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_sentence_pieces(spark, sf_dir):
+    return unigram.round_trips(table(spark, sf_dir, "documents"), unigram.read_vocabulary(tokenizer_path("piece_bpe_32k.model")))
