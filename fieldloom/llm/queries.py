@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldloom.llm import line_dedup, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity, unigram
+from fieldloom.llm import exact_topk, line_dedup, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity, unigram, url_filters
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -73,3 +74,20 @@ def op8_quality_rules(spark, sf_dir):
 @query
 def op7_sentence_pieces(spark, sf_dir):
     return unigram.round_trips(table(spark, sf_dir, "documents"), unigram.read_vocabulary(tokenizer_path("piece_bpe_32k.model")))
+
+
+@query
+def op6_exact_top_k(spark, sf_dir):
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+CHECKS["op6_exact_top_k"] = exact_topk.SQL
+
+
+@query
+def op9_url_verdicts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge(url_filters.dated(pages), url_filters.listing(pages))
+
+
+CHECKS["op9_url_verdicts"] = url_filters.SQL
