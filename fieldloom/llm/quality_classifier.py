@@ -113,8 +113,8 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit_trees(rows: np.ndarray, label: np.ndarray, trees: int = 80, depth: int = 4, bins: int = 64, rate: float = 0.15, ridge: float = 2.0,
-              least: float = 3.0) -> Trees:
+def fit_trees(rows: np.ndarray, label: np.ndarray, trees: int = 80, depth: int = 4, bins: int = 64, rate: float = 0.15, ridge: float = 1.0,
+              least: float = 0.3) -> Trees:
     """Boost on the logistic loss; every level's gradient histograms are one ``bincount`` over (node, statistic, bin)."""
     inner = 2 ** depth - 1
     if len(rows) == 0:
