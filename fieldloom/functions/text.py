@@ -5,7 +5,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom import constants as K
 
 
 # --- Fixed values: the characters that count as blank at the ends of a text ---
@@ -92,43 +91,3 @@ def is_json(text) -> Column:
 def entity_list(text) -> Column:
     """Comma list to trimmed non-empty entries."""
     return F.filter(F.transform(F.split(text, ","), strip), lambda e: e != "")
-
-
-def chunks(text, size=K.CHUNK_SIZE, overlap=K.CHUNK_OVERLAP, keep=K.CHUNK_BREAK) -> Column:
-    """Overlapping chunks of a text: cut at the last space past ``keep * size``, step back ``overlap``.
-
-    The start of each chunk depends on where the one before was cut, so this is a fold over the
-    text's own length; it stays in the JVM and in its row.
-    """
-    least = int(size * keep) + 1
-    if least <= overlap:
-        raise ValueError("overlap must be smaller than the shortest chunk")
-    text = F.col(text) if isinstance(text, str) else text
-    none = F.expr("cast(array() as array<string>)")
-    start = F.struct(F.lit(0).alias("pos"), F.length(text).alias("chars"), none.alias("made"))
-
-    def let(value, body):
-        return F.element_at(F.transform(F.array(value), body), 1)
-
-    def cut(state, window, tail):
-        # tail: characters after the window's last space; a cut there must leave the window long enough
-        last_space = F.length(window) - tail - 1
-        cuts = (state["pos"] + size < state["chars"]) & (last_space > size * keep)
-        return F.when(cuts, last_space).otherwise(F.lit(size))
-
-    def grow(state, window, n):
-        return F.struct(
-            (state["pos"] + n - overlap).alias("pos"), state["chars"].alias("chars"),
-            F.concat(state["made"], F.array(strip(F.substring(window, 1, n)))).alias("made"))
-
-    def step(state, _):
-        def cut_window(window):
-            tail = F.length(F.substring_index(window, " ", -1))
-            return let(cut(state, window, tail), lambda n: grow(state, window, n))
-
-        return F.when(state["pos"] >= state["chars"], state).otherwise(
-            let(F.substring(text, state["pos"] + 1, F.lit(size)), cut_window))
-
-    rounds = F.sequence(F.lit(0), F.ceil(F.length(text) / (least - overlap)).cast("int"))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(
-        F.aggregate(rounds, start, step, lambda state: state["made"]))

@@ -1,20 +1,58 @@
 """Text chunks and pages: analysis by pattern, pages of a chunk, source inventory."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom import constants as K
 from fieldloom.functions.text import (
-    all_matches, chunks, contains_any, ellipsis, filled, first_match, head, preview, strip)
+    BLANKS, all_matches, contains_any, ellipsis, filled, first_match, head, preview, strip)
 from fieldloom.session import materialise, spread
 
 SAMPLE = 200
+BATCH_CHARS = 8 << 20
 
 
 def chunk_documents(documents: DataFrame, size=K.CHUNK_SIZE, overlap=K.CHUNK_OVERLAP) -> DataFrame:
     """Chunk rows (source_file, chunk_id from 0, chunk) of full texts (source_file, text)."""
     others = [c for c in documents.columns if c != "text"]
-    return spread(documents).select(*others, F.posexplode(chunks("text", size, overlap)).alias("chunk_id", "chunk"))
+    least = int(size * K.CHUNK_BREAK) + 1
+    if least <= overlap:
+        raise ValueError("overlap must be smaller than the shortest chunk")
+    keep, blanks, at = K.CHUNK_BREAK, BLANKS, len(others)
+
+    def pieces(text):
+        if len(text) <= size:
+            yield text
+            return
+        place = 0
+        while place < len(text):  # strings are indexed by code point, so a text takes time in proportion to its length
+            end = place + size
+            space = text.rfind(" ", place, end) - place if end < len(text) else -1
+            taken = space if space > size * keep else size
+            yield text[place:place + taken].strip(blanks)
+            place += taken - overlap
+
+    def cut(batches):
+        for batch in batches:
+            rows, numbers, made, held = [], [], [], 0
+            for row, text in enumerate(batch.column(at).to_pylist()):
+                for number, piece in enumerate(pieces(text) if text is not None else ()):
+                    rows.append(row), numbers.append(number), made.append(piece)
+                    held += len(piece)
+                    if held > BATCH_CHARS:
+                        yield _taken(batch, at, rows, numbers, made)
+                        rows, numbers, made, held = [], [], [], 0
+            yield _taken(batch, at, rows, numbers, made)
+
+    def _taken(batch, width, rows, numbers, made):
+        columns = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(width)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(made, pa.string())], [*batch.schema.names[:width], "chunk_id", "chunk"])
+
+    source = spread(documents).select(*others, "text")
+    schema = T.StructType([*[source.schema[c] for c in others], T.StructField("chunk_id", T.IntegerType()), T.StructField("chunk", T.StringType())])
+    return source.mapInArrow(cut, schema)
 
 
 def chunk_analysis(chunk) -> Column:

@@ -7,8 +7,13 @@ from fieldloom.functions.numbering import number_rows
 
 
 def add_documents(existing: DataFrame, incoming: DataFrame, order_by) -> DataFrame:
-    """Incoming rows with ids ``doc_{n}`` continuing the stored count, routed by their metadata."""
-    first = existing.count()
+    """Incoming rows with ids ``doc_{n}`` that go on after the stored rows and their largest number, routed by their metadata.
+
+    The count alone is no safe start: after a delete it names an id that exists.
+    """
+    key = F.col("doc_id" if "doc_id" in existing.columns else "id").cast("string")
+    largest = F.max(F.regexp_extract(key, "^doc_([0-9]{1,18})$", 1).try_cast("bigint"))
+    first = existing.agg(F.greatest(F.count("*"), F.coalesce(largest + 1, F.lit(0)))).first()[0]
     numbered = number_rows(incoming, order_by, name="_n")
     mapping = F.coalesce(F.element_at("metadata", F.lit("_mapping_type")), F.lit("")) == "data_mapping"
     return numbered.withColumns({
@@ -17,9 +22,14 @@ def add_documents(existing: DataFrame, incoming: DataFrame, order_by) -> DataFra
 
 
 def add_batch(collection: DataFrame, batch: DataFrame) -> DataFrame:
-    """Append rows whose id is new; rows without a vector are left out, stored ids stay as they are."""
+    """Append rows whose id is new; rows without a vector are left out, stored ids stay as they are.
+
+    Of rows with one id the smallest document (then vector) is taken, so that a repeated run gives the same rows.
+    """
     fresh = batch.where("embedding is not null").join(collection.select("id"), "id", "left_anti")
-    fresh = fresh.dropDuplicates(["id"])
+    rest = [c for c in collection.columns if c != "id"]
+    order = F.struct(*[F.map_entries(c) if kind.startswith("map") else F.col(c) for c, kind in sorted(fresh.select(*rest).dtypes, key=lambda x: (x[0] != "document", x[0]))])
+    fresh = fresh.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("_row")).select("id", "_row.*")
     return collection.unionByName(fresh.select(*collection.columns))
 
 
@@ -66,13 +76,11 @@ def search_text(collection: DataFrame, text: str, n: int = 5, where=None) -> Dat
     return rows.orderBy("id").limit(n)
 
 
-def collection_stats(collection: DataFrame, sample: int = 100) -> DataFrame:
-    """Row count, and the metadata keys seen on the first ``sample`` rows by id."""
+def collection_stats(collection: DataFrame) -> DataFrame:
+    """Row count, and the metadata keys seen on any row (``sample_size``: how many rows were looked at, which is all)."""
+    keys = collection.select(F.explode(F.map_keys("metadata")).alias("key")).agg(F.array_sort(F.collect_set("key")).alias("metadata_keys"))
     total = collection.agg(F.count("*").alias("total_documents")).withColumns(
-        {"sample_size": F.lit(None).cast("bigint"), "metadata_keys": F.lit(None).cast("array<string>")})
-    head = collection.orderBy("id").limit(sample)
-    keys = head.agg(
-        F.lit(None).cast("bigint").alias("total_documents"), F.count("*").alias("sample_size"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("metadata"))))).alias("metadata_keys"))
+        {"sample_size": F.col("total_documents"), "metadata_keys": F.lit(None).cast("array<string>")})
+    keys = keys.select(F.lit(None).cast("bigint").alias("total_documents"), F.lit(None).cast("bigint").alias("sample_size"), "metadata_keys")
     # two one-row tables become one row; max skips the blanks
     return total.unionByName(keys).agg(*[F.max(c).alias(c) for c in total.columns])

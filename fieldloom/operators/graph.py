@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import constants as K
+from fieldloom.functions.numbering import number_rows
 from fieldloom.functions.text import fixed, preview
 
 NO_ATTRS = "cast(map() as map<string,string>)"
@@ -189,20 +190,12 @@ def field_node_id(source_file, field) -> Column:
     return F.concat(F.lit("field_"), source_file, F.lit("_"), field)
 
 
-def review_pairs(documents: DataFrame, limit_all: int = 50, sample: int = 100, seed: int = 7) -> DataFrame:
-    """Pairs of documents to review: every pair of a small table, else a seeded sample of pairs.
+def review_pairs(documents: DataFrame, seed: int = 7) -> DataFrame:
+    """Pairs of documents to review: in a seeded random order of all ids, every id meets the next.
 
-    For a large table one narrow range of hashed ids is enough: each drawn id meets the next drawn
-    one, so no product of the table with itself is formed.
+    So every document is reviewed, the pairs grow with the table, and no product of the table with itself is formed.
     """
-    few = documents.select("doc_id").limit(limit_all + 1).count()
-    ids = documents.select("doc_id")
-    if few <= limit_all:  # checked size: at most limit_all rows
-        other = ids.withColumnRenamed("doc_id", "doc2_id")
-        return ids.withColumnRenamed("doc_id", "doc1_id").join(other, F.col("doc1_id") < F.col("doc2_id"))
-    drawn = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(2 * sample)
-    listed = drawn.agg(F.array_sort(F.collect_list(
-        F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id"))).alias("d"))  # 2 * sample ids
-    pairs = listed.select(F.posexplode("d").alias("at", "x"), "d").where(F.col("at") % 2 == 0).select(
-        F.col("x.doc_id").alias("p"), F.get("d", F.col("at") + 1)["doc_id"].alias("q"))
-    return pairs.where("q is not null").select(F.least("p", "q").alias("doc1_id"), F.greatest("p", "q").alias("doc2_id"))
+    drawn = documents.select("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}"))).alias("_draw"))
+    placed = number_rows(drawn, ["_draw", "doc_id"], name="_n").select("doc_id", "_n")
+    following = placed.select(F.col("doc_id").alias("_next"), (F.col("_n") - 1).alias("_n"))
+    return placed.join(following, "_n").select(F.least("doc_id", "_next").alias("doc1_id"), F.greatest("doc_id", "_next").alias("doc2_id"))

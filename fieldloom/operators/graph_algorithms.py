@@ -1,10 +1,12 @@
 """Iterative graph operators. The driver keeps only loop counters; every round is a table."""
 
+import itertools
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldloom.operators.graph import both_ways, endpoints
-from fieldloom.session import materialise
+from fieldloom.session import Rounds, materialise
 
 SOURCES_PER_BATCH = 20_000
 
@@ -59,11 +61,12 @@ def is_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return components(nodes, edges).agg((F.count_distinct("component") == 1).alias("is_connected"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping=0.85, max_iter=100, tol=1e-6, iterations=None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping=0.85, max_iter=None, tol=1e-6, iterations=None) -> DataFrame:
     """Weighted PageRank with dangling mass spread evenly.
 
-    Stops when the summed change falls below n * tol; ``iterations`` asks for a fixed number of
-    rounds instead. Edge shares are computed once and only the ranks change from round to round.
+    Stops when the summed change falls below n * tol, which the damping brings about; a ``max_iter`` that is reached
+    before raises. ``iterations`` asks for a fixed number of rounds instead. Edge shares are computed once and only the
+    ranks change from round to round; the dangling mass of a round is observed while its ranks are written.
     """
     total = nodes.count()
     if total == 0:
@@ -71,23 +74,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping=0.85, max_iter=100, tol
     weight = F.coalesce("weight", F.lit(1.0))
     out = edges.groupBy("src").agg(F.sum(weight).alias("_out")).where("_out > 0")
     shares = materialise(edges.join(out, "src").select("src", "dst", (weight / F.col("_out")).alias("share")), "shares")
-    state = materialise(nodes.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("_linked")), "id", "left")
-                        .select("id", F.coalesce("_linked", F.lit(False)).alias("linked"),
-                                F.lit(1.0 / total).alias("score")), "ranks")
-    for _ in range(iterations or max_iter):
-        dangling = state.where(~F.col("linked")).agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+    rounds = Rounds(nodes.sparkSession, "ranks")
+    state = rounds.keep(nodes.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("_linked")), "id", "left")
+                        .select("id", F.coalesce("_linked", F.lit(False)).alias("linked"), F.lit(1.0 / total).alias("score"), F.lit(0.0).alias("_old")))
+    dangling = state.where(~F.col("linked")).count() / total
+    for turn in itertools.count():
+        if turn == iterations:
+            break
+        if iterations is None and turn == max_iter:
+            raise RuntimeError(f"PageRank has not settled within {max_iter} rounds")
         flow = shares.join(state.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(
             F.sum(F.col("share") * F.col("score")).alias("flow"))
         base = (1.0 - damping) / total + damping * dangling / total
         new = state.join(flow, state["id"] == flow["dst"], "left").select(
             "id", "linked", (F.lit(base) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"),
             F.col("score").alias("_old"))
-        new = materialise(new, "ranks")
-        if iterations is None:
-            change = new.agg(F.sum(F.abs(F.col("score") - F.col("_old")))).first()[0]
-            if change < total * tol:
-                return new.select("id", "score")
-        state = new.drop("_old")
+        seen = Observation("round")
+        state = rounds.keep(new.observe(
+            seen, F.sum(F.abs(F.col("score") - F.col("_old"))).alias("change"),
+            F.coalesce(F.sum(F.when(~F.col("linked"), F.col("score"))), F.lit(0.0)).alias("dangling")))
+        dangling = seen.get["dangling"]
+        if iterations is None and seen.get["change"] < total * tol:
+            break
     return state.select("id", "score")
 
 
@@ -173,31 +181,33 @@ def betweenness(nodes: DataFrame, edges: DataFrame, source_batches: int | None =
     return nodes.select("id").join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Communities by neighbour majority (id, community).
 
     A node keeps its label while that is among the most frequent around it, else it wants the
     smallest of those. Two neighbours that change at once could swap labels forever, so of two that
     want to change only the one with the larger hash, drawn anew each round, does. Done when no node
-    wants to change.
+    wants to change, which every move brings nearer (fewer edges join different labels); a ``max_rounds`` reached before raises.
     """
     links = materialise(both_ways(edges.where("src <> dst")).distinct(), "links")
-    labels = materialise(nodes.select("id", F.col("id").alias("label")), "labels")
-    for turn in range(max_rounds):
+    kept, wishes = Rounds(nodes.sparkSession, "labels"), Rounds(nodes.sparkSession, "moves")
+    labels = kept.keep(nodes.select("id", F.col("id").alias("label")))
+    for turn in itertools.count():
+        if turn == max_rounds:
+            raise RuntimeError(f"labels have not settled within {max_rounds} rounds")
         votes = links.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
         own = labels.select(F.col("id").alias("a"), F.col("label").alias("own"))
         best = votes.join(own, "a").groupBy("a").agg(
             F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("choice"), F.max("n").alias("most"),
             F.max(F.when(F.col("label") == F.col("own"), F.col("n"))).alias("own_n"))
-        wish = materialise(best.where("own_n is null or own_n < most").select(
-            F.col("a").alias("id"), "choice", F.xxhash64("a", F.lit(turn)).alias("draw")), "moves")
+        wish = wishes.keep(best.where("own_n is null or own_n < most").select(
+            F.col("a").alias("id"), "choice", F.xxhash64("a", F.lit(turn)).alias("draw")))
         if wish.isEmpty():
             break
         rival = links.join(wish.select(F.col("id").alias("a"), F.col("draw").alias("mine")), "a").join(
             wish.select(F.col("id").alias("b"), F.col("draw").alias("theirs")), "b").where("theirs > mine")
         moves = wish.join(rival.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-        labels = materialise(labels.join(moves.select("id", "choice"), "id", "left").select(
-            "id", F.coalesce("choice", "label").alias("label")), "labels")
+        labels = kept.keep(labels.join(moves.select("id", "choice"), "id", "left").select("id", F.coalesce("choice", "label").alias("label")))
     return _smallest_id(labels, "label")
 
 
@@ -223,28 +233,31 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return row["i"] / (row["e"] / 2.0) - row["q"] / (row["e"] ** 2)
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, max_levels: int = 10, max_moves: int = 12, least_gain: float = 1e-6) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, least_gain: float = 1e-6) -> DataFrame:
     """Communities by modularity: rounds of local moves, then contraction, until nothing is gained.
 
     In one round half of the nodes (the halves take turns) may move to the neighbouring community
-    with the largest gain; a round that lowers modularity is undone and ends the level.
+    with the largest gain; a round that lowers modularity is undone and ends the level. Modularity is at most one and every
+    level has to gain ``least_gain``, so there is no other bound.
     """
     weight = F.coalesce("weight", F.lit(1.0))
     undirected = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(weight).alias("weight"))
     graph = materialise(undirected, "graph")
-    mapping = materialise(nodes.select("id", F.col("id").alias("community")), "communities")
-    for level in range(max_levels):
+    mappings, graphs = Rounds(nodes.sparkSession, "communities"), Rounds(nodes.sparkSession, "graph")
+    degrees, neighbours, places = Rounds(nodes.sparkSession, "degree"), Rounds(nodes.sparkSession, "links"), Rounds(nodes.sparkSession, "placed")
+    mapping = mappings.keep(nodes.select("id", F.col("id").alias("community")))
+    while True:
         points = endpoints(graph)
-        placed = materialise(points.select("id", F.col("id").alias("community")), "placed")
+        placed = places.keep(points.select("id", F.col("id").alias("community")))
         before = start = modularity(graph, placed)
         twice = 2.0 * (graph.agg(F.sum("weight")).first()[0] or 0.0)
         if twice == 0.0:
             break
         loops = both_ways(graph, F.col("weight"))
-        degree = materialise(loops.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")), "degree")
-        links = materialise(loops.where("a <> b"), "links")
+        degree = degrees.keep(loops.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")))
+        links = neighbours.keep(loops.where("a <> b"))
         idle = False
-        for turn in range(max_moves):
+        for turn in itertools.count():
             strength = placed.join(degree, "id").groupBy("community").agg(F.sum("k").alias("total"))
             towards = links.join(placed.select(F.col("id").alias("b"), "community"), "b").groupBy(
                 F.col("a").alias("id"), "community").agg(F.sum("weight").alias("w"))
@@ -262,26 +275,26 @@ def louvain(nodes: DataFrame, edges: DataFrame, max_levels: int = 10, max_moves:
             trial = placed.join(best, "id", "left").select(
                 "id", F.when(due, F.coalesce("choice", "community")).otherwise(F.col("community")).alias("community"),
                 (due & (F.col("choice") != F.col("community"))).alias("moved")).observe(seen, F.count_if("moved").alias("n"))
-            trial = materialise(trial, "placed").drop("moved")
+            trial = places.keep(trial).drop("moved")
             if seen.get["n"] == 0:
                 if idle:
                     break  # neither half wants to move
-                idle = True
+                idle, placed = True, trial
                 continue
             after = modularity(graph, trial)
             if after < before - 1e-12:
-                break
+                break  # ``placed`` is the folder before this one
             gained, before, placed, idle = after - before, after, trial, False
             if turn > 2 and gained < least_gain:
                 break
         if before - start < least_gain:
             break
-        mapping = materialise(mapping.join(placed.select(F.col("id").alias("community"), F.col("community").alias("_new")), "community", "left")
-                              .select("id", F.coalesce("_new", "community").alias("community")), "communities")
+        mapping = mappings.keep(mapping.join(placed.select(F.col("id").alias("community"), F.col("community").alias("_new")), "community", "left")
+                                .select("id", F.coalesce("_new", "community").alias("community")))
         a = placed.select(F.col("id").alias("src"), F.col("community").alias("ca"))
         b = placed.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-        graph = materialise(graph.join(a, "src").join(b, "dst").groupBy(
-            F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(F.sum("weight").alias("weight")), "graph")
+        graph = graphs.keep(graph.join(a, "src").join(b, "dst").groupBy(
+            F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(F.sum("weight").alias("weight")))
     return _smallest_id(mapping.withColumnRenamed("community", "label"), "label")
 
 

@@ -149,8 +149,8 @@ def target_node_id(name) -> Column:
     return F.concat(F.lit("target_"), F.replace(name, F.lit("."), F.lit("_")))
 
 
-def mapping_edges(rows: DataFrame) -> DataFrame:
-    """One data_mapping edge per related row, with its descriptive columns."""
+def mapping_edges(rows: DataFrame, keep=()) -> DataFrame:
+    """One data_mapping edge per related row, with its descriptive columns and the columns ``keep`` of the row."""
     related = rows.where(F.col("relationship").isNotNull())
     rule = F.col("transformation_rule")
     return related.select(
@@ -163,12 +163,15 @@ def mapping_edges(rows: DataFrame) -> DataFrame:
         mapping_source(F.col("source_table"), F.col("source_column")).alias("mapping_source"),
         is_direct(rule).alias("is_direct_mapping"),
         (filled(rule) & ~is_direct(rule)).alias("requires_transformation"),
-        mapping_complexity(rule).alias("mapping_complexity"),
+        mapping_complexity(rule).alias("mapping_complexity"), *keep,
     )
 
 
 def mapping_graph(rows: DataFrame):
     """Nodes and edges that mapping rows contribute: fields, data_mapping, defines_source/target."""
+    # the order in which rows are read: by file, then by number (not by the text of an id)
+    seq = F.struct("source_file", "row_number", "doc_id") if {"source_file", "row_number"} <= set(rows.columns) else F.struct("doc_id")
+    rows = rows.withColumn("_seq", seq)
     related = rows.where(F.col("relationship").isNotNull())
     rel = F.col("relationship")
     text = [F.col("relationship.data_type").alias("data_type"), F.col("relationship.description").alias("description")]
@@ -179,23 +182,23 @@ def mapping_graph(rows: DataFrame):
 
     nodes = related.select(F.explode(F.array(
         F.struct(source_node_id(rel["source"]).alias("id"), F.lit("source_field").alias("node_type"),
-                 attrs("table_column", rel["source"], "source").alias("attrs"), F.col("doc_id").alias("seq")),
+                 attrs("table_column", rel["source"], "source").alias("attrs"), F.col("_seq").alias("seq")),
         F.struct(target_node_id(rel["target"]).alias("id"), F.lit("target_field").alias("node_type"),
-                 attrs("field_name", rel["target"], "target").alias("attrs"), F.col("doc_id").alias("seq")),
+                 attrs("field_name", rel["target"], "target").alias("attrs"), F.col("_seq").alias("seq")),
     )).alias("n")).select("n.*")
     edge_cols = ["source_table", "source_column", "target_field", "transformation_rule", "data_type", "description",
                  "mapping_source", "is_direct_mapping", "requires_transformation", "mapping_complexity"]
-    mapped = mapping_edges(rows)
+    mapped = mapping_edges(rows, ["_seq"])
     entries = [x for c in edge_cols for x in (F.lit(c), F.col(c).cast("string"))]
     edges = mapped.select("src", "dst", "relationship_type", "weight",
-                          F.create_map(*entries).alias("attrs"), F.col("doc_id").alias("seq"))
+                          F.create_map(*entries).alias("attrs"), F.col("_seq").alias("seq"))
     none = F.expr("cast(map() as map<string,string>)")
     defines = related.select(F.explode(F.array(
         F.struct(F.col("doc_id").alias("src"), source_node_id(rel["source"]).alias("dst"),
                  F.lit("defines_source").alias("relationship_type")),
         F.struct(F.col("doc_id").alias("src"), target_node_id(rel["target"]).alias("dst"),
                  F.lit("defines_target").alias("relationship_type")),
-    )).alias("e"), F.col("doc_id").alias("seq")).select("e.*", F.lit(1.0).alias("weight"), none.alias("attrs"), "seq")
+    )).alias("e"), F.col("_seq").alias("seq")).select("e.*", F.lit(1.0).alias("weight"), none.alias("attrs"), "seq")
     return nodes, edges.unionByName(defines)
 
 

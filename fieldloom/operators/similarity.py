@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.constants import CONTENT_SIMILARITY, FIELD_SIMILARITY
-from fieldloom.functions.numbering import number_rows
 from fieldloom.functions.vectors import distance, literal
 from fieldloom.session import materialise
 
-MAX_QUERY_BYTES = 16 << 20  # query vectors held by each task at once
+BLOCK_ROWS, QUERY_ROWS = 8192, 512  # vectors of the collection and of queries that a task holds at once
 MAX_PIVOTS = 128
 MAX_BLOCK_BYTES = 32 << 20  # vectors of one block of a similarity join
 TILE = 2048
@@ -41,79 +40,59 @@ def similar_documents(collection: DataFrame, doc_id, n=5, metric="l2sq") -> Data
     return nearest(collection.where(F.col("id") != doc_id), found[0]["embedding"], n, metric)
 
 
-def nearest_many(collection: DataFrame, queries: DataFrame, n=5, metric="l2sq") -> DataFrame:
+def nearest_many(collection: DataFrame, queries: DataFrame, n=5, metric="l2sq", block_rows=BLOCK_ROWS, query_rows=QUERY_ROWS) -> DataFrame:
     """k nearest rows for every query vector (query_id, embedding).
 
-    Queries are taken in batches of a fixed size that every task can hold. A task scans its own
-    rows once and hands on only its ``n`` best per query, so the shuffle carries
-    tasks x queries x n rows and the collection itself never moves.
+    Both sides are dealt to blocks of a bounded number of vectors by a hash of their ids, and every block of queries meets every
+    block of the collection by an equality join; nothing goes through the driver but the two row counts. A task holds one pair
+    of blocks and hands on only the ``n`` best per query; a window over blocks x ``n`` rows per query keeps the best overall.
     """
-    probe = queries.limit(1).collect()
-    if not probe:
-        return _nearest_batch(collection, [], n, metric)
-    most = max(1, MAX_QUERY_BYTES // (8 * max(1, len(probe[0]["embedding"]))))
-    few = queries.limit(most + 1).collect()
-    if len(few) <= most:
-        return _nearest_batch(collection, few, n, metric)
-    numbered = materialise(number_rows(queries, ["query_id"], name="_n"), "queries")
-    total = numbered.agg(F.max("_n")).first()[0]
-    out = None
-    for start in range(0, total, most):
-        batch = numbered.where((F.col("_n") > start) & (F.col("_n") <= start + most)).drop("_n").collect()
-        one = _nearest_batch(collection, batch, n, metric)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _nearest_batch(collection, batch, n, metric):
-    if not batch:
-        return collection.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"),
-                                 F.lit(0.0).alias("similarity")).where(F.lit(False))
-    ids = np.array([r["query_id"] for r in batch])
-    wanted = np.array([r["embedding"] for r in batch], dtype=np.float64)
-    if metric == "cosine":
-        wanted = _unit(wanted)
     types = dict(collection.dtypes)
-    id_type = types["id"]
-    query_type = "bigint" if ids.dtype.kind in "iu" else "string"
-
-    slices = [slice(k, k + 128) for k in range(0, len(ids), 128)]
+    query_type, id_type = dict(queries.dtypes)["query_id"], types["id"]
+    rows = collection.where("embedding is not null").select("id", "embedding")
+    asked = queries.where("embedding is not null").select("query_id", "embedding")
+    places = max(1, -(-rows.count() // block_rows))
+    stored = _in_blocks(rows.withColumnRenamed("id", "key"), places).select(F.col("block"), F.col("keys").alias("ids"), F.col("vectors"))
+    batches = _in_blocks(asked.withColumnRenamed("query_id", "key"), max(1, -(-asked.count() // query_rows))).select(F.col("keys").alias("query_ids"), F.col("vectors").alias("wanted"))
+    meeting = batches.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).join(stored, "block")
 
     def best(frames):
-        kept = [None] * len(slices)  # n best per query so far, for this task
+        def unit(matrix):
+            length = np.linalg.norm(matrix, axis=1, keepdims=True)
+            return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+
         for frame in frames:
-            if not len(frame):
-                continue
-            vecs = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-            own = frame["id"].to_numpy()
-            if metric == "cosine":
-                vecs = _unit(vecs)
-            for k, part in enumerate(slices):
-                target = wanted[part]
+            for row in frame.itertuples():
+                own, ids = np.asarray(row.ids), np.asarray(row.query_ids)
+                vecs = np.frombuffer(row.vectors, np.float64).reshape(len(own), -1)
+                wanted = np.frombuffer(row.wanted, np.float64).reshape(len(ids), -1)
                 if metric == "cosine":
-                    dist = 1.0 - vecs @ target.T
+                    dist = 1.0 - unit(vecs) @ unit(wanted).T
                 else:
-                    dist = np.maximum(
-                        0.0, (vecs ** 2).sum(1)[:, None] + (target ** 2).sum(1)[None, :] - 2.0 * (vecs @ target.T))
+                    dist = np.maximum(0.0, (vecs ** 2).sum(1)[:, None] + (wanted ** 2).sum(1)[None, :] - 2.0 * (vecs @ wanted.T))
                 names = np.repeat(own[:, None], dist.shape[1], axis=1)
-                if kept[k] is not None:
-                    dist, names = np.vstack([kept[k][0], dist]), np.vstack([kept[k][1], names])
                 top = np.lexsort((names, np.round(dist, 9)), axis=0)[:n]
-                kept[k] = (np.take_along_axis(dist, top, 0), np.take_along_axis(names, top, 0))
-        for k, part in enumerate(slices):
-            if kept[k] is not None:
-                dist, names = kept[k]
-                yield pd.DataFrame({
-                    "query_id": np.repeat(ids[part], len(dist)),
-                    "id": names.T.ravel(), "distance": dist.T.ravel()})
+                dist, names = np.take_along_axis(dist, top, 0), np.take_along_axis(names, top, 0)
+                yield pd.DataFrame({"query_id": np.repeat(ids, len(dist)), "id": names.T.ravel(), "distance": dist.T.ravel()})
 
-    rows = collection.where("embedding is not null").select("id", "embedding")
-    partial = rows.mapInPandas(best, f"query_id {query_type}, id {id_type}, distance double")
+    partial = meeting.select("ids", "vectors", "query_ids", "wanted").mapInPandas(best, f"query_id {query_type}, id {id_type}, distance double")
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
     return (partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
             .withColumn("similarity", 1.0 - F.col("distance")))
 
 
+def _in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """block, keys and vectors (as bytes) of (key, embedding): one row per block."""
+    key_type = dict(rows.dtypes)["key"]
+
+    def gather(at, frame):
+        vectors = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+        return pd.DataFrame({"block": [at[0]], "keys": [frame["key"].to_numpy()], "vectors": [vectors.tobytes()]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block").applyInPandas(gather, f"block int, keys array<{key_type}>, vectors binary")
+
+
 def _unit(matrix):
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)

@@ -8,6 +8,7 @@ from fieldloom.operators.build import build_graph
 from fieldloom.operators.mapping import mapping_graph
 from fieldloom.plans import bindings as B
 from fieldloom.plans.registry import query, table
+from fieldloom.session import materialise
 
 KINDS = ("customer", "supplier", "nation", "region", "part")
 NODES = B.sql_nodes(*KINDS)
@@ -143,13 +144,18 @@ def jn13_nodes(spark, sf_dir):
     return G.subgraph(_nodes(spark, sf_dir), _edges(spark, sf_dir), ids)[0].select("id", "node_type")
 
 
-@query("jn14_review_pairs_all", "SELECT 'n' || lpad(a.n_nationkey::VARCHAR, 3, '0') AS doc1_id, 'n' || lpad(b.n_nationkey::VARCHAR, 3, '0') AS doc2_id FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def _review_sql(ids: str) -> str:
+    return f"""WITH ids AS ({ids}), o AS (SELECT doc_id, lead(doc_id) OVER (ORDER BY md5(doc_id || ':7'), doc_id) AS next FROM ids)
+SELECT least(doc_id, next) AS doc1_id, greatest(doc_id, next) AS doc2_id FROM o WHERE next IS NOT NULL"""
+
+
+@query("jn14_review_pairs_all", _review_sql("SELECT 'n' || lpad(n_nationkey::VARCHAR, 3, '0') AS doc_id FROM nation"))
 def jn14(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("doc_id"))
     return G.review_pairs(n)
 
 
-@query("top5_sampled_pairs")
+@query("top5_sampled_pairs", _review_sql("SELECT 'doc_' || doc_id AS doc_id FROM documents"))
 def top5(spark, sf_dir):
     return G.review_pairs(B.documents(spark, sf_dir))
 
@@ -195,14 +201,25 @@ def _clustered(spark, sf_dir):
     return B.nodes_of(spark, sf_dir, "customer", "supplier", "nation", "region"), B.place_edges(spark, sf_dir)
 
 
-@query("gr4_label_propagation")
+# the graph of _clustered is a tree, where a stable labelling is checked by its defining property: per node, no label is more frequent around it
+@query("gr4_label_propagation", f"WITH {B.sql_nodes('customer', 'supplier', 'nation', 'region')} SELECT id, true AS is_stable FROM nodes")
 def gr4(spark, sf_dir):
-    return GA.label_propagation(*_clustered(spark, sf_dir))
+    nodes, edges = _clustered(spark, sf_dir)
+    found = materialise(GA.label_propagation(nodes, edges), "labels")
+    around = GA.both_ways(edges.where("src <> dst")).distinct().join(found.select(F.col("id").alias("b"), F.col("community").alias("label")), "b")
+    votes = around.groupBy(F.col("a").alias("id"), "label").agg(F.count("*").alias("n"))
+    best = votes.join(found, "id").groupBy("id").agg(F.max("n").alias("most"), F.max(F.when(F.col("label") == F.col("community"), F.col("n"))).alias("own"))
+    return found.join(best, "id", "left").select("id", (F.col("most").isNull() | (F.col("own") == F.col("most"))).alias("is_stable"))
 
 
-@query("gr5_louvain")
+# any good partition is valid: every node is placed once, and modularity is not below that of the regions (the graph's components)
+@query("gr5_louvain", f"WITH {B.sql_nodes('customer', 'supplier', 'nation', 'region')} SELECT count(*) AS nodes, true AS placed_once, true AS as_good_as_components FROM nodes")
 def gr5(spark, sf_dir):
-    return GA.louvain(*_clustered(spark, sf_dir))
+    nodes, edges = _clustered(spark, sf_dir)
+    found = materialise(GA.louvain(nodes, edges), "communities")
+    whole = GA.components(nodes, edges).withColumnRenamed("component", "community")
+    good = GA.modularity(edges, found) >= GA.modularity(edges, whole) - 1e-9
+    return found.agg(F.count("*").alias("nodes"), (F.count("*") == F.count_distinct("id")).alias("placed_once"), F.lit(good).alias("as_good_as_components"))
 
 
 @query("gr6_degree_centrality", f"""WITH {NODES}, {EDGES}, g AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)

@@ -76,9 +76,9 @@ def prj16_edges(spark, sf_dir):
     return upsert_edges(edges).select("src", "dst", "relationship_type", "weight")
 
 
-@query("prj16_mapping_graph_nodes", f"""WITH {B.ME} SELECT src AS id, 'source_field' AS node_type, arg_max(mapping_source, doc_id) AS name,
-  arg_max(description, doc_id) AS description FROM me GROUP BY src
-UNION ALL SELECT dst, 'target_field', arg_max(target_field, doc_id), arg_max(description, doc_id) FROM me GROUP BY dst""")
+@query("prj16_mapping_graph_nodes", f"""WITH {B.ME} SELECT src AS id, 'source_field' AS node_type, arg_max(mapping_source, (source_file, row_number)) AS name,
+  arg_max(description, (source_file, row_number)) AS description FROM me GROUP BY src
+UNION ALL SELECT dst, 'target_field', arg_max(target_field, (source_file, row_number)), arg_max(description, (source_file, row_number)) FROM me GROUP BY dst""")
 def prj16_nodes(spark, sf_dir):
     nodes, _ = MO.mapping_graph(B.mappings(spark, sf_dir))
     a = F.col("attrs")

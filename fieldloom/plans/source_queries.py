@@ -172,7 +172,7 @@ def _status(spark, sf_dir):
 STATUS = f"""WITH {B.SUPPLY}, {B.sql_nodes('nation', 'part', 'supplier')}, n AS (SELECT count(*)::DOUBLE AS n FROM nodes), m AS (SELECT count(*)::DOUBLE AS m FROM supply)
 SELECT 'documents' AS section, 'processed_documents' AS name, count(*)::DOUBLE AS value FROM documents
 UNION ALL SELECT 'collection', 'total_documents', count(*)::DOUBLE FROM embeddings
-UNION ALL SELECT 'collection', 'sample_size', least(100, count(*))::DOUBLE FROM embeddings
+UNION ALL SELECT 'collection', 'sample_size', count(*)::DOUBLE FROM embeddings
 UNION ALL SELECT 'collection', 'metadata_keys', 4.0 FROM (SELECT DISTINCT 1 FROM embeddings)
 UNION ALL SELECT 'graph', 'num_nodes', n FROM n UNION ALL SELECT 'graph', 'num_edges', m FROM m
 UNION ALL SELECT 'graph', 'average_degree', round(2 * m / n, 6) FROM n, m

@@ -210,7 +210,7 @@ def flt6(spark, sf_dir):
     return CO.get_document(B.collection(spark, sf_dir), 11).select("id", "document", F.size("embedding").cast("bigint").alias("dim"))
 
 
-@query("agg6_collection_stats", f"""WITH {B.C} SELECT count(*) AS total_documents, least(count(*), 100) AS sample_size, 'k0|k1|k2|label' AS metadata_keys FROM c""")
+@query("agg6_collection_stats", f"""WITH {B.C} SELECT count(*) AS total_documents, count(*) AS sample_size, 'k0|k1|k2|label' AS metadata_keys FROM c""")
 def agg6(spark, sf_dir):
     return CO.collection_stats(B.collection(spark, sf_dir)).withColumn("metadata_keys", F.array_join("metadata_keys", "|"))
 

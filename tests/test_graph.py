@@ -224,11 +224,30 @@ def test_presentation(spark):
 
 
 def test_review_pairs(spark):
-    few = spark.range(5).selectExpr("concat('d', id) as doc_id")
-    assert G.review_pairs(few).count() == 10
-    many = spark.range(300).selectExpr("concat('d', id) as doc_id")
-    first = sorted(map(tuple, G.review_pairs(many).collect()))
-    assert len(first) == 100 and all(a < b for a, b in first) and first == sorted(map(tuple, G.review_pairs(many).collect()))
+    docs = spark.createDataFrame([(f"d{i}",) for i in range(301)], "doc_id string")
+    got = sorted(map(tuple, G.review_pairs(docs).collect()))
+    assert len(got) == 300 and all(a < b for a, b in got) and len(set(got)) == 300
+    assert {x for pair in got for x in pair} == {f"d{i}" for i in range(301)}
+    assert got == sorted(map(tuple, G.review_pairs(docs.repartition(3)).collect())) != sorted(map(tuple, G.review_pairs(docs, seed=8).collect()))
+    assert G.review_pairs(docs.limit(1)).isEmpty()
+
+
+def test_loops_raise_at_a_bound_and_keep_two_rounds(spark):
+    import glob
+
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    pairs = [(str(i), str((i * i + k) % 40), 1.0) for i in range(40) for k in (1, 2)]
+    nodes, edges = nodes_of(spark, [str(i) for i in range(40)]), edges_of(spark, pairs)
+    with pytest.raises(RuntimeError):
+        GA.pagerank(nodes, edges, max_iter=1)
+    assert {r.score for r in GA.pagerank(nodes, edges, iterations=0).collect()} == {1 / 40}
+    with pytest.raises(RuntimeError):
+        GA.label_propagation(nodes, edges, max_rounds=0)
+    before = set(glob.glob(f"{base}/fieldloom/*"))
+    GA.pagerank(nodes, edges, iterations=9)
+    made = set(glob.glob(f"{base}/fieldloom/*")) - before
+    assert sum(len(glob.glob(f"{m}/[01]")) for m in made) == 2 and len(made) == 2
+
 
 
 DOC = "doc_id string, type string, source_file string, content string, parent_document string, metadata map<string,string>"

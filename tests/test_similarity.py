@@ -69,12 +69,11 @@ def test_pairs_of_nothing(spark):
 
 
 @pytest.mark.parametrize("metric", ["l2sq", "cosine"])
-@pytest.mark.parametrize("bytes_held", [16 << 20, 6 * 8 * 7])
-def test_nearest_many(spark, monkeypatch, metric, bytes_held):
-    monkeypatch.setattr(SI, "MAX_QUERY_BYTES", bytes_held)
+@pytest.mark.parametrize("rows", [(8192, 512), (7, 9)])
+def test_nearest_many(spark, metric, rows):
     m = made(50)
     df = frame(spark, m).repartition(3)
-    got = SI.nearest_many(df, df.select(F.col("id").alias("query_id"), "embedding"), 4, metric).collect()
+    got = SI.nearest_many(df, df.select(F.col("id").alias("query_id"), "embedding"), 4, metric, *rows).collect()
     dist = ((m[:, None] - m[None]) ** 2).sum(-1) if metric == "l2sq" else 1 - unit(m) @ unit(m).T
     for q in range(50):
         mine = [(r.id, r.rank) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import chunks, entity_list, fixed, json_span, strip
+from fieldloom.functions.text import entity_list, fixed, json_span, strip
 from fieldloom.operators import chunks as CH
 from fieldloom.operators import documents as DO
 
@@ -34,13 +34,25 @@ def texts():
 
 def test_chunker_against_restatement(spark):
     given = texts()
-    df = spark.createDataFrame(list(enumerate(given)), "i int, t string")
-    got = {r.i: r.c for r in df.select("i", chunks("t").alias("c")).collect()}
-    for i, text in enumerate(given):
-        assert got[i] == expected_chunks(text), i
-    small = {r.i: r.c for r in df.select("i", chunks("t", 50, 10).alias("c")).collect()}
-    for i, text in enumerate(given):
-        assert small[i] == expected_chunks(text, 50, 10), i
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(given)] + [(-1, None, "x")], "i int, text string, other string")
+    for size, overlap in ((700, 100), (50, 10)):
+        got = {}
+        for r in CH.chunk_documents(df, size, overlap).orderBy("i", "chunk_id").collect():
+            assert r.other == "x" and r.chunk_id == len(got.setdefault(r.i, []))
+            got[r.i].append(r.chunk)
+        assert got == {i: expected_chunks(text, size, overlap) for i, text in enumerate(given)}
+
+
+def test_chunker_time_follows_the_length(spark):
+    import time
+
+    took = []
+    for n in (1_000_000, 1_000_000, 4_000_000):  # the first run warms up
+        df = spark.createDataFrame([("word " * (n // 5),)], "text string")
+        start = time.perf_counter()
+        assert CH.chunk_documents(df).count() > n / 700
+        took.append(time.perf_counter() - start)
+    assert took[2] < 10 * took[1] + 2
 
 
 def test_strip_matches_python(spark):
