@@ -8,7 +8,7 @@ from fieldloom.functions.text import basename
 from fieldloom.operators.chunks import inventory_counts, source_inventory
 from fieldloom.operators.documents import file_summaries, merged_terms, page_description, row_text
 from fieldloom.operators.responses import page_metadata
-from fieldloom.sources.files import file_ids, find_files, parse_csv
+from fieldloom.sources.files import file_ids, find_files, parse_csv, plain_path
 from fieldloom.sources.pages import content_pages, full_text, page_counts
 
 COLUMNS = ["doc_id", "type", "source_file", "content", "raw_text", "parent_document", "row_number", "metadata"]
@@ -86,7 +86,7 @@ def process_files(spark: SparkSession, root: str, pages: DataFrame | None = None
     columns = ["path", "source_file", "row_number", "metadata"]
     out = csv_documents(local(plain.select(*columns).unionByName(sheet.select(*columns))), of("csv"))
     scripts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(root, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        plain_path().alias("path"), F.col("value").alias("text"))
     out = out.unionByName(script_documents(local(scripts), of("python")))
     if pages is not None:
         if "response" not in pages.columns:

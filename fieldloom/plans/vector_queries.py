@@ -40,7 +40,7 @@ def vec2(spark, sf_dir):
     return made.select("id", _r("distance"), F.round(1.0 - F.col("distance"), 6).alias("score"))
 
 
-@query("vec3_text_vectors")
+@query("vec3_text_vectors", "SELECT doc_id AS id, 256::INTEGER AS dim, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS length FROM documents")
 def vec3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     made = EM.fit_text_vectors(docs)(docs)

@@ -10,7 +10,6 @@ from fieldloom.operators.mapping import normalise_rows, row_maps
 from fieldloom.session import materialise
 
 SAMPLE_CHARS, SAMPLE_LINES = 1024, 5
-MAX_NAMED_FILES = 10_000
 CELL_SCHEMA = ("path string, source_file string, row_number bigint, header array<string>, "
                "cells array<string>, is_mapping boolean")
 
@@ -21,6 +20,11 @@ def file_class(path) -> Column:
             .when(F.endswith(path, F.lit(".py")), "python").otherwise("other"))
 
 
+def plain_path(path="_metadata.file_path") -> Column:
+    """Path of a file as it is named: the reader's metadata has blanks and other signs percent-encoded, but a plus sign is itself."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+
+
 def find_files(spark: SparkSession, root: str) -> DataFrame:
     """Recursive catalogue; file contents are never read (only path and length are selected)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -61,22 +65,34 @@ def csv_profile(spark: SparkSession, path: str) -> DataFrame:
     (WindowGroupLimit) is all that reaches the shuffle.
     """
     lines = _folder(spark, "text", path, lineSep="\n", pathGlobFilter="*.csv").select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        plain_path().alias("path"), F.col("_metadata.file_block_start").alias("_block"),
         F.col("value"), F.monotonically_increasing_id().alias("_at"))
     ordered = Window.partitionBy("path").orderBy("_at")
     first = (lines.where("_block = 0").withColumn("_n", F.row_number().over(ordered))
              .where(F.col("_n") <= SAMPLE_CHARS))
     one = F.struct("_n", preview(F.col("value"), SAMPLE_CHARS).alias("line"))
     gathered = first.groupBy("path").agg(
-        F.array_sort(F.collect_list(one)).alias("_lines"),
-        F.min_by("value", "_n").alias("_first"))
+        F.array_sort(F.collect_list(one)).alias("_lines"))
     texts = F.transform("_lines", lambda x: x["line"])
     profile = gathered.select(
-        "path", "_first", delimiter_of(preview(F.array_join(texts, "\n"), SAMPLE_CHARS)).alias("delimiter"),
+        "path", _first_record(texts).alias("_first"), delimiter_of(preview(F.array_join(texts, "\n"), SAMPLE_CHARS)).alias("delimiter"),
         is_mapping_sheet(F.slice(texts, 1, SAMPLE_LINES)).alias("is_mapping"))
     return profile.withColumn("columns", F.size(F.split("_first", F.col("delimiter")))).drop("_first")
 
 
+def _first_record(lines) -> Column:
+    """The first lines up to one that closes all quotes: a quoted header cell may hold line breaks."""
+    def quotes(text):
+        return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+    def add(state, line):
+        text = F.when(state["text"].isNull(), line).otherwise(F.concat_ws("\n", state["text"], line))
+        return F.when(state["whole"], state).otherwise(F.struct(text.alias("text"), (quotes(text) % 2 == 0).alias("whole")))
+
+    start = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("whole"))
+    return F.coalesce(F.aggregate(lines, start, add, lambda state: state["text"]), F.lit(""))
+
+
 def _numbered(raw: DataFrame) -> DataFrame:
     """Row number and first row of the file beside each row, without shuffling the rows.
 
@@ -104,22 +120,21 @@ def read_csv_cells(spark: SparkSession, path: str, max_columns: int | None = Non
     """
     profile = materialise(csv_profile(spark, path), "profile")
     # at most three groups of files, one per delimiter
-    kinds = profile.groupBy("delimiter").agg(F.max("columns").alias("columns"), F.count("*").alias("files")).collect()
+    kinds = profile.groupBy("delimiter").agg(F.max("columns").alias("columns")).collect()
     if not kinds:
         return spark.createDataFrame([], CELL_SCHEMA)
     body = None
     for kind in sorted(kinds, key=lambda k: k["delimiter"]):
         mine = profile.where(F.col("delimiter") == kind["delimiter"])
-        # few files are named to the reader; beyond that the folder is scanned and joined
-        where = [r["path"] for r in mine.select("path").collect()] if kind["files"] <= MAX_NAMED_FILES else path
         width = max_columns or kind["columns"]
         raw = spark.read.schema(", ".join(f"c{i} string" for i in range(width + 1))).options(
             sep=kind["delimiter"], multiLine=True, quote='"', escape='"', recursiveFileLookup=True,
-            pathGlobFilter="*.csv", encoding="UTF-8").csv(where)
+            pathGlobFilter="*.csv", encoding="UTF-8").csv(path)
         raw = raw.select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+            plain_path().alias("path"), F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_at"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
             F.col(f"c{width}").alias("_surplus"))
+        raw = raw.join(mine.select("path"), "path", "left_semi")  # the folder is scanned once per delimiter in it
         rows = _numbered(raw).where("_row > 1").join(mine.select("path", "is_mapping"), "path")
         one = rows.withColumn("header", _header_cells(F.col("_first"), width)).select(
             "path", basename(F.col("path")).alias("source_file"), (F.col("_row") - 1).alias("row_number"),
