@@ -76,3 +76,27 @@ def codes_of(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Dictionary codes of string values, and the dictionary."""
     coded = values.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that scatters them (fixed odd multipliers)."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def hash_strings(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings: scattered (place, byte) pairs, summed per string."""
+    data, at = bytes_of(values)
+    size = np.diff(at)
+    if len(data) == 0:
+        return mix(np.ones(len(size), np.uint64))
+    place = np.arange(len(data)) - np.repeat(at[:-1], size)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(1)))])
+    return mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64) + np.uint64(1))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers of an array, in order."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x

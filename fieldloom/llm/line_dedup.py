@@ -9,8 +9,9 @@ Lines are ordered by document id and line number; a line is removed if any earli
 3. The first words of a class in order of rarity (its prefix) are join keys. Rows of one key meet in blocks; within a block, arrays are compared
    at growing distance in order of size, under the length filter, the positional filter and a 128-bit symmetric-difference bound.
    Keys with more than ``block`` rows are split, and each pair of blocks is a group of its own.
-4. Every class goes on with its closest earlier candidate only, whose words are compared in full. Where that fails and there were
-   others, all candidates of the class are verified. So a crowd of near copies costs one check a line, and no match is lost.
+4. Every class goes on with its closest earlier candidate, whose words are compared in full. Where that fails, the other candidates
+   listed for it (a few a key) are compared, and where a key had more than were listed, all of them. So a crowd of near copies costs about
+   one check a line, and no match is lost.
 
 Defined cases: null texts count as empty; lines without words are no lines: they are kept and match nothing; ids are integers, null ids come last; rows
 that share an id, or have none, are one document, whose lines of equal number tie and are decided together, so repeated rows stay alike; an empty
@@ -22,17 +23,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import codes_of, pieces_of, slices, texts_of, unused
-from fieldloom.llm.order_minhash import mix
+from fieldloom.llm.common import codes_of, distinct, hash_strings, mix, pieces_of, slices, texts_of, unused
 from fieldloom.session import materialise
 
-SIMILARITY, BUCKETS, CHUNK, BLOCK = 0.8, 1 << 20, 1 << 14, 2000
+SIMILARITY, BUCKETS, CHUNK, BLOCK, LISTED = 0.8, 1 << 20, 1 << 14, 2000, 6
 LAST_ID = 2 ** 63 - 1
 FILTER_BITS = 1 << 25
 GATHERED_ROWS = 400_000
@@ -46,8 +45,7 @@ def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     words, owner = pieces_of(pc.ascii_split_whitespace(pc.utf8_lower(lists.flatten())))
     code, names = codes_of(words)
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names.to_pylist()], np.uint64)
-    return owner, code, hashes, np.stack([text, number])
+    return owner, code, hash_strings(names), np.stack([text, number])
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
@@ -89,7 +87,7 @@ def line_sets(docs: DataFrame, counts: np.ndarray, similarity: float, block: int
                 order = np.lexsort((hashes, often))
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
-                keys = np.unique(owner * len(order) + rank[code])
+                keys = distinct(owner * len(order) + rank[code])
                 own, word = keys // len(order), order[keys % len(order)]
                 heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 size = np.diff(np.append(heads, len(own)))
@@ -116,15 +114,22 @@ def line_sets(docs: DataFrame, counts: np.ndarray, similarity: float, block: int
     return docs.mapInArrow(describe, "doc long, line int, c1 long, c2 long, size int, rare int, b1 long, b2 long, prefix array<int>")
 
 
-def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+def prefix_rows(classes: DataFrame, frequent: bool) -> DataFrame:
+    """One row per word of the prefixes: of the rare words, whose keys cannot be hot, or of the frequent ones."""
+    part = F.slice("prefix", F.col("rare") + 1, F.size("prefix")) if frequent else F.slice("prefix", F.lit(1), F.col("rare"))
+    rows = classes.select("doc", "line", "size", "rare", "b1", "b2", F.posexplode(part).alias("pos", "token"))
+    return rows.withColumn("pos", F.col("pos") + F.col("rare")).drop("rare") if frequent else rows.drop("rare")
+
+
+def in_blocks(rare: DataFrame, frequent: DataFrame, block: int) -> DataFrame:
     """The rows of every key, with the groups they meet in: one for most keys; for a hot key one per pair of its blocks."""
-    hot = rows.where("pos >= rare").groupBy("token").count().where(F.col("count") > block).select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    cold = rows.where("pos < rare").unionByName(rows.where("pos >= rare").join(hot, "token", "left_anti"))
+    hot = frequent.groupBy("token").count().where(F.col("count") > block).select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    cold = rare.unionByName(frequent.join(hot, "token", "left_anti"))
     own = F.pmod(F.xxhash64("doc", "line"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    split = (rows.where("pos >= rare").join(hot, "token").withColumn("own", own).select("*", other)
+    split = (frequent.join(hot, "token").withColumn("own", own).select("*", other)
              .withColumn("part", 1 + F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).withColumn("across", F.col("own") != F.col("other")))
-    names = ["token", "part", "own", "across", "doc", "line", "size", "pos", "b1", "b2"]
+    names = ["token", "part", "own", "across", *[c for c in rare.columns if c != "token"]]
     return cold.withColumns({"part": F.lit(0), "own": F.lit(0), "across": F.lit(False)}).select(names).unionByName(split.select(names))
 
 
@@ -142,7 +147,7 @@ def near_pairs(rows: dict, similarity: float):
         need = overlap_needed(size[i], size[j], similarity)
         good = (rows["pos"][i] <= size[i] - need) & (rows["pos"][j] <= size[j] - need) & (~rows["across"][i] | (rows["own"][i] != rows["own"][j]))
         a, b, need = i[good], j[good], need[good]
-        differ = np.bitwise_count(rows["b1"][a] ^ rows["b1"][b]).astype(np.int64) + np.bitwise_count(rows["b2"][a] ^ rows["b2"][b])
+        differ = sum(np.bitwise_count((rows[k][a] ^ rows[k][b]).view(np.uint64)).astype(np.int64) for k in ("b1", "b2"))
         near = differ <= size[a] + size[b] - 2 * need
         if near.any():
             yield a[near], b[near], differ[near]
@@ -151,8 +156,8 @@ def near_pairs(rows: dict, similarity: float):
 
 
 def candidates(grouped: DataFrame, similarity: float, every: bool = False) -> DataFrame:
-    """Later line, earlier line, and the least difference of their sets: for each later line and group the closest one and how many there
-    were, or with ``every`` all of the lines marked ``asked``."""
+    """Later line, earlier line, and the least difference of their sets: for each later line and group the ``LISTED`` closest ones, the first
+    of them counting those left out too; or with ``every`` all of the lines marked ``asked``."""
     schema = "doc long, line int, with_doc long, with_line int, differ int, found int"
 
     def meet(table):
@@ -183,8 +188,15 @@ def candidates(grouped: DataFrame, similarity: float, every: bool = False) -> Da
         late, early, differ, found = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((early, differ, late))
         late, early, differ, found = late[order], early[order], differ[order], found[order]
-        first = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]])) if len(late) else np.zeros(0, np.int64)
-        return late[first], early[first], differ[first], np.add.reduceat(found, first) if len(first) else found
+        if len(late) == 0:
+            return late, early, differ, found
+        first = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]]))
+        size = np.diff(np.append(first, len(late)))
+        nth = np.arange(len(late)) - np.repeat(first, size)
+        left_out = np.add.reduceat(found, first) - np.minimum(size, LISTED)
+        found = np.where(nth == 0, np.repeat(left_out, size) + 1, 1)
+        keep = nth < LISTED
+        return late[keep], early[keep], differ[keep], found[keep]
 
     def meet_all(batches):
         held, count = [], 0
@@ -270,19 +282,30 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLO
     sets = line_sets(plain, frequencies(plain), similarity, block)
     first = F.min(F.struct("doc", "line", "size", "rare", "b1", "b2", "prefix")).alias("first")
     classes = materialise(sets.groupBy("c1", "c2").agg(first).select("first.*"), "line-classes")
-    rows = classes.select("doc", "line", "size", "rare", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
-    found = materialise(candidates(in_blocks(rows, block), similarity), "candidates")
-    best = found.groupBy("doc", "line").agg(F.min(F.struct("differ", "with_doc", "with_line")).alias("best"), F.max("found").alias("found"),
-                                            F.count_distinct("with_doc", "with_line").alias("partners"))
-    best = materialise(best.select("doc", "line", "best.with_doc", "best.with_line", ((F.col("partners") > 1) | (F.col("found") > F.lit(1))).alias("more")), "best")
+    rare, frequent = prefix_rows(classes, False), prefix_rows(classes, True)
+    found = materialise(candidates(in_blocks(rare, frequent, block), similarity), "candidates")
+    pairs = found.groupBy("doc", "line", "with_doc", "with_line").agg(F.min("differ").alias("differ"), F.max("found").alias("found"))
+    best = pairs.groupBy("doc", "line").agg(F.min(F.struct("differ", "with_doc", "with_line")).alias("best"), F.count("*").alias("listed"), F.max("found").alias("found"))
+    best = materialise(best.select("doc", "line", "best.with_doc", "best.with_line", (F.col("listed") > 1).alias("more"), (F.col("found") > 1).alias("unlisted")), "best")
     gone = materialise(matching(best, plain, similarity), "matches")
-    open_ = materialise(best.where("more").join(gone, ["doc", "line"], "left_anti").select("doc", "line"), "open")
+    key, both = ["doc", "line"], ["doc", "line", "with_doc", "with_line"]
+    # lines whose closest candidate failed: the others listed, then those of crowds that were not listed
+    open_ = materialise(best.where("more").join(gone, key, "left_anti").select("doc", "line", "unlisted"), "open")
     if not open_.isEmpty():
-        tokens = rows.join(open_, ["doc", "line"], "left_semi").select("token").distinct()
-        again = in_blocks(rows.join(tokens, "token", "left_semi"), block).join(open_.withColumn("asked", F.lit(True)), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        rest = candidates(again, similarity, every=True).select("doc", "line", "with_doc", "with_line").distinct()
-        rest = materialise(rest.join(best.select("doc", "line", "with_doc", "with_line"), ["doc", "line", "with_doc", "with_line"], "left_anti"), "rest")
+        tested = best.select(both)
+        rest = materialise(pairs.join(open_, key, "left_semi").select(both).join(tested, both, "left_anti"), "rest")
         gone = gone.union(materialise(matching(rest, plain, similarity), "matches"))
+        open_ = materialise(open_.where("unlisted").join(gone, key, "left_anti").select(key), "open")
+        if not open_.isEmpty():
+            tokens = rare.join(open_, key, "left_semi").select("token").union(frequent.join(open_, key, "left_semi").select("token")).distinct()
+            asked = open_.withColumn("asked", F.lit(True))
+
+            def marked(rows):
+                return rows.join(tokens, "token", "left_semi").join(asked, key, "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+
+            far = candidates(in_blocks(marked(rare), marked(frequent), block), similarity, every=True).select(both).distinct()
+            far = materialise(far.join(tested.union(rest), both, "left_anti"), "rest")
+            gone = gone.union(materialise(matching(far, plain, similarity), "matches"))
     return classes.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
 
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import codes_of, held_out, labelled_sample, pieces_of, slices, texts_of
+from fieldloom.llm.common import codes_of, distinct, held_out, labelled_sample, pieces_of, slices, texts_of
 from fieldloom.session import materialise
 
 SAMPLE_ROWS, FEATURES, LEAST_TEXTS, STEM = 20_000, 4096, 4, 4
@@ -52,7 +52,7 @@ def features_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     stem = pc.binary_join_element_wise(pa.scalar("s"), pc.utf8_slice_codeunits(plain, 0, STEM), ":")
     own, alias = codes_of(pa.concat_arrays([word, stem]))
     pairs = [owner[keep[code]] * len(alias) + own[:len(names)][code[keep[code]]], owner[long[code]] * len(alias) + own[len(names):][code[long[code]]]]
-    found = np.unique(np.concatenate(pairs))
+    found = distinct(np.concatenate(pairs))
     return found // max(1, len(alias)), alias.take(pa.array(found % max(1, len(alias)))) if len(found) else pa.array([], pa.string())
 
 

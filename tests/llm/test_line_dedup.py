@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from fieldloom.llm import line_dedup
@@ -57,6 +58,7 @@ def test_against_all_pairs(spark, block):
 def test_closest_candidate_fails(spark):
     """Sets whose parity bits are close but that do not match must not hide one that does."""
     draw = random.Random(9)
+
     vocabulary = [f"v{i}" for i in range(60)]
     base = [draw.sample(vocabulary, 50) for _ in range(6)]
     lines = []
@@ -71,6 +73,31 @@ def test_closest_candidate_fails(spark):
     assert {(r.doc_id, i) for r in got for i in r.kept_lines} == brute(rows)
 
 
+def test_filters_lose_no_match():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        sets = [frozenset(rng.choice(40, rng.integers(1, 30), replace=False).tolist()) for _ in range(25)]
+        sets += [frozenset(list(s)[: max(1, len(s) - int(rng.integers(0, 5)))]) for s in sets]
+        sets.sort(key=len)
+        bits = rng.integers(0, 128, 40)
+        fields = {k: [] for k in ("group", "size", "pos", "across", "own", "b1", "b2", "of")}
+        tokens = {t: [] for s in sets for t in s}
+        for k, s in enumerate(sets):
+            parity = [0, 0]
+            for t in s:
+                parity[bits[t] // 64] ^= 1 << int(bits[t] % 64)
+            for pos, t in enumerate(sorted(s)[: len(s) - int(np.ceil(.8 * len(s) - 1e-9)) + 1]):
+                tokens[t].append((len(s), k, pos, parity))
+        for g, t in enumerate(sorted(tokens)):
+            for size, k, pos, parity in sorted(tokens[t], key=lambda x: x[0]):
+                for name, value in zip(fields, (g, size, pos, False, 0, *parity, k)):
+                    fields[name].append(value)
+        rows = {k: np.array(v, np.uint64).view(np.int64) if k in ("b1", "b2") else np.array(v) for k, v in fields.items()}
+        found = {tuple(sorted((int(rows["of"][a]), int(rows["of"][b])))) for x, y, _ in line_dedup.near_pairs(rows, .8) for a, b in zip(x, y)}
+        true = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= .8 * len(sets[i] | sets[j]) - 1e-9}
+        assert true <= found
+
+
 def test_nulls_repeats_and_empty_table(spark):
     rows = [(1, None), (2, ""), (3, "a b\n\nc d\na b"), (3, "a b\n\nc d\na b"), (None, "c d\nnew one"), (None, "other words"), (4, "x" * 100_000), (5, "A  b"), (6, "\n".join(f"n{i}" for i in range(5000)))]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
