@@ -126,9 +126,12 @@ def claim_lines(claims: DataFrame) -> DataFrame:
     return rows.select(*[made[name].alias(name) for name in order])
 
 
-def load_claims(claims: DataFrame, out: str, run_date: str) -> dict:
-    """Append all four staging tables; returns rows written per table, counted during the writes."""
+def load_claims(claims: DataFrame, out: str, run_date: str, load_id: str | None = None) -> dict:
+    """Load all four staging tables; returns rows written per table, counted during the writes.
+
+    Every load is a part of each table, named by ``load_id`` (by default the run date), so a load that is repeated leaves the counts as they are.
+    """
     from fieldloom.sources.stores import append_staging
     tables = {"stg_claim_header": claim_header(claims, run_date), "stg_claim_diagnosis": claim_diagnoses(claims),
               "stg_claim_procedures": claim_procedures(claims), "stg_claim_lines": claim_lines(claims)}
-    return {name: append_staging(table, f"{out}/{name}") for name, table in tables.items()}
+    return {name: append_staging(table, f"{out}/{name}", load_id or run_date) for name, table in tables.items()}

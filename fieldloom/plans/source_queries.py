@@ -258,9 +258,17 @@ def agg7(spark, sf_dir):
     return files.files_per_class(listed)
 
 
-@query("dml5_drop_collection", "SELECT vec_id AS id, label FROM embeddings WHERE false")
+@query("dml5_drop_collection", "SELECT 1 AS version, count(*) AS rows FROM embeddings UNION ALL SELECT 2, 0")
 def dml5(spark, sf_dir):
-    return CO.drop_all(B.vectors(spark, sf_dir)).select("id", "label")
+    """Rows of the stored collection before and after it is dropped."""
+    path = scratch_path(spark, "collection")
+    stores.store_collection(B.vectors(spark, sf_dir), path)
+    stores.store_collection(CO.drop_all(stores.stored_collection(spark, path)), path)
+    out = None
+    for version in (1, 2):
+        one = stores.stored_collection(spark, path, version).agg(F.count("*").alias("rows")).select(F.lit(version).alias("version"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("prj15_csv_documents", """SELECT 'csv_row' AS type, count(*) AS documents, count(*) AS shaped_ids FROM (SELECT p_partkey FROM part WHERE p_size <> 7

@@ -10,6 +10,8 @@ from fieldloom.operators import similarity as SI
 from fieldloom.operators.graph import contains_edges
 from fieldloom.plans import bindings as B
 from fieldloom.plans.registry import query, table
+from fieldloom.session import scratch_path
+from fieldloom.sources import stores
 
 COS = "list_cosine_similarity(a.e, b.e)"
 L2 = "list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -225,10 +227,18 @@ def _shifted(spark, sf_dir):
 SHIFTED = "v AS (SELECT vec_id AS id, label FROM embeddings), h AS (SELECT count(*) // 2 AS half FROM v), b AS (SELECT id + half AS id, label + 100 AS label FROM v, h)"
 
 
+def _reloaded(spark, rows, change):
+    """Store a collection, store its changed version, and read that."""
+    path = scratch_path(spark, "collection")
+    stores.store_collection(rows, path)
+    stores.store_collection(change(stores.stored_collection(spark, path)), path)
+    return stores.stored_collection(spark, path)
+
+
 @query("dml2_add_batch", f"WITH {SHIFTED} SELECT id, label FROM v UNION ALL SELECT id, label FROM b WHERE label <> 103 AND id NOT IN (SELECT id FROM v)")
 def dml2(spark, sf_dir):
     stored, batch = _shifted(spark, sf_dir)
-    return CO.add_batch(stored, batch).select("id", "label")
+    return _reloaded(spark, stored, lambda kept: CO.add_batch(kept, batch)).select("id", "label")
 
 
 @query("dml3_update", f"WITH {SHIFTED} SELECT v.id, coalesce(CASE WHEN b.label <> 105 THEN b.label END, v.label) AS label, b.id IS NOT NULL AND b.label <> 103 AS new_vector FROM v LEFT JOIN b ON v.id = b.id")
@@ -236,12 +246,12 @@ def dml3(spark, sf_dir):
     stored, batch = _shifted(spark, sf_dir)
     marked = batch.select("id", F.when(F.col("embedding").isNotNull(), F.array(F.lit(9.0).cast("float"))).alias("embedding"),
                           F.when(F.col("label") != 105, F.col("label")).alias("label"))
-    return CO.update(stored, marked).select("id", "label", (F.size("embedding") == 1).alias("new_vector"))
+    return _reloaded(spark, stored, lambda kept: CO.update(kept, marked)).select("id", "label", (F.size("embedding") == 1).alias("new_vector"))
 
 
 @query("dml4_delete", f"WITH {SHIFTED} SELECT id, label FROM v WHERE id NOT IN (SELECT id FROM b)")
 def dml4(spark, sf_dir):
     stored, batch = _shifted(spark, sf_dir)
-    return CO.delete(stored, batch).select("id", "label")
+    return _reloaded(spark, stored, lambda kept: CO.delete(kept, batch)).select("id", "label")
 
 

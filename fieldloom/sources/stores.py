@@ -1,8 +1,11 @@
 """Saved documents, graphs and collections: readers and writers."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.operators.collection import add_batch
+
 DOCUMENT_SCHEMA = (
     "doc_id string, type string, source_file string, content string, raw_text string, "
     "parent_document string, row_number int, metadata map<string,string>")
@@ -97,14 +100,57 @@ def import_collection(spark: SparkSession, path: str) -> DataFrame:
         {"ts": F.current_timestamp(), "doc_length": F.length("document")})
 
 
-def append_staging(table: DataFrame, path: str) -> int:
-    """Append rows to a staging folder and return how many were written, without a second scan."""
+def latest_version(spark: SparkSession, path: str) -> int:
+    """Number of the last whole version of a stored collection; 0 if there is none."""
+    try:
+        return spark.read.schema("version int").parquet(f"{path}/versions").agg(F.max("version")).first()[0] or 0
+    except AnalysisException:  # the folder is not there yet
+        return 0
+
+
+def store_collection(collection: DataFrame, path: str) -> int:
+    """Write a new version of a stored collection and return its number.
+
+    A version is a folder of its own and counts once it is listed, so readers see it whole or not at all; a write that failed
+    before is written over. Versions that went before stay readable.
+    """
+    number = latest_version(collection.sparkSession, path) + 1
+    collection.write.mode("overwrite").parquet(f"{path}/v{number}")
+    collection.sparkSession.range(1).select(F.lit(number).alias("version")).write.mode("append").parquet(f"{path}/versions")
+    return number
+
+
+def stored_collection(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The last version of a stored collection, or a given one."""
+    number = latest_version(spark, path) if version is None else version
+    if number < 1:
+        raise ValueError(f"no collection is stored in {path}")
+    return spark.read.parquet(f"{path}/v{number}")
+
+
+def import_into(spark: SparkSession, exported: str, path: str, overwrite: bool = False) -> int:
+    """Import an export into a stored collection, as a new version: in place of its rows, or beside them where the id is new."""
+    rows = import_collection(spark, exported)
+    if overwrite or not latest_version(spark, path):
+        return store_collection(rows, path)
+    return store_collection(add_batch(stored_collection(spark, path), rows), path)
+
+
+def append_staging(table: DataFrame, path: str, load_id: str | None = None) -> int:
+    """Append rows to a staging folder and return how many were written, without a second scan.
+
+    With a ``load_id`` the rows are a part of their own, and a repeated load writes over its own part.
+    """
     seen = Observation("staging")
-    table.observe(seen, F.count("*").alias("rows")).write.mode("append").parquet(path)
+    write = table.observe(seen, F.count("*").alias("rows")).write
+    if load_id is None:
+        write.mode("append").parquet(path)
+    else:
+        write.mode("overwrite").parquet(f"{path}/load_id={load_id}")
     return seen.get["rows"]
 
 
 def read_staging(spark: SparkSession, path: str) -> DataFrame:
     """Staging folder with the merged schema of all its appends."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+    return spark.read.option("mergeSchema", True).parquet(path).drop("load_id")
 

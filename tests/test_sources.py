@@ -142,3 +142,32 @@ def test_numbering_inside_groups(spark, hot_rows):
 def test_numbering_of_whole_table(spark):
     got = number_rows(spark.range(500).selectExpr("(id * 7) % 500 as v"), ["v"]).collect()
     assert all(r.row_number == r.v + 1 for r in got) and len(got) == 500
+
+
+def test_stored_collection_versions(spark, tmp_path):
+    schema = "id string, embedding array<float>, document string, metadata map<string,string>, ts timestamp, doc_length int"
+    path, export = str(tmp_path / "c"), str(tmp_path / "e")
+    one = spark.createDataFrame([("a", [1.0], "one", {}, None, 3), ("b", [2.0], "two", {}, None, 3)], schema)
+    assert stores.latest_version(spark, path) == 0
+    with pytest.raises(ValueError):
+        stores.stored_collection(spark, path)
+    assert stores.store_collection(one, path) == 1
+    assert stores.store_collection(stores.stored_collection(spark, path).where("id = 'a'"), path) == 2
+    assert stores.store_collection(stores.stored_collection(spark, path).where("false"), path) == 3
+    assert [stores.stored_collection(spark, path, v).count() for v in (1, 2, 3)] == [2, 1, 0] and stores.stored_collection(spark, path).isEmpty()
+    more = spark.createDataFrame([("a", [9.0], "other", {}, None, 5), ("c", [3.0], "three", {}, None, 5)], schema)
+    stores.export_collection(more, "more", export)
+    stores.store_collection(one, path)
+    stores.import_into(spark, export, path)
+    assert {r.id: r.document for r in stores.stored_collection(spark, path).collect()} == {"a": "one", "b": "two", "c": "three"}
+    assert stores.import_into(spark, export, path, overwrite=True) == 6
+    assert {r.id: r.document for r in stores.stored_collection(spark, path).collect()} == {"a": "other", "c": "three"}
+
+
+def test_repeated_load_leaves_counts(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for _ in range(2):
+        assert stores.append_staging(spark.range(3).toDF("a"), path, "2025-09-02") == 3
+    stores.append_staging(spark.range(2).toDF("a"), path, "2025-09-03")
+    got = stores.read_staging(spark, path)
+    assert got.columns == ["a"] and got.count() == 5
