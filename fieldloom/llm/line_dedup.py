@@ -34,7 +34,7 @@ from fieldloom.session import materialise
 SIMILARITY, BUCKETS, CHUNK, BLOCK, LISTED = 0.8, 1 << 20, 1 << 14, 2000, 6
 LAST_ID = 2 ** 63 - 1
 FILTER_BITS = 1 << 25
-GATHERED_ROWS = 400_000
+GATHERED_ROWS = 250_000
 
 
 def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,9 +128,10 @@ def in_blocks(rare: DataFrame, frequent: DataFrame, block: int) -> DataFrame:
     own = F.pmod(F.xxhash64("doc", "line"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     split = (frequent.join(hot, "token").withColumn("own", own).select("*", other)
-             .withColumn("part", 1 + F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).withColumn("across", F.col("own") != F.col("other")))
-    names = ["token", "part", "own", "across", *[c for c in rare.columns if c != "token"]]
-    return cold.withColumns({"part": F.lit(0), "own": F.lit(0), "across": F.lit(False)}).select(names).unionByName(split.select(names))
+             .withColumn("part", 1 + F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+             .withColumn("side", F.when(F.col("own") == F.col("other"), 0).otherwise(F.col("own") + 1)))  # two blocks: only rows of different sides meet
+    names = ["token", "part", "side", *[c for c in rare.columns if c != "token"]]
+    return cold.withColumns({"part": F.lit(0), "side": F.lit(0)}).select(names).unionByName(split.select(names))
 
 
 def near_pairs(rows: dict, similarity: float):
@@ -145,7 +146,7 @@ def near_pairs(rows: dict, similarity: float):
         fits = size[i] >= similarity * size[j] - 1e-9
         i, j = i[fits], j[fits]  # sizes grow with j: who fails now fails for good
         need = overlap_needed(size[i], size[j], similarity)
-        good = (rows["pos"][i] <= size[i] - need) & (rows["pos"][j] <= size[j] - need) & (~rows["across"][i] | (rows["own"][i] != rows["own"][j]))
+        good = (rows["pos"][i] <= size[i] - need) & (rows["pos"][j] <= size[j] - need) & ((rows["side"][i] == 0) | (rows["side"][i] != rows["side"][j]))
         a, b, need = i[good], j[good], need[good]
         differ = sum(np.bitwise_count((rows[k][a] ^ rows[k][b]).view(np.uint64)).astype(np.int64) for k in ("b1", "b2"))
         near = differ <= size[a] + size[b] - 2 * need
@@ -165,6 +166,8 @@ def candidates(grouped: DataFrame, similarity: float, every: bool = False) -> Da
         fresh = (rows["token"][1:] != rows["token"][:-1]) | (rows["part"][1:] != rows["part"][:-1])
         rows["group"] = np.concatenate([[0], np.cumsum(fresh)])
         rows["size"] = rows["size"].astype(np.int64)
+        order = np.argsort((rows["group"] << 32) + rows["size"])
+        rows = {name: rows[name][order] for name in rows if name not in ("token", "part")}
         parts = []
         for a, b, differ in near_pairs(rows, similarity):
             doc, line = rows["doc"], rows["line"]
@@ -219,7 +222,7 @@ def candidates(grouped: DataFrame, similarity: float, every: bool = False) -> Da
             if out is not None:
                 yield out
 
-    return grouped.repartition("token", "part").sortWithinPartitions("token", "part", "size", "doc", "line").mapInArrow(meet_all, schema)
+    return grouped.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(meet_all, schema)
 
 
 def asked_lines(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -259,13 +262,14 @@ def matching(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 
     def verify(batches):
         for batch in batches:
-            a, b = (pc.ascii_split_whitespace(pc.utf8_lower(batch.column(i))).to_pylist() for i in (2, 3))
-            good = []
-            for x, y in zip(a, b):
-                x, y = {w for w in x if w}, {w for w in y if w}
-                common = len(x & y)
-                good.append(common > 0 and common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            for k in range(0, batch.num_rows, 1000):
+                part, good = batch.slice(k, 1000), []
+                a, b = (pc.ascii_split_whitespace(pc.utf8_lower(part.column(i))).to_pylist() for i in (2, 3))
+                for x, y in zip(a, b):
+                    x, y = {w for w in x if w}, {w for w in y if w}
+                    common = len(x & y)
+                    good.append(common > 0 and common >= similarity * (len(x) + len(y) - common) - 1e-9)
+                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     early = lines.select(F.col("doc").alias("with_doc"), F.col("line").alias("with_line"), F.col("text").alias("with_text"))
     both = pairs.join(lines, ["doc", "line"]).join(early, ["with_doc", "with_line"]).select("doc", "line", "text", "with_text")
@@ -297,7 +301,7 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLO
         gone = gone.union(materialise(matching(rest, plain, similarity), "matches"))
         open_ = materialise(open_.where("unlisted").join(gone, key, "left_anti").select(key), "open")
         if not open_.isEmpty():
-            tokens = rare.join(open_, key, "left_semi").select("token").union(frequent.join(open_, key, "left_semi").select("token")).distinct()
+            tokens = materialise(classes.join(open_, key, "left_semi").select(F.explode("prefix").alias("token")).distinct(), "tokens")
             asked = open_.withColumn("asked", F.lit(True))
 
             def marked(rows):

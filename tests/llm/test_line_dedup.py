@@ -80,7 +80,7 @@ def test_filters_lose_no_match():
         sets += [frozenset(list(s)[: max(1, len(s) - int(rng.integers(0, 5)))]) for s in sets]
         sets.sort(key=len)
         bits = rng.integers(0, 128, 40)
-        fields = {k: [] for k in ("group", "size", "pos", "across", "own", "b1", "b2", "of")}
+        fields = {k: [] for k in ("group", "size", "pos", "side", "b1", "b2", "of")}
         tokens = {t: [] for s in sets for t in s}
         for k, s in enumerate(sets):
             parity = [0, 0]
@@ -90,7 +90,7 @@ def test_filters_lose_no_match():
                 tokens[t].append((len(s), k, pos, parity))
         for g, t in enumerate(sorted(tokens)):
             for size, k, pos, parity in sorted(tokens[t], key=lambda x: x[0]):
-                for name, value in zip(fields, (g, size, pos, False, 0, *parity, k)):
+                for name, value in zip(fields, (g, size, pos, 0, *parity, k)):
                     fields[name].append(value)
         rows = {k: np.array(v, np.uint64).view(np.int64) if k in ("b1", "b2") else np.array(v) for k, v in fields.items()}
         found = {tuple(sorted((int(rows["of"][a]), int(rows["of"][b])))) for x, y, _ in line_dedup.near_pairs(rows, .8) for a, b in zip(x, y)}
