@@ -70,24 +70,29 @@ def csv_profile(spark: SparkSession, path: str) -> DataFrame:
     ordered = Window.partitionBy("path").orderBy("_at")
     first = (lines.where("_block = 0").withColumn("_n", F.row_number().over(ordered))
              .where(F.col("_n") <= SAMPLE_CHARS))
-    one = F.struct("_n", preview(F.col("value"), SAMPLE_CHARS).alias("line"))
+    # lines of the first record go on whole; of the lines after it only the sample is kept
+    open_before = F.coalesce(F.sum(_quotes(F.col("value"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
+    first = first.withColumn("_open", open_before)
+    first = first.withColumn("_after", F.sum(F.when((F.col("_n") > 1) & ~F.col("_open"), 1).otherwise(0)).over(ordered))
+    one = F.struct("_n", F.when(F.col("_after") == 0, F.col("value")).otherwise(preview(F.col("value"), SAMPLE_CHARS)).alias("line"))
     gathered = first.groupBy("path").agg(
         F.array_sort(F.collect_list(one)).alias("_lines"))
-    texts = F.transform("_lines", lambda x: x["line"])
+    texts = F.transform("_lines", lambda x: preview(x["line"], SAMPLE_CHARS))
     profile = gathered.select(
-        "path", _first_record(texts).alias("_first"), delimiter_of(preview(F.array_join(texts, "\n"), SAMPLE_CHARS)).alias("delimiter"),
+        "path", _first_record(F.transform("_lines", lambda x: x["line"])).alias("_first"), delimiter_of(preview(F.array_join(texts, "\n"), SAMPLE_CHARS)).alias("delimiter"),
         is_mapping_sheet(F.slice(texts, 1, SAMPLE_LINES)).alias("is_mapping"))
     return profile.withColumn("columns", F.size(F.split("_first", F.col("delimiter")))).drop("_first")
 
 
+def _quotes(text) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+
 def _first_record(lines) -> Column:
     """The first lines up to one that closes all quotes: a quoted header cell may hold line breaks."""
-    def quotes(text):
-        return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
-
     def add(state, line):
         text = F.when(state["text"].isNull(), line).otherwise(F.concat_ws("\n", state["text"], line))
-        return F.when(state["whole"], state).otherwise(F.struct(text.alias("text"), (quotes(text) % 2 == 0).alias("whole")))
+        return F.when(state["whole"], state).otherwise(F.struct(text.alias("text"), (_quotes(text) % 2 == 0).alias("whole")))
 
     start = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("whole"))
     return F.coalesce(F.aggregate(lines, start, add, lambda state: state["text"]), F.lit(""))

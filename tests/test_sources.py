@@ -171,3 +171,14 @@ def test_repeated_load_leaves_counts(spark, tmp_path):
     stores.append_staging(spark.range(2).toDF("a"), path, "2025-09-03")
     got = stores.read_staging(spark, path)
     assert got.columns == ["a"] and got.count() == 5
+
+
+@pytest.mark.parametrize("breaks", [False, True])
+def test_wide_header(spark, tmp_path, breaks):
+    names = [f"column_{i:03d}" for i in range(300)]
+    head = [f'"{n}\nmore"' if breaks and i % 100 == 99 else n for i, n in enumerate(names)]
+    write(tmp_path, "wide.csv", ",".join(head) + "\n" + ",".join(str(i) for i in range(300)) + "\n")
+    write(tmp_path, "narrow.csv", "a,b\n1,2\n")
+    got = {r.source_file: r for r in files.read_csv_cells(spark, str(tmp_path)).collect()}
+    assert [h.split("\n")[0] for h in got["wide.csv"].header] == names and got["wide.csv"].cells == [str(i) for i in range(300)]
+    assert got["narrow.csv"].cells == ["1", "2"]
