@@ -111,3 +111,13 @@ def test_load_counts(spark, tmp_path):
     c = claim(spark, CLM_ID="c1", PRNCPAL_DGNS_CD="D", REV_CNTR_CD=["1", "2"])
     assert CL.load_claims(c, str(tmp_path), "2025-09-02") == {
         "stg_claim_header": 1, "stg_claim_diagnosis": 1, "stg_claim_procedures": 0, "stg_claim_lines": 0}
+
+
+def test_batches_of_one_day_are_kept(spark, tmp_path):
+    from fieldloom.sources.stores import read_staging
+    one, two = (claim(spark, CLM_ID=i, PRNCPAL_DGNS_CD="D") for i in ("c1", "c2"))
+    for batch in (one, two, one):
+        assert CL.load_claims(batch, str(tmp_path), "2025-09-02")["stg_claim_header"] == 1
+    for name in ("stg_claim_header", "stg_claim_diagnosis"):
+        assert sorted(r.claim_id for r in read_staging(spark, f"{tmp_path}/{name}").collect()) == ["c1", "c2"]
+    assert CL.batch_id(one.union(two)) == CL.batch_id(two.union(one)) != CL.batch_id(one.union(one))
