@@ -1,7 +1,7 @@
 """Line dedup: an exact set-similarity join of lines; a line that matches an earlier one goes.
 
 A line is the set of its words (lower case, split at ASCII white space). It matches another if their Jaccard similarity is at least ``similarity``.
-Lines are ordered by document id and line number; a line is removed if any earlier line matches it, removed or not.
+Lines are ordered by document id, a 64-bit hash of the whole text, and line number; a line is removed if any earlier line matches it, removed or not.
 
 1. Word frequencies over all lines are counted in 2^20 hash buckets, a table of constant size. It only orders words by rarity.
 2. Equal sets are one class with its first line (an aggregation that combines before the shuffle). Every later line of a
@@ -14,8 +14,8 @@ Lines are ordered by document id and line number; a line is removed if any earli
    one check a line, and no match is lost.
 
 Defined cases: null texts count as empty; lines without words are no lines: they are kept and match nothing; ids are integers, null ids come last; rows
-that share an id, or have none, are one document, whose lines of equal number tie and are decided together, so repeated rows stay alike; an empty
-table yields no rows. Other columns pass through ``without_repeats``; a text whose lines all go becomes empty, its row stays.
+that share an id, or have none, are told apart by the hash of their text (``copy``), so only rows repeated with id and text tie: they are decided together and stay
+alike; an empty table yields no rows. Other columns pass through ``without_repeats``; a text whose lines all go becomes empty, its row stays.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ SIMILARITY, BUCKETS, CHUNK, BLOCK, LISTED = 0.8, 1 << 20, 1 << 14, 2000, 6
 LAST_ID = 2 ** 63 - 1
 FILTER_BITS = 1 << 25
 GATHERED_ROWS = 250_000
+PLACE, WITH = ["doc", "copy", "line"], ["with_doc", "with_copy", "with_line"]
 
 
 def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,25 +100,25 @@ def line_sets(docs: DataFrame, counts: np.ndarray, similarity: float, block: int
                 place = np.arange(len(own)) - np.repeat(heads, size)
                 inside = place < np.repeat(prefix, size)
                 rare = np.add.reduceat((inside & (often[word] <= block)).astype(np.int64), heads)
-                docs_of = part.column(0).to_numpy(zero_copy_only=False)
+                docs_of, copies_of = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 line = own[heads]
                 starts = np.concatenate([[0], np.cumsum(prefix)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(docs_of[where[0][line]], pa.int64()), pa.array(where[1][line], pa.int32()),
+                    pa.array(docs_of[where[0][line]], pa.int64()), pa.array(copies_of[where[0][line]], pa.int64()), pa.array(where[1][line], pa.int32()),
                     pa.array(np.add.reduceat(mix(h), heads).view(np.int64)), pa.array(np.add.reduceat(mix(h ^ np.uint64(0x5DEECE66D)), heads).view(np.int64)),
                     pa.array(size, pa.int32()), pa.array(rare, pa.int32()),
                     pa.array(np.bitwise_xor.reduceat(np.where(bit < 64, one, np.uint64(0)), heads).view(np.int64)),
                     pa.array(np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(0), one), heads).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h[inside].astype(np.uint32).view(np.int32))),
-                ], ["doc", "line", "c1", "c2", "size", "rare", "b1", "b2", "prefix"])
+                ], ["doc", "copy", "line", "c1", "c2", "size", "rare", "b1", "b2", "prefix"])
 
-    return docs.mapInArrow(describe, "doc long, line int, c1 long, c2 long, size int, rare int, b1 long, b2 long, prefix array<int>")
+    return docs.mapInArrow(describe, "doc long, copy long, line int, c1 long, c2 long, size int, rare int, b1 long, b2 long, prefix array<int>")
 
 
 def prefix_rows(classes: DataFrame, frequent: bool) -> DataFrame:
     """One row per word of the prefixes: of the rare words, whose keys cannot be hot, or of the frequent ones."""
     part = F.slice("prefix", F.col("rare") + 1, F.size("prefix")) if frequent else F.slice("prefix", F.lit(1), F.col("rare"))
-    rows = classes.select("doc", "line", "size", "rare", "b1", "b2", F.posexplode(part).alias("pos", "token"))
+    rows = classes.select(*PLACE, "size", "rare", "b1", "b2", F.posexplode(part).alias("pos", "token"))
     return rows.withColumn("pos", F.col("pos") + F.col("rare")).drop("rare") if frequent else rows.drop("rare")
 
 
@@ -125,7 +126,7 @@ def in_blocks(rare: DataFrame, frequent: DataFrame, block: int) -> DataFrame:
     """The rows of every key, with the groups they meet in: one for most keys; for a hot key one per pair of its blocks."""
     hot = frequent.groupBy("token").count().where(F.col("count") > block).select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     cold = rare.unionByName(frequent.join(hot, "token", "left_anti"))
-    own = F.pmod(F.xxhash64("doc", "line"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(*PLACE), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     split = (frequent.join(hot, "token").withColumn("own", own).select("*", other)
              .withColumn("part", 1 + F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
@@ -159,7 +160,7 @@ def near_pairs(rows: dict, similarity: float):
 def candidates(grouped: DataFrame, similarity: float, every: bool = False) -> DataFrame:
     """Later line, earlier line, and the least difference of their sets: for each later line and group the ``LISTED`` closest ones, the first
     of them counting those left out too; or with ``every`` all of the lines marked ``asked``."""
-    schema = "doc long, line int, with_doc long, with_line int, differ int, found int"
+    schema = "doc long, copy long, line int, with_doc long, with_copy long, with_line int, differ int, found int"
 
     def meet(table):
         rows = {name: table.column(name).to_numpy(zero_copy_only=False) for name in table.column_names}
@@ -170,9 +171,10 @@ def candidates(grouped: DataFrame, similarity: float, every: bool = False) -> Da
         rows = {name: rows[name][order] for name in rows if name not in ("token", "part")}
         parts = []
         for a, b, differ in near_pairs(rows, similarity):
-            doc, line = rows["doc"], rows["line"]
-            a_later = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
-            tie = (doc[a] == doc[b]) & (line[a] == line[b])
+            doc, copy, line = (rows[k] for k in PLACE)
+            one_doc, one_copy = doc[a] == doc[b], copy[a] == copy[b]
+            a_later = (doc[a] > doc[b]) | (one_doc & ((copy[a] > copy[b]) | (one_copy & (line[a] > line[b]))))
+            tie = one_doc & one_copy & (line[a] == line[b])
             late, early = np.where(a_later, a, b)[~tie], np.where(a_later, b, a)[~tie]
             differ = differ[~tie]
             if every:
@@ -184,8 +186,8 @@ def candidates(grouped: DataFrame, similarity: float, every: bool = False) -> Da
         if not parts:
             return None
         late, early, differ, found = tuple(np.concatenate(x) for x in zip(*parts)) if every else best(parts)
-        return pa.RecordBatch.from_arrays([pa.array(rows["doc"][late]), pa.array(rows["line"][late]), pa.array(rows["doc"][early]), pa.array(rows["line"][early]),
-                                           pa.array(differ, pa.int32()), pa.array(found, pa.int32())], ["doc", "line", "with_doc", "with_line", "differ", "found"])
+        places = [pa.array(rows[k][at]) for at in (late, early) for k in PLACE]
+        return pa.RecordBatch.from_arrays([*places, pa.array(differ, pa.int32()), pa.array(found, pa.int32())], [*PLACE, *WITH, "differ", "found"])
 
     def best(parts):
         late, early, differ, found = (np.concatenate(x) for x in zip(*parts))
@@ -226,15 +228,16 @@ def candidates(grouped: DataFrame, similarity: float, every: bool = False) -> Da
 
 
 def asked_lines(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """doc, line, text of the lines in ``asked`` (doc, line). A bit table of constant size keeps most others out of the join."""
-    def bits(doc, line):
-        return (mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    """doc, copy, line, text of the lines in ``asked`` (doc, copy, line). A bit table of constant size keeps most others out of the join."""
+    def bits(doc, copy, line):
+        key = doc.astype(np.int64).view(np.uint64) + mix(copy.astype(np.int64).view(np.uint64))
+        return (mix(key * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
     def mark(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bits(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(bits(*(batch.column(i).to_numpy() for i in range(3))))], ["bit"])
 
-    words = (asked.select("doc", "line").mapInArrow(mark, "bit long").groupBy(F.floor(F.col("bit") / 64).alias("word"))
+    words = (asked.select(*PLACE).mapInArrow(mark, "bit long").groupBy(F.floor(F.col("bit") / 64).alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits")).toArrow())
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
@@ -245,56 +248,61 @@ def asked_lines(docs: DataFrame, asked: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 lists = pc.split_pattern(texts_of(part, "text"), "\n")
                 count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                doc = np.repeat(part.column(0).to_numpy(zero_copy_only=False), count)
+                doc, copy = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), count) for i in (0, 1))
                 line = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                bit = bits(doc, line)
+                bit = bits(doc, copy, line)
                 there = np.flatnonzero(table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[there]), pa.array(line[there], pa.int32()), lists.flatten().take(pa.array(there))], ["doc", "line", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[there]), pa.array(copy[there]), pa.array(line[there], pa.int32()), lists.flatten().take(pa.array(there))], [*PLACE, "text"])
 
-    lines = docs.mapInArrow(pick, "doc long, line int, text string")
-    return lines.join(asked.select("doc", "line"), ["doc", "line"], "left_semi")
+    lines = docs.mapInArrow(pick, "doc long, copy long, line int, text string")
+    return lines.join(asked.select(*PLACE), PLACE, "left_semi")
 
 
 def matching(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The later lines (doc, line) of the pairs whose word sets are similar, compared in full."""
-    earlier = [F.col("with_doc").alias("doc"), F.col("with_line").alias("line")]
-    lines = materialise(asked_lines(docs, materialise(pairs.select("doc", "line").union(pairs.select(*earlier)).distinct(), "asked")), "lines")
+    """The later lines (doc, copy, line) of the pairs whose word sets are similar, compared in full."""
+    earlier = [F.col(w).alias(p) for w, p in zip(WITH, PLACE)]
+    lines = materialise(asked_lines(docs, materialise(pairs.select(*PLACE).union(pairs.select(*earlier)).distinct(), "asked")), "lines")
 
     def verify(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part, good = batch.slice(k, 1000), []
-                a, b = (pc.ascii_split_whitespace(pc.utf8_lower(part.column(i))).to_pylist() for i in (2, 3))
+                a, b = (pc.ascii_split_whitespace(pc.utf8_lower(part.column(i))).to_pylist() for i in (3, 4))
                 for x, y in zip(a, b):
                     x, y = {w for w in x if w}, {w for w in y if w}
                     common = len(x & y)
                     good.append(common > 0 and common >= similarity * (len(x) + len(y) - common) - 1e-9)
-                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
+                yield part.select([0, 1, 2]).filter(pa.array(good, pa.bool_()))
 
-    early = lines.select(F.col("doc").alias("with_doc"), F.col("line").alias("with_line"), F.col("text").alias("with_text"))
-    both = pairs.join(lines, ["doc", "line"]).join(early, ["with_doc", "with_line"]).select("doc", "line", "text", "with_text")
-    return both.mapInArrow(verify, "doc long, line int").distinct()
+    early = lines.select(*[F.col(p).alias(w) for w, p in zip(WITH, PLACE)], F.col("text").alias("with_text"))
+    both = pairs.join(lines, PLACE).join(early, WITH).select(*PLACE, "text", "with_text")
+    return both.mapInArrow(verify, "doc long, copy long, line int").distinct()
 
 
 def id_order(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(LAST_ID)).cast("long")
 
 
+def text_key(column: str | Column) -> Column:
+    """The same for equal texts, on every run."""
+    return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, line) of every line with words that no earlier line matches; ``doc`` is the id, or LAST_ID for a null one."""
-    plain = docs.select(id_order(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
+    """(doc, copy, line) of every line with words that no earlier line matches; ``doc`` is the id, or LAST_ID for a null one, ``copy`` the hash of the text."""
+    plain = docs.select(id_order(id_col).alias("doc"), text_key(text_col).alias("copy"), F.coalesce(text_col, F.lit("")).alias("text"))
     sets = line_sets(plain, frequencies(plain), similarity, block)
-    first = F.min(F.struct("doc", "line", "size", "rare", "b1", "b2", "prefix")).alias("first")
+    first = F.min(F.struct(*PLACE, "size", "rare", "b1", "b2", "prefix")).alias("first")
     classes = materialise(sets.groupBy("c1", "c2").agg(first).select("first.*"), "line-classes")
     rare, frequent = prefix_rows(classes, False), prefix_rows(classes, True)
     found = materialise(candidates(in_blocks(rare, frequent, block), similarity), "candidates")
-    pairs = found.groupBy("doc", "line", "with_doc", "with_line").agg(F.min("differ").alias("differ"), F.max("found").alias("found"))
-    best = pairs.groupBy("doc", "line").agg(F.min(F.struct("differ", "with_doc", "with_line")).alias("best"), F.count("*").alias("listed"), F.max("found").alias("found"))
-    best = materialise(best.select("doc", "line", "best.with_doc", "best.with_line", (F.col("listed") > 1).alias("more"), (F.col("found") > 1).alias("unlisted")), "best")
+    pairs = found.groupBy(*PLACE, *WITH).agg(F.min("differ").alias("differ"), F.max("found").alias("found"))
+    best = pairs.groupBy(*PLACE).agg(F.min(F.struct("differ", *WITH)).alias("best"), F.count("*").alias("listed"), F.max("found").alias("found"))
+    best = materialise(best.select(*PLACE, *[f"best.{w}" for w in WITH], (F.col("listed") > 1).alias("more"), (F.col("found") > 1).alias("unlisted")), "best")
     gone = materialise(matching(best, plain, similarity), "matches")
-    key, both = ["doc", "line"], ["doc", "line", "with_doc", "with_line"]
+    key, both = PLACE, [*PLACE, *WITH]
     # lines whose closest candidate failed: the others listed, then those of crowds that were not listed
-    open_ = materialise(best.where("more").join(gone, key, "left_anti").select("doc", "line", "unlisted"), "open")
+    open_ = materialise(best.where("more").join(gone, key, "left_anti").select(*PLACE, "unlisted"), "open")
     if not open_.isEmpty():
         tested = best.select(both)
         rest = materialise(pairs.join(open_, key, "left_semi").select(both).join(tested, both, "left_anti"), "rest")
@@ -310,7 +318,7 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLO
             far = candidates(in_blocks(marked(rare), marked(frequent), block), similarity, every=True).select(both).distinct()
             far = materialise(far.join(tested.union(rest), both, "left_anti"), "rest")
             gone = gone.union(materialise(matching(far, plain, similarity), "matches"))
-    return classes.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
+    return classes.select(*PLACE).join(gone, PLACE, "left_anti")
 
 
 def has_words(line: Column) -> Column:
@@ -319,9 +327,9 @@ def has_words(line: Column) -> Column:
 
 def report(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, n_lines (with words), n_kept and the numbers of the kept lines, for every row of ``docs``."""
-    kept = kept_lines(docs, similarity, block).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("kept"))
+    kept = kept_lines(docs, similarity, block).groupBy("doc", "copy").agg(F.sort_array(F.collect_set("line")).alias("kept"))
     parts = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), has_words).alias("worded")
-    rows = docs.select("doc_id", id_order("doc_id").alias("doc"), parts).join(kept, "doc", "left")
+    rows = docs.select("doc_id", id_order("doc_id").alias("doc"), text_key("text").alias("copy"), parts).join(kept, ["doc", "copy"], "left")
     own = F.filter(F.coalesce("kept", F.array().cast("array<int>")), lambda i: F.coalesce(F.get("worded", i), F.lit(False)))
     return rows.select("doc_id", F.size(F.filter("worded", lambda w: w)).alias("n_lines"), own.alias("kept_lines")).withColumn("n_kept", F.size("kept_lines"))
 
@@ -329,9 +337,10 @@ def report(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK)
 def without_repeats(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text",
                     chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with the removed lines taken out of the text, and ``n_chars`` adjusted where there is such a column."""
-    kept = kept_lines(docs, similarity, block, id_col, text_col).groupBy("doc").agg(F.collect_set("line").alias("lines"))
-    key, lines = unused("doc_key", docs.columns), unused("lines_kept", docs.columns)
-    rows = (docs.withColumn(key, id_order(id_col)).join(kept.select(F.col("doc").alias(key), F.col("lines").alias(lines)), key, "left")
+    kept = kept_lines(docs, similarity, block, id_col, text_col).groupBy("doc", "copy").agg(F.collect_set("line").alias("lines"))
+    key, copy, lines = (unused(name, docs.columns) for name in ("doc_key", "text_key", "lines_kept"))
+    rows = (docs.withColumns({key: id_order(id_col), copy: text_key(text_col)})
+            .join(kept.select(F.col("doc").alias(key), F.col("copy").alias(copy), F.col("lines").alias(lines)), [key, copy], "left")
             .select(*docs.columns, lines))
     text_at, blank = docs.columns.index(text_col), " \t\n\v\f\r"
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import line_dedup
 
@@ -104,3 +105,22 @@ def test_nulls_repeats_and_empty_table(spark):
     got = {(r.doc_id, r.text) for r in line_dedup.without_repeats(docs).collect()}
     assert got == {(1, None), (2, ""), (3, "a b\n\nc d"), (None, "c d\nnew one"), (None, "other words"), (4, "x" * 100_000), (5, ""), rows[-1]}
     assert line_dedup.without_repeats(docs.limit(0)).count() == 0 and line_dedup.report(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("doc", [None, 7])
+def test_rows_that_share_an_id(spark, doc):
+    """Rows of one id, or of none, are decided line by line; only rows repeated with id and text tie."""
+    draw = random.Random(4)
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(1, common)]
+    rows += [(doc, "\n".join([f"u{k} v{k} w{k}", common + " x" if k % 2 else f"y{k} z{k}", f"s{draw.randrange(5)} t"])) for k in range(12)]
+    rows += [rows[3], (doc, "single line\n" + common)]
+    ranked = [(doc, text, *spark.range(1).select(line_dedup.text_key(F.lit(text))).first()) for doc, text in rows]
+    places = sorted({(line_dedup.LAST_ID if d is None else d, key, i, frozenset(line.split())) for d, text, key in ranked for i, line in enumerate(text.split("\n"))}, key=lambda x: x[:3])
+    kept = {(d, key, i) for n, (d, key, i, a) in enumerate(places)
+            if not any(len(a & b) >= .8 * len(a | b) - 1e-9 for *_, b in places[:n])}
+    want = sorted("\n".join(line for i, line in enumerate(text.split("\n")) if (line_dedup.LAST_ID if d is None else d, key, i) in kept) for d, text, key in ranked)
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    assert sorted(r.text for r in line_dedup.without_repeats(docs).collect()) == want
+    assert sum(t.count("u") for t in want) == 13 and sum("c0" in t for t in want) == 1  # own lines stay, copies of the common line go
+    assert sum(r.n_kept for r in line_dedup.report(docs).collect()) == sum(len(t.split("\n")) for t in want)
