@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact_topk, line_dedup, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity, unigram, url_filters
+from fieldloom.llm import exact_topk, line_dedup, merkle_manifest, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity, unigram, url_filters
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -91,3 +91,11 @@ def op9_url_verdicts(spark, sf_dir):
 
 
 CHECKS["op9_url_verdicts"] = url_filters.SQL
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle_manifest.tamper_check(table(spark, sf_dir, "documents"))
+
+
+CHECKS["op12_merkle_manifest"] = merkle_manifest.SQL
