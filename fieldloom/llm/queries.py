@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact_topk, line_dedup, merkle_manifest, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity, unigram, url_filters
+from fieldloom.llm import exact_topk, hard_negatives, line_dedup, merkle_manifest, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity, unigram, url_filters
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -99,3 +99,12 @@ def op12_merkle_manifest(spark, sf_dir):
 
 
 CHECKS["op12_merkle_manifest"] = merkle_manifest.SQL
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+CHECKS["op13_hard_negatives"] = hard_negatives.SQL
