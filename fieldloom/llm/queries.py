@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact_topk, hard_negatives, line_dedup, merkle_manifest, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity, unigram, url_filters
+from fieldloom.llm import exact_topk, hard_negatives, line_dedup, merkle_manifest, ngram_join, order_minhash, packing, pii, quality_classifier, quality_rules, toxicity, unigram, url_filters
 from fieldloom.session import ensure_scratch
 
 QUERIES: dict = {}
@@ -108,3 +108,11 @@ def op13_hard_negatives(spark, sf_dir):
 
 
 CHECKS["op13_hard_negatives"] = hard_negatives.SQL
+
+
+@query
+def op11_jaccard_components(spark, sf_dir):
+    return ngram_join.joined_texts(table(spark, sf_dir, "documents"))
+
+
+CHECKS["op11_jaccard_components"] = ngram_join.SQL
