@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPLIT_BYTES = 64 << 20
 SCRATCH = "spark.fieldloom.scratch.dir"
+BATCH_BYTES, ARROW_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -18,7 +19,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def ensure_scratch(spark: SparkSession) -> None:
-    """For entry points: where no folder is named, use one beside the session's tables, which all executors share."""
+    """For entry points: where no folder is named, use one beside the session's tables, which all executors share.
+
+    Arrow batches are bounded by bytes as well as rows, so that long texts do not add up in a worker.
+    """
+    if int(spark.conf.get(ARROW_BYTES).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, f"{BATCH_BYTES}b")
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)):
         spark.conf.set(SCRATCH, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
 
