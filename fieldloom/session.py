@@ -23,7 +23,7 @@ def ensure_scratch(spark: SparkSession) -> None:
 
     Arrow batches are bounded by bytes as well as rows, so that long texts do not add up in a worker.
     """
-    if int(spark.conf.get(ARROW_BYTES).removesuffix("b")) > BATCH_BYTES:
+    if (spark.conf.get(ARROW_BYTES, None) or "").removesuffix("b") == str(64 << 20):  # Spark's own value; another one is somebody's choice
         spark.conf.set(ARROW_BYTES, f"{BATCH_BYTES}b")
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)):
         spark.conf.set(SCRATCH, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
@@ -39,7 +39,16 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Free the scratch tables behind frames that ``materialise`` returned, once nothing reads them any more."""
+    for df in frames:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 class Rounds:

@@ -40,3 +40,11 @@ def test_rounds_take_turns(spark):
         df = rounds.keep(df.selectExpr("id + 1 as id"))
     assert sorted(r.id for r in df.collect()) == [5, 6, 7]
     assert len(glob.glob(rounds.base.removeprefix("file:") + "/*")) == 2
+
+
+def test_discarded_tables_are_gone(spark):
+    kept, gone = session.materialise(spark.range(3)), session.materialise(spark.range(4))
+    session.discard(gone)
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        spark.read.parquet(gone._scratch_path).count()
