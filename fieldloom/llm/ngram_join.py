@@ -6,12 +6,12 @@ is each document's component of links, so copies are never paired: equal sets ar
 1. Two passes over the texts describe every set: its size, a 128-bit digest, and its prefix, the shingles of which at least one is in every set it can link with. Shingles are
    ordered by rarity, from a table of hash buckets counted over all texts; the table grows with the documents up to ``MOST_BUCKETS``. The order changes the work, never the result.
 2. Prefix shingles held by one class alone are dropped, by an aggregation that combines before the shuffle. The few others go on (``crowd``).
-3. Per shingle, each class asks only the class with the smallest number. That links most copies of a text in one step, and puts similar classes in groups: a class's group is the smallest class
-   it has met. Groups are cut by hash into parts of a bounded number of members and shingles.
-4. Token-group matrix: per shingle the parts that hold it. A class asks the parts that share a prefix shingle with it and hold something it is not connected to; of two sides the smaller component asks.
-   A task holds a part's members and the union of their shingles. It counts how many of the asking class's shingles are in the union, the most that any member can share; only where
-   that suffices the part is opened and members are compared in full, one hit per component.
-5. Links of both steps give the components. Parts that many classes ask are copied to several tasks.
+3. Similar classes form groups: a class goes to the smallest class that it shares a prefix shingle with. Groups are cut by hash into parts of a bounded number of members and shingles, and a task
+   links the members of its part with each other.
+4. Token-group matrix: per shingle the parts that hold it. A class asks the parts that share a prefix shingle with it and hold something it is not connected to; of two sides the smaller component asks,
+   its first class before the others. A task holds a part's members and the union of their shingles. It counts how many of the asking class's shingles are in the union, the most that any member can
+   share; only where that suffices the part is opened and members are compared in full, one hit per component.
+5. The links give the components. Parts that many classes ask are copied to several tasks.
 
 Defined cases: texts without words, and null texts, have no shingles and their own id as component; a text of fewer words is one shingle; rows without id take part and have the smallest id of their component
 (null where it has none); rows that share an id or repeat are rows of their own; an empty table has no rows; other columns are not read.
@@ -27,14 +27,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import codes_of, hash_strings, mix, pieces_of, slices, texts_of
+from fieldloom.llm.common import bit_table, codes_of, hash_strings, maybe_in, mix, pieces_of, slices, texts_of
 from fieldloom.operators.graph_algorithms import components
-from fieldloom.session import materialise
+from fieldloom.session import discard, materialise
 
 WORDS, PERCENT = 4, 85
 BUCKETS, MOST_BUCKETS, CHUNK, DOCS_A_BUCKET = 1 << 20, 1 << 24, 1 << 14, 1
 MEMBERS, MEMBER_SHINGLES, ASKED = 256, 1 << 20, 2000
-FILTER_BITS = 1 << 25
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,28 +108,6 @@ def described(docs: DataFrame, counts: np.ndarray, words: int, percent: int) ->
     return docs.mapInArrow(describe, f"doc_id {kind}, t1 long, t2 long, size int, c1 long, c2 long, indexed int, prefix array<bigint>")
 
 
-def bit_of(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def bit_table(keys: DataFrame) -> np.ndarray:
-    """A table of constant size in which the bit of every key (the only column) is set."""
-    def mark(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bit_of(batch.column(0).to_numpy()))], ["bit"])
-
-    words = (keys.mapInArrow(mark, "bit long").groupBy(F.floor(F.col("bit") / 64).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits")).toArrow())
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return table.view(np.uint8)
-
-
-def maybe_in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = bit_of(keys)
-    return (table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def shared_shingles(classes: DataFrame) -> DataFrame:
     """token, pos, cls, size, indexed of the prefix shingles that several classes hold (and some that only seem so, which meet nobody)."""
     entries = classes.select("cls", "indexed", F.posexplode("prefix").alias("pos", "token"))
@@ -151,41 +128,54 @@ def shared_shingles(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "size", "indexed", "prefix").mapInArrow(pick, "token long, pos int, cls long, size int, indexed int")
 
 
-def texts_for(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """cls and text of ``members`` (cls, t1, t2). Texts of other classes are not shuffled, but for a few that the bit table lets through."""
-    table = bit_table(members.select("t1"))
+def texts_for(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """cls, part, sub and text of ``placed`` (with t1, t2). Texts of other classes are not shuffled, but for a few that the bit table lets through."""
+    table = bit_table(placed.select("t1"))
 
     def pick(batches):
         for batch in batches:
             yield batch.filter(pa.array(maybe_in(table, batch.column(0).to_numpy())))
 
-    return docs.select("t1", "t2", "text").mapInArrow(pick, "t1 long, t2 long, text string").join(members.select("cls", "t1", "t2"), ["t1", "t2"]).groupBy("cls").agg(F.first("text").alias("text"))
+    wanted = placed.select("t1", "t2", "cls", "part", "sub")
+    found = docs.select("t1", "t2", "text").mapInArrow(pick, "t1 long, t2 long, text string").join(wanted, ["t1", "t2"])
+    return found.groupBy("t1", "t2", "cls", "part", "sub").agg(F.first("text").alias("text")).drop("t1", "t2")  # dealt as the join was
 
 
 class Part:
     """Members of a group's part with the union of their shingles."""
 
     def __init__(self):
-        self.names, self.joined, self.sets, self.union, self.sizes = [], [], [], None, None
+        self.names, self.joined, self.sets, self.sizes, self.union, self.covered = [], [], [], [], np.empty(0, np.uint64), 0
 
     def add(self, name: int, joined: int, shingles: np.ndarray) -> None:
         self.names.append(name)
         self.joined.append(joined)
         self.sets.append(shingles)
+        self.sizes.append(len(shingles))
 
-    def partners(self, asking: np.ndarray, joined: int, percent: int):
-        """Members that link with the asking set: one of each component but its own."""
-        if self.union is None:
-            self.union, self.sizes = np.unique(np.concatenate(self.sets)), np.array([len(s) for s in self.sets])
-        size = len(asking)
-        fits = np.flatnonzero((percent * size <= 100 * self.sizes) & (percent * self.sizes <= 100 * size))
-        if not len(fits) or common(self.union, asking) < overlap_needed(size, int(self.sizes[fits].min()), percent):
+    def partners(self, asking: np.ndarray, joined: int | None, percent: int):
+        """Places of members that link with the asking set: one of each component but its own."""
+        size, sizes = len(asking), np.array(self.sizes)
+        fits = np.flatnonzero((percent * size <= 100 * sizes) & (percent * sizes <= 100 * size))
+        if not len(fits):
             return
+        if len(self.sets) >= 2 * self.covered:
+            self.union, self.covered = np.unique(np.concatenate(self.sets)), len(self.sets)
+        if common(self.union, asking) < overlap_needed(size, int(sizes[fits].min()), percent):
+            fits = fits[fits >= self.covered]  # none of the members that the union holds
         done = {joined}
         for i in fits:
-            if self.joined[i] not in done and common(self.sets[i], asking) >= overlap_needed(size, int(self.sizes[i]), percent):
+            if self.joined[i] not in done and common(self.sets[i], asking) >= overlap_needed(size, self.sizes[i], percent):
                 done.add(self.joined[i])
-                yield self.names[i]
+                yield int(i)
+
+    def take_in(self, name: int, shingles: np.ndarray, percent: int) -> list[int]:
+        """Add a member; the members it was linked with, one for each component that it brings together."""
+        partners = list(self.partners(shingles, None, percent))
+        merged = {self.joined[i] for i in partners}
+        self.joined = [name if j in merged else j for j in self.joined]
+        self.add(name, name, shingles)
+        return [self.names[i] for i in partners]
 
 
 def common(held: np.ndarray, asking: np.ndarray) -> int:
@@ -193,36 +183,48 @@ def common(held: np.ndarray, asking: np.ndarray) -> int:
     return int((held[at] == asking).sum())
 
 
-def opened(asking: DataFrame, parts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b): ``asking`` has part, sub, cls, joined; ``parts`` has the members of the parts likewise. ``joined`` is the component known so far."""
-    loads = materialise(asking.groupBy("part", "sub").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shards")), "loads")
-    held = parts.join(loads, ["part", "sub"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("asks", F.lit(False))
-    askers = asking.join(loads, ["part", "sub"]).withColumn("shard", F.pmod(F.xxhash64("cls"), F.col("shards")).cast("int")).withColumn("asks", F.lit(True))
-    names = ["part", "sub", "shard", "asks", "cls", "joined"]
-    rows = held.select(names).unionByName(askers.select(names)).join(texts, "cls").select(*names, "text")
-
-    def meet(batches):
+def walked(rows: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
+    """Links (a, b) from rows in order of ``keys``: members of a part first (``asks`` is null where they are to be linked with each other), then the classes that ask it."""
+    def walk(batches):
         key, part = None, Part()
         for batch in batches:
             for piece in slices(batch, "text"):
                 hashes, starts = shingle_sets(texts_of(piece, "text"), words)
                 a, b = [], []
-                columns = [piece.column(i).to_pylist() for i in range(6)]
+                columns = [piece.column(name).to_pylist() for name in (*keys, "asks", "cls", "joined")]
                 for i, (*now, asks, name, joined) in enumerate(zip(*columns)):
                     if now != key:
                         key, part = now, Part()
                     own = hashes[starts[i]:starts[i + 1]]
-                    if not asks:
+                    if asks is None:
+                        others = part.take_in(name, own, percent)
+                    elif asks:
+                        others = [part.names[k] for k in part.partners(own, joined, percent)]
+                    else:
                         part.add(name, joined, own)
                         continue
-                    for other in part.partners(own, joined, percent):
-                        a.append(name)
-                        b.append(other)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a += [name] * len(others)
+                    b += others
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    keys = ["part", "sub", "shard"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "asks").mapInArrow(meet, "a long, b long")
+    return rows.select(*keys, "asks", "cls", "joined", "text").repartition(*keys).sortWithinPartitions(*keys, "asks").mapInArrow(walk, "a long, b long")
+
+
+def opened(asking: DataFrame, parts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b): ``asking`` has part, sub, cls, joined; ``parts`` has the members of the parts likewise. ``joined`` is the component known so far."""
+    loads = materialise(asking.groupBy("part", "sub").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shards")), "loads")
+    held = parts.join(loads, ["part", "sub"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("asks", F.lit(False))
+    askers = asking.join(loads, ["part", "sub"]).withColumn("shard", F.pmod(F.xxhash64("cls"), F.col("shards")).cast("int")).withColumn("asks", F.lit(True))
+    names = ["part", "sub", "shard", "asks", "cls", "joined"]
+    places = materialise(held.select(names).unionByName(askers.select(names)), "meetings")
+    table = bit_table(places.select("cls"))
+
+    def pick(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(table, batch.column(0).to_numpy())))
+
+    needed = texts.select("cls", "text").mapInArrow(pick, "cls long, text string")
+    return walked(places.join(needed, "cls"), ["part", "sub", "shard"], words, percent)
 
 
 def can_link(pos, size, other, percent: int):
@@ -230,42 +232,46 @@ def can_link(pos, size, other, percent: int):
     return pos <= size - F.ceil(percent * (size + other) / (100 + percent))
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between ``classes`` (cls, t1, t2, size, indexed, prefix) that connect all that is connected."""
-    crowd = materialise(shared_shingles(classes), "crowd")
-    members = materialise(classes.select("cls", "t1", "t2", "size").join(crowd.select("cls").distinct(), "cls", "left_semi"), "members")
-    texts = materialise(texts_for(docs, members), "texts")
-    # a star round the smallest class of every shingle
-    least = crowd.groupBy("token").agg(F.min(F.struct("cls", "size", "pos")).alias("least")).select("token", *[F.col(f"least.{c}").alias(f"{c}_b") for c in ("cls", "size", "pos")])
-    met = crowd.join(least, "token")
-    group = materialise(met.groupBy("cls").agg(F.min("cls_b").alias("part")), "groups")
-    fits = (F.col("size") * percent <= F.col("size_b") * 100) & (F.col("size_b") * percent <= F.col("size") * 100)
-    near = can_link(F.col("pos"), F.col("size"), F.col("size_b"), percent) & can_link(F.col("pos_b"), F.col("size_b"), F.col("size"), percent)
-    stars = materialise(met.where("cls <> cls_b").where(fits & near).select(F.col("cls_b").alias("part"), F.lit(0).alias("sub"), "cls", F.col("cls").alias("joined")).distinct(), "stars")
-    centers = stars.select("part", "sub", F.col("part").alias("cls"), F.col("part").alias("joined")).distinct()
-    found = materialise(opened(stars, centers, texts, words, percent), "links")
-    labels = components(members.select(F.col("cls").alias("id")), found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    # groups of similar classes, in parts of bounded size; components so far with their sizes
-    joined = materialise(members.join(group, "cls").join(labels.select(F.col("id").alias("cls"), F.col("component").alias("joined")), "cls"), "joined")
-    sizes = joined.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / MEMBER_SHINGLES)).cast("int").alias("subs"))
-    weight = joined.groupBy("joined").agg(F.count("*").alias("weight"))
-    placed = joined.join(sizes, "part").withColumn("sub", F.pmod(F.xxhash64("cls"), F.col("subs")).cast("int")).join(weight, "joined").select("cls", "part", "sub", "joined", "weight")
-    placed = materialise(placed, "placed")
-    entries = crowd.join(placed, "cls")
+def askers(crowd: DataFrame, placed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """part, sub, cls, joined: the classes that must ask a part, as they share a prefix shingle with it and it holds another component."""
+    named = placed.join(labels.select(F.col("id").alias("cls"), F.col("component").alias("joined")), "cls")
+    weight = named.groupBy("joined").agg(F.count("*").alias("weight"))
+    entries = crowd.join(named.join(weight, "joined").select("cls", "part", "sub", "joined", "weight"), "cls")
     several = entries.groupBy("token").agg(F.min("joined").alias("low"), F.max("joined").alias("high")).where("low < high").select("token")
     entries = materialise(entries.join(several, "token", "left_semi"), "entries")
     held = entries.groupBy("token", "part", "sub").agg(
         F.min("joined").alias("low"), F.max("joined").alias("high"), F.max("weight").alias("heaviest"), F.min("size").alias("least"), F.max("size").alias("most"), F.min("pos").alias("soonest"))
     asks = entries.select("token", "cls", "joined", "weight", "pos", "size", F.col("part").alias("own_part"), F.col("sub").alias("own_sub"))
-    mixed = F.col("low") < F.col("high")
+    elsewhere = (F.col("part") != F.col("own_part")) | (F.col("sub") != F.col("own_sub"))
     smaller = F.struct("weight", "joined") < F.struct("heaviest", "low")
+    other = (F.col("low") < F.col("high")) | ((F.col("joined") != F.col("low")) & smaller)
     fits = (F.col("size") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("size") * 100)
     near = (can_link(F.col("pos"), F.col("size"), F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100)), percent)
             & can_link(F.col("soonest"), F.col("most"), F.col("size"), percent))
-    asking = asks.join(held, "token").where(fits & near & (mixed | ((F.col("joined") != F.col("low")) & smaller))).select("part", "sub", "cls", "joined").distinct()
-    asking = materialise(asking, "asking")
-    more = opened(asking, placed.select("part", "sub", "cls", "joined"), texts, words, percent)
-    return found.union(materialise(more, "links"))
+    return asks.join(held, "token").where(elsewhere & other & fits & near).select("part", "sub", "cls", "joined").distinct()
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between ``classes`` (cls, t1, t2, size, indexed, prefix) that connect all that is connected."""
+    crowd = materialise(shared_shingles(classes), "crowd")
+    least = crowd.groupBy("token").agg(F.min("cls").alias("part"))
+    group = crowd.join(least, "token").groupBy("cls").agg(F.min("part").alias("part"))
+    members = materialise(classes.select("cls", "t1", "t2", "size").join(group, "cls"), "members")
+    sizes = members.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / MEMBER_SHINGLES)).cast("int").alias("subs"))
+    placed = materialise(members.join(sizes, "part").withColumn("sub", F.pmod(F.xxhash64("cls"), F.col("subs")).cast("int")), "placed")
+    texts = materialise(texts_for(docs, placed), "texts")
+    nobody = F.lit(None)
+    found = materialise(walked(texts.withColumns({"asks": nobody.cast("boolean"), "joined": nobody.cast("long")}), ["part", "sub"], words, percent), "links")
+    nodes, asked = placed.select(F.col("cls").alias("id")), None
+    for first in (True, False):  # the first class of every component asks for it, then the others where components are still apart
+        labels = materialise(components(nodes, found.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "labels")
+        asking = askers(crowd, placed, labels, percent)
+        asking = materialise(asking.where("cls = joined") if first else asking.join(asked, ["part", "sub", "cls"], "left_anti"), "asking")
+        asked = asking.select("part", "sub", "cls")
+        parts = placed.select("part", "sub", "cls").join(labels.select(F.col("id").alias("cls"), F.col("component").alias("joined")), "cls")
+        found = found.union(materialise(opened(asking, parts, texts, words, percent), "links"))
+    discard(texts)
+    return found
 
 
 def joined_texts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -277,16 +283,19 @@ def joined_texts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     rows = materialise(described(plain, frequencies(plain, words, buckets), words, percent), "sets")
     some = rows.where("size > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("t1", "t2")).alias("key"), F.first(F.struct("size", "indexed", "prefix")).alias("set"))
     classes = materialise(some.select(F.monotonically_increasing_id().alias("cls"), "c1", "c2", "least_id", "key.*", "set.*"), "classes")
+    light = materialise(classes.select("cls", "c1", "c2", "least_id"), "light-classes")
+    slim = materialise(rows.select("doc_id", "size", "c1", "c2"), "light-sets")
+    discard(rows)
     found = links(plain, classes, words, percent)
+    discard(classes)
     linked = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
     labels = components(linked, found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    light = classes.select("cls", "c1", "c2", "least_id")
     heads = light.join(labels.withColumnRenamed("id", "cls"), "cls")
     least = heads.groupBy("component").agg(F.min("least_id").alias("component_id"))
     linked_heads = heads.join(least, "component").select("c1", "c2", "component_id")
     alone = light.join(labels.select(F.col("id").alias("cls")), "cls", "left_anti").select("c1", "c2", F.col("least_id").alias("component_id"))
-    wordless = rows.where("size = 0").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    worded = rows.where("size > 0").select("doc_id", F.col("size").cast("long").alias("n_shingles"), "c1", "c2")
+    wordless = slim.where("size = 0").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    worded = slim.where("size > 0").select("doc_id", F.col("size").cast("long").alias("n_shingles"), "c1", "c2")
     return worded.join(linked_heads.union(alone), ["c1", "c2"]).select("doc_id", "n_shingles", "component_id").union(wordless)
 
 

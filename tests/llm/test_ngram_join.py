@@ -98,5 +98,6 @@ def test_a_part_opens_only_where_its_union_suffices():
         assert list(part.partners(sets[3], 9, 85)) == []
         assert len(compared) == 1 and compared[0] == len(np.unique(np.concatenate(sets[:3])))
         assert list(part.partners(sets[1], 9, 85)) == [1]
+        assert part.take_in(7, sets[2], 85) == [2] and part.joined == [0, 1, 7, 7]
     finally:
         nj.common = common
