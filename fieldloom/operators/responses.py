@@ -47,7 +47,7 @@ def accepted_pairs(responses: DataFrame, above: float = K.MODEL_CONFIDENCE) -> D
 def pair_reviews(responses: DataFrame) -> DataFrame:
     """Free-form pair replies: the JSON in them, or a stand-in with the reply's first 200 characters.
 
-    A reply with braces that do not parse yields no row.
+    A reply with braces that do not parse yields no row here, but one of ``review_errors``.
     """
     span = json_span(F.col("response"))
     parsed = F.from_json(span, f"struct<{_struct(REVIEW)}>")
@@ -78,6 +78,43 @@ def mapping_suggestions(responses: DataFrame) -> DataFrame:
     return responses.select(*keep, F.explode(parsed).alias("source_field", "target_field"))
 
 
+def _told(responses: DataFrame, reason: Column, text="response") -> DataFrame:
+    """The keys of the replies that ``reason`` names, with it and the raw text."""
+    keys = [c for c in responses.columns if c != "response" and not c.startswith("_")]
+    return responses.select(*keys, reason.alias("reason"), F.col(text).alias("text")).where("reason IS NOT NULL")
+
+
+def _unread(response, span, parsed=None) -> Column:
+    unread = ~is_json(span) if parsed is None else ~is_json(span) | parsed.isNull()
+    return (F.when(~F.coalesce(filled(response), F.lit(False)), "no reply").when(span.isNull(), "no JSON").when(unread, "does not parse"))
+
+
+def relation_errors(responses: DataFrame) -> DataFrame:
+    """What ``relation_edges`` gives no edge for: replies that do not parse, and relations that name only one document."""
+    parsed = F.from_json("response", f"array<struct<{_struct(RELATION)}>>")
+    reason = F.when(~F.coalesce(filled(F.col("response")), F.lit(False)), "no reply").when(~is_json(F.col("response")) | parsed.isNull(), "does not parse")
+    keys = [c for c in responses.columns if c != "response"]
+    one = responses.select(*keys, F.explode(parsed).alias("_r")).where(~F.coalesce(filled(F.col("_r.source_doc")) & filled(F.col("_r.target_doc")), F.lit(False)))
+    return _told(responses, reason).unionByName(one.select(*keys, F.lit("document missing").alias("reason"), F.to_json("_r").alias("text")))
+
+
+def pair_errors(responses: DataFrame) -> DataFrame:
+    """Pair replies that ``accepted_pairs`` cannot read; a reply that denies a relationship is no error."""
+    return _told(responses, _unread(F.col("response"), json_span(F.col("response"))))
+
+
+def review_errors(responses: DataFrame) -> DataFrame:
+    """Replies that ``pair_reviews`` gives no row for; plain text has its stand-in there."""
+    reason = _unread(F.col("response"), json_span(F.col("response")))
+    return _told(responses, F.when(reason != "no JSON", reason))
+
+
+def suggestion_errors(responses: DataFrame) -> DataFrame:
+    """Replies that ``mapping_suggestions`` gives no row for."""
+    span = json_span(F.col("response"))
+    return _told(responses, _unread(F.col("response"), span, F.from_json(span, "map<string,string>")))
+
+
 def _struct(ddl: str) -> str:
     """``a string, b double`` to the form used inside ``struct<...>``."""
     return ",".join(":".join(part.strip().split(" ", 1)) for part in ddl.split(", "))

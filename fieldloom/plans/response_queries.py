@@ -35,6 +35,29 @@ def llm1(spark, sf_dir):
     return MR.relation_edges(_relation_replies(spark, sf_dir))
 
 
+@query("llm1_reply_errors", f"""WITH {RELATIONS} SELECT event_id, 'does not parse' AS reason, '[broken' AS text FROM events WHERE event_id % 17 = 0
+UNION ALL SELECT event_id, 'document missing', NULL FROM events WHERE event_id % 17 <> 0 AND event_id % 13 = 0
+UNION ALL SELECT -1, 'replies without edge or error', CAST((SELECT count(*) FROM events) - (SELECT count(*) FROM r) - (SELECT count(*) FROM events WHERE event_id % 17 = 0 OR event_id % 13 = 0) AS VARCHAR)""")
+def llm1_errors(spark, sf_dir):
+    """The replies without an edge; every reply is an edge or an error (each holds one relation)."""
+    replies = _relation_replies(spark, sf_dir)
+    errors = MR.relation_errors(replies)
+    lost = replies.select(F.lit(1).alias("n")).unionByName(MR.relation_edges(replies).select(F.lit(-1).alias("n"))).unionByName(errors.select(F.lit(-1).alias("n"))).agg(F.sum("n").alias("n"))
+    text = F.when(F.col("reason") != "document missing", F.col("text"))
+    return errors.withColumn("text", text).unionByName(lost.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit("replies without edge or error").alias("reason"), F.col("n").cast("string").alias("text")))
+
+
+@query("llm1_review_errors", """SELECT 'doc_' || user_id AS doc_id, 'doc_' || event_id AS other_id, CASE event_id % 5 WHEN 1 THEN 'does not parse' ELSE 'no reply' END AS reason,
+  CASE event_id % 5 WHEN 1 THEN '{not json}' END AS text FROM events WHERE event_id % 5 IN (1, 2)""")
+def llm1_review_errors(spark, sf_dir):
+    return MR.review_errors(_reviews(spark, sf_dir))
+
+
+@query("llm3_suggestion_errors", "SELECT p_partkey, 'no JSON' AS reason, 'no mapping' AS text FROM part WHERE p_size % 5 = 0")
+def llm3_errors(spark, sf_dir):
+    return MR.suggestion_errors(_suggestion_replies(spark, sf_dir))
+
+
 @query("jn12_known_relations", f"WITH {RELATIONS}, {B.D} SELECT src, dst, relationship_type, explanation FROM r WHERE src IN (SELECT doc_id FROM d) AND dst IN (SELECT doc_id FROM d)")
 def jn12(spark, sf_dir):
     edges = MR.relation_edges(_relation_replies(spark, sf_dir)).select("src", "dst", "relationship_type", "explanation")
@@ -87,10 +110,14 @@ def llm2(spark, sf_dir):
 @query("llm3_mapping_suggestions", """SELECT p_partkey, p_name AS source_field, CASE WHEN p_size % 2 = 0 THEN p_type END AS target_field FROM part WHERE p_size % 5 <> 0
 UNION ALL SELECT p_partkey, 'fixed', 'x' FROM part WHERE p_size % 5 <> 0""")
 def llm3(spark, sf_dir):
+    return MR.mapping_suggestions(_suggestion_replies(spark, sf_dir))
+
+
+def _suggestion_replies(spark, sf_dir):
     size = F.col("p_size")
     target = F.when(size % 2 == 0, F.concat(F.lit('"'), "p_type", F.lit('"'))).otherwise("null")
     reply = F.when(size % 5 == 0, "no mapping").otherwise(F.concat(F.lit('Mapping: {"'), "p_name", F.lit('": '), target, F.lit(', "fixed": "x"}.')))
-    return MR.mapping_suggestions(table(spark, sf_dir, "part").select("p_partkey", reply.alias("response")))
+    return table(spark, sf_dir, "part").select("p_partkey", reply.alias("response"))
 
 
 @query("llm4_corpus_report", """WITH d AS (SELECT 'doc_' || doc_id AS doc_id, doc_id AS n, text, lang FROM documents)

@@ -51,6 +51,21 @@ def src4(spark, sf_dir):
     return plain.select(_folder(F.col("path")).alias("folder"), DO.row_text(shown).alias("content"))
 
 
+@query("src4_csv_records", """SELECT c_custkey AS key, true AS in_place, 'first' || chr(10) || 'second, "' || c_mktsegment || '"' AS note, CASE WHEN c_custkey % 9 = 0 THEN 'surplus cells' END AS reason,
+  CASE WHEN c_custkey % 9 = 0 THEN 'more|' || c_nationkey END AS surplus, CASE WHEN c_custkey % 9 = 0 THEN true END AS kept FROM customer""")
+def src4_records(spark, sf_dir):
+    """Sheets with quoted line breaks and with rows longer than the header. Each row carries its place in its file, counted as it was written."""
+    path = scratch_path(spark, "records")
+    rows = table(spark, sf_dir, "customer").repartition(4, "c_custkey").sortWithinPartitions("c_custkey").withColumn("place", F.monotonically_increasing_id() % (1 << 33) + 1)
+    line = F.concat(F.concat_ws(",", "c_custkey", "place"), F.lit(',"first\nsecond, ""'), "c_mktsegment", F.lit('"""'), F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit(",more,"), F.col("c_nationkey").cast("string"))).otherwise(""))
+    rows.select(F.concat(F.when(F.col("place") == 1, "key,place,note\n").otherwise(""), line).alias("value")).write.text(path)
+    cells, errors = files.read_csv(spark, path, "*.txt")
+    cell = lambda i: F.col("cells")[i]
+    good = cells.select("path", "row_number", cell(0).cast("bigint").alias("key"), (cell(1).cast("bigint") == F.col("row_number")).alias("in_place"), cell(2).alias("note"))
+    told = errors.select("path", "row_number", "reason", F.array_join("surplus", "|").alias("surplus"), "kept")
+    return good.join(told, ["path", "row_number"], "left").drop("path", "row_number")
+
+
 @query("src5_mapping_rows", f"""WITH {B.M} SELECT p_partkey AS row_key, source_table, source_column, target_field,
   transformation_rule, data_type, description, source_table <> '' AS has_source_table FROM m""")
 def src5(spark, sf_dir):
@@ -218,14 +233,18 @@ def prj17(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", basename(F.col("url")).alias("name"))
 
 
-@query("win1_row_number", "SELECT p_partkey AS row_key, true AS in_order FROM part WHERE p_size <> 7")
+@query("win1_row_number", "SELECT c_custkey AS row_key, c_custkey % 7 AS file, row_number() OVER (PARTITION BY c_custkey % 7 ORDER BY c_custkey) AS row_number FROM customer")
 def win1(spark, sf_dir):
-    """Part keys are dense and sorted in each written file, so a row's number follows from its key."""
-    cells = files.read_csv_cells(spark, B.sheet_folder(spark, sf_dir)).where("is_mapping")
-    filled = cells.where(F.length(F.trim(F.get("cells", F.lit(0)))) > 0).select(
-        "path", "row_number", F.get("cells", F.lit(0)).cast("bigint").alias("row_key"))
-    offset = filled.groupBy("path").agg(F.min(F.col("row_key") - F.col("row_number")).alias("shift"))
-    return filled.join(offset, "path").select("row_key", (F.col("row_key") - F.col("row_number") == F.col("shift")).alias("in_order"))
+    """Numbers of the rows of seven files, each written in order of the key; every third note has a line break, and empty lines stand between rows."""
+    path = scratch_path(spark, "numbered")
+    key, part = F.col("c_custkey"), F.col("c_custkey") % 7
+    rows = table(spark, sf_dir, "customer").select("c_custkey", part.alias("file"))
+    rows = rows.join(rows.groupBy("file").agg(F.min("c_custkey").alias("first")), "file").repartitionByRange(7, "file").sortWithinPartitions("file", "c_custkey")
+    head = F.when(F.col("c_custkey") == F.col("first"), "key,note\n").otherwise("")
+    line = F.concat(head, key.cast("string"), F.lit(","), F.when(key % 3 == 0, '"a\nb"').otherwise("a"), F.when(key % 5 == 0, "\n").otherwise(""))
+    rows.select("file", line.alias("value")).write.partitionBy("file").text(path)
+    cells, _ = files.read_csv(spark, path, "*.txt")
+    return cells.select(F.col("cells")[0].cast("bigint").alias("row_key"), F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file"), "row_number")
 
 
 @query("win2_group_numbering", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,

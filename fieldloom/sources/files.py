@@ -1,17 +1,14 @@
 """Folder scans: file catalogue, CSV profiling, per-file headers, file ids."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom import constants as K
 from fieldloom.functions.numbering import number_rows
-from fieldloom.functions.text import basename, contains_any, preview
+from fieldloom.functions.text import contains_any
 from fieldloom.operators.mapping import normalise_rows, row_maps
 from fieldloom.session import materialise
-
-SAMPLE_CHARS, SAMPLE_LINES = 1024, 5
-CELL_SCHEMA = ("path string, source_file string, row_number bigint, header array<string>, "
-               "cells array<string>, is_mapping boolean")
+from fieldloom.sources import csv_splits
 
 
 def file_class(path) -> Column:
@@ -44,118 +41,38 @@ def file_ids(files: DataFrame) -> DataFrame:
     return numbered.withColumn("doc_id", F.concat("file_class", F.lit("_"), (F.col("_n") - 1).cast("string"))).drop("_n", "_rank")
 
 
-def delimiter_of(sample) -> Column:
-    return (F.when(F.contains(sample, F.lit(",")), F.lit(","))
-            .when(F.contains(sample, F.lit(";")), F.lit(";")).otherwise(F.lit("\t")))
-
-
 def is_mapping_sheet(first_lines) -> Column:
     """``first_lines``: array of the first five lines, data lines included."""
     return contains_any(F.lower(F.array_join(first_lines, " ")), K.MAPPING_INDICATORS)
 
 
-def _folder(spark, kind, path, **options):
-    return spark.read.format(kind).options(**{"recursiveFileLookup": True, **options}).load(path)
+def csv_profile(spark: SparkSession, path: str) -> DataFrame:
+    """Per file: delimiter, mapping-sheet flag and number of header columns, from its first lines."""
+    heads = csv_splits.file_heads(csv_splits.file_lines(spark, path, plain_path))
+    return heads.select("path", "delimiter", is_mapping_sheet(F.col("lines")).alias("is_mapping"), F.size("header").alias("columns"))
 
 
-def csv_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: delimiter, mapping-sheet flag and an upper bound of its columns, from its first lines.
+def read_csv(spark: SparkSession, path: str, pattern: str = "*.csv"):
+    """Every file under ``path`` named like ``pattern``: (cells, errors), from one pass over the files.
 
-    The first lines of a file all lie in its first block, in order, so a partial top-n per file
-    (WindowGroupLimit) is all that reaches the shuffle.
-    """
-    lines = _folder(spark, "text", path, lineSep="\n", pathGlobFilter="*.csv").select(
-        plain_path().alias("path"), F.col("_metadata.file_block_start").alias("_block"),
-        F.col("value"), F.monotonically_increasing_id().alias("_at"))
-    ordered = Window.partitionBy("path").orderBy("_at")
-    first = (lines.where("_block = 0").withColumn("_n", F.row_number().over(ordered))
-             .where(F.col("_n") <= SAMPLE_CHARS))
-    # lines of the first record go on whole; of the lines after it only the sample is kept
-    open_before = F.coalesce(F.sum(_quotes(F.col("value"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    first = first.withColumn("_open", open_before)
-    first = first.withColumn("_after", F.sum(F.when((F.col("_n") > 1) & ~F.col("_open"), 1).otherwise(0)).over(ordered))
-    one = F.struct("_n", F.when(F.col("_after") == 0, F.col("value")).otherwise(preview(F.col("value"), SAMPLE_CHARS)).alias("line"))
-    gathered = first.groupBy("path").agg(
-        F.array_sort(F.collect_list(one)).alias("_lines"))
-    texts = F.transform("_lines", lambda x: preview(x["line"], SAMPLE_CHARS))
-    profile = gathered.select(
-        "path", _first_record(F.transform("_lines", lambda x: x["line"])).alias("_first"), delimiter_of(preview(F.array_join(texts, "\n"), SAMPLE_CHARS)).alias("delimiter"),
-        is_mapping_sheet(F.slice(texts, 1, SAMPLE_LINES)).alias("is_mapping"))
-    return profile.withColumn("columns", F.size(F.split("_first", F.col("delimiter")))).drop("_first")
-
-
-def _quotes(text) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
-
-
-def _first_record(lines) -> Column:
-    """The first lines up to one that closes all quotes: a quoted header cell may hold line breaks."""
-    def add(state, line):
-        text = F.when(state["text"].isNull(), line).otherwise(F.concat_ws("\n", state["text"], line))
-        return F.when(state["whole"], state).otherwise(F.struct(text.alias("text"), (_quotes(text) % 2 == 0).alias("whole")))
-
-    start = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("whole"))
-    return F.coalesce(F.aggregate(lines, start, add, lambda state: state["text"]), F.lit(""))
-
-
-def _numbered(raw: DataFrame) -> DataFrame:
-    """Row number and first row of the file beside each row, without shuffling the rows.
-
-    Rows of one file block are consecutive in one task, so the number is the distance from the
-    block's first row plus the row counts of the blocks before. Only one line per block is
-    aggregated and joined back.
+    ``cells`` is as in ``read_csv_cells``; ``errors`` is (path, source_file, row_number, reason, kept, surplus, text) of the records that are not sound. Those with surplus cells or
+    an unclosed quote are kept: their cells are in the result too. A file that is wrong does not touch the others.
     """
-    kept = [c for c in raw.columns if c not in ("path", "_block", "_at")]
-    blocks = raw.groupBy("path", "_block").agg(
-        F.min("_at").alias("_lo"), F.count("*").alias("_n"), F.min_by(F.struct(*kept), "_at").alias("_first"))
-    before = Window.partitionBy("path").orderBy("_block")
-    blocks = blocks.select("path", "_block", "_lo", (F.sum("_n").over(before) - F.col("_n")).alias("_offset"),
-                           F.first("_first").over(before).alias("_first"))
-    return raw.join(blocks, ["path", "_block"]).withColumn(
-        "_row", F.col("_at") - F.col("_lo") + F.col("_offset") + 1).drop("_lo", "_offset", "_at", "_block")
+    found = materialise(csv_splits.read_records(spark, path, plain_path, pattern=pattern), "records")
+    kept = F.col("cells").isNotNull()
+    return _cells(found), found.where("reason IS NOT NULL").select("path", "source_file", "row_number", "reason", kept.alias("kept"), "surplus", "text")
 
 
-def read_csv_cells(spark: SparkSession, path: str, max_columns: int | None = None) -> DataFrame:
+def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """Every CSV under ``path`` as (path, source_file, row_number, header, cells, is_mapping).
 
-    Files may differ in delimiter, header and width: rows are read headerless with a wide
-    all-string schema, and row 1 of each file becomes that file's header. The schema is as wide as
-    the widest first line (or ``max_columns``); a header wider than that fails the read instead of
-    losing columns.
+    Files may differ in delimiter, header and width; the first record of each is its header. ``read_csv`` also tells which records have cells beyond the header.
     """
-    profile = materialise(csv_profile(spark, path), "profile")
-    # at most three groups of files, one per delimiter
-    kinds = profile.groupBy("delimiter").agg(F.max("columns").alias("columns")).collect()
-    if not kinds:
-        return spark.createDataFrame([], CELL_SCHEMA)
-    body = None
-    for kind in sorted(kinds, key=lambda k: k["delimiter"]):
-        mine = profile.where(F.col("delimiter") == kind["delimiter"])
-        width = max_columns or kind["columns"]
-        raw = spark.read.schema(", ".join(f"c{i} string" for i in range(width + 1))).options(
-            sep=kind["delimiter"], multiLine=True, quote='"', escape='"', recursiveFileLookup=True,
-            pathGlobFilter="*.csv", encoding="UTF-8").csv(path)
-        raw = raw.select(
-            plain_path().alias("path"), F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_at"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
-            F.col(f"c{width}").alias("_surplus"))
-        raw = raw.join(mine.select("path"), "path", "left_semi")  # the folder is scanned once per delimiter in it
-        rows = _numbered(raw).where("_row > 1").join(mine.select("path", "is_mapping"), "path")
-        one = rows.withColumn("header", _header_cells(F.col("_first"), width)).select(
-            "path", basename(F.col("path")).alias("source_file"), (F.col("_row") - 1).alias("row_number"),
-            # a row longer than its header loses the surplus cells
-            "header", F.slice("cells", 1, F.size("header")).alias("cells"), "is_mapping")
-        body = one if body is None else body.unionByName(one)
-    return body
-
-
-def _header_cells(first, width) -> Column:
-    """Header cells up to the last named one; a header that fills the whole schema is an error."""
-    cells = first["cells"]
-    last = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull() & (c != ""), i + 1).otherwise(0)))
-    kept = F.slice(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), 1, F.greatest(last, F.lit(1)))
-    fail = F.raise_error(F.lit(f"a CSV header has more than {width} columns")).cast("array<string>")
-    return F.when(first["_surplus"].isNotNull(), fail).otherwise(kept)
+    return _cells(csv_splits.read_records(spark, path, plain_path))
+
+
+def _cells(records: DataFrame) -> DataFrame:
+    return records.where("cells IS NOT NULL").select("path", "source_file", "row_number", "header", "cells", is_mapping_sheet(F.col("lines")).alias("is_mapping"))
 
 
 def parse_csv(spark: SparkSession, path: str, strict_compat: bool = False):

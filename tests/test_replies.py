@@ -121,3 +121,14 @@ def test_batches_of_one_day_are_kept(spark, tmp_path):
     for name in ("stg_claim_header", "stg_claim_diagnosis"):
         assert sorted(r.claim_id for r in read_staging(spark, f"{tmp_path}/{name}").collect()) == ["c1", "c2"]
     assert CL.batch_id(one.union(two)) == CL.batch_id(two.union(one)) != CL.batch_id(one.union(one))
+
+
+def test_replies_that_give_no_row_are_told(spark):
+    rows = [(1, '[{"source_doc": "a", "target_doc": "b"}, {"source_doc": "a"}]'), (2, "[broken"), (3, None), (4, "[]")]
+    replies = spark.createDataFrame(rows, "id int, response string")
+    assert {(r.id, r.reason) for r in MR.relation_errors(replies).collect()} == {(1, "document missing"), (2, "does not parse"), (3, "no reply")}
+    rows = [(1, 'So: {"has_relationship": false}'), (2, "{broken}"), (3, ""), (4, "plain words")]
+    replies = spark.createDataFrame(rows, "id int, response string")
+    assert {(r.id, r.reason, r.text) for r in MR.pair_errors(replies).collect()} == {(2, "does not parse", "{broken}"), (3, "no reply", ""), (4, "no JSON", "plain words")}
+    assert {(r.id, r.reason) for r in MR.review_errors(replies).collect()} == {(2, "does not parse"), (3, "no reply")}
+    assert {(r.id, r.reason) for r in MR.suggestion_errors(replies).collect()} == {(2, "does not parse"), (3, "no reply"), (4, "no JSON")}

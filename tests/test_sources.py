@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.numbering import number_rows
 from fieldloom.operators import documents as DO
-from fieldloom.sources import files, pages, stores
+from fieldloom.sources import csv_splits, files, pages, stores
 
 
 def write(folder, name, text):
@@ -62,9 +63,53 @@ def test_mapping_rows(spark, folder):
     assert got[("sheet.csv", 1)].target_table == "stg"
 
 
-def test_too_narrow_schema_fails(spark, folder):
-    with pytest.raises(Exception, match="more than 2 columns"):
-        files.read_csv_cells(spark, folder, max_columns=2).collect()
+def test_surplus_cells_and_open_quotes_are_told(spark, folder, tmp_path):
+    cells, errors = files.read_csv(spark, folder)
+    assert {(r.source_file, r.row_number, r.reason, r.kept, tuple(r.surplus), r.text) for r in errors.collect()} == {("wide.csv", 2, "surplus cells", True, ("9",), "5,6,7,8,9")}
+    write(tmp_path, "good.csv", "a,b\n1,2\n")
+    write(tmp_path, "open.csv", 'a,b\n1,2\n3,"4\n5,6\n')
+    write(tmp_path, "empty.csv", "")
+    write(tmp_path, "blank.csv", "\n\n,,\n")
+    cells, errors = files.read_csv(spark, str(tmp_path))
+    assert {(r.source_file, r.row_number, *r.cells) for r in cells.collect()} == {("good.csv", 1, "1", "2"), ("open.csv", 1, "1", "2"), ("open.csv", 2, "3", "4\n5,6")}
+    assert [(r.source_file, r.row_number, r.reason, r.text) for r in errors.collect()] == [("open.csv", 2, "unclosed quote", '3,"4\n5,6')]
+
+
+def odd_rows(count, seed):
+    draw = random.Random(seed)
+    parts = ["x", "", "two words", '"q"', '"a,b"', '"line\nbreak"', '"two\n\nbreaks, and ""quotes"""', '5" pipe', '"late"x', '""', '"\n"', "\u00e9"]
+    return [",".join([str(i), *draw.choices(parts, k=3)]) for i in range(count)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_splits_give_the_rows_of_one_task(spark, tmp_path, end):
+    """The same file in many splits, in one, and read by Spark's own reader in one task."""
+    rows = odd_rows(3000, 5)
+    write(tmp_path, "big.csv", end.join(["id,a,b,c", *rows[:700], '1,"' + "long\n" * 4000 + '",x,y', *rows[700:]]) + end)
+    want = [tuple(r) for r in spark.read.schema("c0 string, c1 string, c2 string, c3 string").options(multiLine=True, quote='"', escape='"').csv(str(tmp_path)).collect()][1:]
+    for size in ("1500", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            cells = files.read_csv_cells(spark, str(tmp_path))
+            got = sorted((r.row_number, *r.cells) for r in cells.collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [g[1:] for g in got] == want and [g[0] for g in got] == list(range(1, len(want) + 1))
+
+
+def test_a_record_without_end_is_told_piece_by_piece(spark, tmp_path):
+    write(tmp_path, "bad.csv", "a,b\n1,2\n" + '3,"' + "no end\n" * 2000)
+    write(tmp_path, "good.csv", "a,b\n1,2\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = csv_splits.read_records(spark, str(tmp_path), files.plain_path, longest=5000).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.source_file, r.row_number) for r in found if r.reason is None) == [("bad.csv", 1), ("good.csv", 1)]
+    pieces = [r.text for r in found if r.reason == "record too long"]
+    assert len(pieces) > 2 and sum(p.count("no end") for p in pieces) == 2000
 
 
 def test_file_summary(spark, folder):
@@ -74,14 +119,12 @@ def test_file_summary(spark, folder):
 
 
 def test_rows_of_split_files_are_numbered(spark, tmp_path):
-    lines = "".join(f"{i:06d},x\n" for i in range(20000))
-    write(tmp_path, "big.csv", lines)
+    write(tmp_path, "big.csv", "id,v\n" + "".join(f"{i:06d},x\n" for i in range(20000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
     try:
-        raw = spark.read.schema("c0 string, c1 string").csv(str(tmp_path)).select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "c0")
-        assert raw.select("_block").distinct().count() > 2
-        assert files._numbered(raw).where(F.col("_row") != F.col("c0").cast("int") + 1).isEmpty()
+        assert csv_splits.file_lines(spark, str(tmp_path), files.plain_path).select("block").distinct().count() > 2
+        rows = files.read_csv_cells(spark, str(tmp_path))
+        assert rows.count() == 20000 and rows.where(F.col("row_number") != F.col("cells")[0].cast("int") + 1).isEmpty()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
