@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.split, self.plain, self.single = self.tokenizer.model, regex.compile(SPLIT), regex.compile(PLAIN), re.compile(SINGLE)
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in kept]
@@ -97,7 +98,17 @@ class Encoder:
         return np.array(found, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text's ids begin (one more entry than texts)."""
+        """All ids, and where each text's ids begin (one more entry than texts). A text that spells out an added token goes through the library whole."""
+        odd = np.zeros(len(texts), bool)
+        for token in self.added:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.by_segments(texts)
+        ids, at = self.by_segments(pc.if_else(pa.array(odd), "", texts))
+        own = [np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) if odd[i] else ids[at[i]:at[i + 1]] for i in range(len(texts))]
+        return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+
+    def by_segments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, at = bytes_of(texts)
         if len(data) == 0:
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)

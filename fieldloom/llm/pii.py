@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import unused
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "national_id")
 KINDS = BASE_KINDS + ADDED_KINDS
@@ -163,8 +165,9 @@ def mask(text: Column, found: Column) -> Column:
         F.aggregate(in_order, first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))))
 
 
-def redact(docs: DataFrame, text_col: str = "text", into: str = "pii") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with masked texts; the spans are not kept. A null text stays null."""
+    into = unused("pii", docs.columns)
     marked = find_pii(docs, text_col, into)
     return marked.withColumn(text_col, F.when(F.size(into) == 0, F.col(text_col)).otherwise(mask(F.col(text_col), F.col(into)))).drop(into)
 

@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -97,3 +96,12 @@ def test_empty_table_repeated_ids_and_clashing_columns(spark):
     same = spark.createDataFrame([(None, "x", 1, 2), (None, "x", 1, 2), (7, "x", 1, 2), (7, "y", 1, 2)], "doc_id long, text string, offset int, _rank int")
     rows = packing.pack(same, PATH).collect()
     assert len(rows) == 4 and len({(r.sequence_id, r.offset) for r in rows}) == 4
+
+
+def test_texts_that_spell_out_an_added_token(plain):
+    import pyarrow as pa
+
+    texts = ["a plain text", "one<|endoftext|>two", "<|endoftext|>", "", "x <|endoftext|> <|endoftext|>y \u00e9", "<|endoftext|", "last"]
+    ids, at = packing.Encoder(PATH).encode(pa.array(texts))
+    assert [ids[at[i]:at[i + 1]].tolist() + [2] for i in range(len(texts))] == [plain(t) for t in texts]
+    assert 50256 in ids

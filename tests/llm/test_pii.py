@@ -79,3 +79,8 @@ def test_clash_and_ties(spark):
     with pytest.raises(ValueError):
         pii.find_pii(docs)
     assert len(set(pii.digest(docs).collect())) == 1
+
+
+def test_masking_with_a_column_of_the_same_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.org", "x", 1)], "doc_id int, text string, pii string, PII_ int")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "mail <EMAIL>", "x", 1)]
