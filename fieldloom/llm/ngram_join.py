@@ -109,10 +109,11 @@ def described(docs: DataFrame, counts: np.ndarray, words: int, percent: int) ->
 
 
 def shared_shingles(classes: DataFrame) -> DataFrame:
-    """token, pos, cls, size, indexed of the prefix shingles that several classes hold (and some that only seem so, which meet nobody)."""
+    """token, pos, cls, size, indexed of the prefix shingles that several classes hold; a bit table keeps nearly all others out of the shuffle."""
     entries = classes.select("cls", "indexed", F.posexplode("prefix").alias("pos", "token"))
     brief = entries.select("token", "cls", (F.col("pos") < F.col("indexed")).alias("first"))
     shared = brief.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.max("first").alias("first")).where("low < high AND first").select("token")
+    shared = materialise(shared, "shared")
     table = bit_table(shared)
 
     def pick(batches):
@@ -125,7 +126,8 @@ def shared_shingles(classes: DataFrame) -> DataFrame:
             own = pa.array(own[there])
             yield pa.RecordBatch.from_arrays([pa.array(token[there]), pa.array(pos[there], pa.int32()), cls.take(own), size.take(own), indexed.take(own)], ["token", "pos", "cls", "size", "indexed"])
 
-    return classes.select("cls", "size", "indexed", "prefix").mapInArrow(pick, "token long, pos int, cls long, size int, indexed int")
+    likely = classes.select("cls", "size", "indexed", "prefix").mapInArrow(pick, "token long, pos int, cls long, size int, indexed int")
+    return likely.join(shared, "token", "left_semi")
 
 
 def texts_for(docs: DataFrame, placed: DataFrame) -> DataFrame:
