@@ -21,8 +21,8 @@ def add_documents(existing: DataFrame, incoming: DataFrame, order_by) -> DataFra
         "type": F.when(mapping, "data_mapping").otherwise("document")}).drop("_n")
 
 
-def add_batch(collection: DataFrame, batch: DataFrame) -> DataFrame:
-    """Append rows whose id is new; rows without a vector are left out, stored ids stay as they are.
+def new_rows(collection: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of a batch that have a vector and an id that is not stored, in the columns of the collection.
 
     Of rows with one id the smallest document (then vector) is taken, so that a repeated run gives the same rows.
     """
@@ -30,7 +30,12 @@ def add_batch(collection: DataFrame, batch: DataFrame) -> DataFrame:
     rest = [c for c in collection.columns if c != "id"]
     order = F.struct(*[F.map_entries(c) if kind.startswith("map") else F.col(c) for c, kind in sorted(fresh.select(*rest).dtypes, key=lambda x: (x[0] != "document", x[0]))])
     fresh = fresh.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("_row")).select("id", "_row.*")
-    return collection.unionByName(fresh.select(*collection.columns))
+    return fresh.select(*collection.columns)
+
+
+def add_batch(collection: DataFrame, batch: DataFrame) -> DataFrame:
+    """Append rows whose id is new (``new_rows``); rows without a vector are left out, stored ids stay as they are."""
+    return collection.unionByName(new_rows(collection, batch))
 
 
 def batch_check(ids: DataFrame, embeddings: DataFrame, documents: DataFrame) -> DataFrame:

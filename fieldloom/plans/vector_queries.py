@@ -228,17 +228,17 @@ SHIFTED = "v AS (SELECT vec_id AS id, label FROM embeddings), h AS (SELECT count
 
 
 def _reloaded(spark, rows, change):
-    """Store a collection, store its changed version, and read that."""
+    """Store a collection, write a change on top of it as a segment, and read the two together."""
     path = scratch_path(spark, "collection")
     stores.store_collection(rows, path)
-    stores.store_collection(change(stores.stored_collection(spark, path)), path)
+    change(path)
     return stores.stored_collection(spark, path)
 
 
 @query("dml2_add_batch", f"WITH {SHIFTED} SELECT id, label FROM v UNION ALL SELECT id, label FROM b WHERE label <> 103 AND id NOT IN (SELECT id FROM v)")
 def dml2(spark, sf_dir):
     stored, batch = _shifted(spark, sf_dir)
-    return _reloaded(spark, stored, lambda kept: CO.add_batch(kept, batch)).select("id", "label")
+    return _reloaded(spark, stored, lambda path: stores.add_to_stored(spark, path, batch)).select("id", "label")
 
 
 @query("dml3_update", f"WITH {SHIFTED} SELECT v.id, coalesce(CASE WHEN b.label <> 105 THEN b.label END, v.label) AS label, b.id IS NOT NULL AND b.label <> 103 AS new_vector FROM v LEFT JOIN b ON v.id = b.id")
@@ -246,12 +246,30 @@ def dml3(spark, sf_dir):
     stored, batch = _shifted(spark, sf_dir)
     marked = batch.select("id", F.when(F.col("embedding").isNotNull(), F.array(F.lit(9.0).cast("float"))).alias("embedding"),
                           F.when(F.col("label") != 105, F.col("label")).alias("label"))
-    return _reloaded(spark, stored, lambda kept: CO.update(kept, marked)).select("id", "label", (F.size("embedding") == 1).alias("new_vector"))
+    return _reloaded(spark, stored, lambda path: stores.update_stored(spark, path, marked)).select("id", "label", (F.size("embedding") == 1).alias("new_vector"))
 
 
 @query("dml4_delete", f"WITH {SHIFTED} SELECT id, label FROM v WHERE id NOT IN (SELECT id FROM b)")
 def dml4(spark, sf_dir):
     stored, batch = _shifted(spark, sf_dir)
-    return _reloaded(spark, stored, lambda kept: CO.delete(kept, batch)).select("id", "label")
-
-
+    return _reloaded(spark, stored, lambda path: stores.delete_stored(spark, path, batch)).select("id", "label")
+
+
+@query("dml_segments", f"""WITH {SHIFTED}, a AS (SELECT id, label FROM v UNION ALL SELECT id, label FROM b WHERE label <> 103 AND id NOT IN (SELECT id FROM v)),
+  u AS (SELECT a.id, coalesce(v.label + 1000, a.label) AS label FROM a LEFT JOIN v ON a.id = v.id), d AS (SELECT * FROM u WHERE id NOT IN (SELECT n_nationkey FROM nation)),
+  r AS (SELECT * FROM d UNION ALL SELECT id, label FROM v WHERE id IN (SELECT n_nationkey FROM nation))
+SELECT 1 AS version, 0 AS segments, * FROM v UNION ALL SELECT 2, 1, * FROM a UNION ALL SELECT 3, 2, * FROM u UNION ALL SELECT 4, 3, * FROM d UNION ALL SELECT 5, 4, * FROM r UNION ALL SELECT 6, 0, * FROM r""")
+def dml_segments(spark, sf_dir):
+    """Every version of a collection that is added to, updated, deleted from, added to again and compacted, and its segments."""
+    path, (stored, batch) = scratch_path(spark, "collection"), _shifted(spark, sf_dir)
+    gone = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))
+    steps = [lambda: stores.store_collection(stored, path), lambda: stores.add_to_stored(spark, path, batch),
+             lambda: stores.update_stored(spark, path, stored.select("id", (F.col("label") + 1000).alias("label"))),
+             lambda: stores.delete_stored(spark, path, gone), lambda: stores.add_to_stored(spark, path, stored.join(gone, "id", "left_semi")),
+             lambda: stores.compact(spark, path)]
+    counted = [(step(), stores.n_segments(spark, path)) for step in steps]
+    out = None
+    for version, segments in counted:
+        one = stores.stored_collection(spark, path, version).select(F.lit(version).alias("version"), F.lit(segments).alias("segments"), "id", "label")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -4,7 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators.collection import add_batch
+from fieldloom.operators.collection import new_rows, update
 
 DOCUMENT_SCHEMA = (
     "doc_id string, type string, source_file string, content string, raw_text string, "
@@ -102,30 +102,100 @@ def import_collection(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_version(spark: SparkSession, path: str) -> int:
     """Number of the last whole version of a stored collection; 0 if there is none."""
+    return _listed(spark, path)[0]
+
+
+def _listed(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, int]:
+    """A version (the last one where none is named) and the version that holds its base; (0, 0) if it is not listed."""
     try:
-        return spark.read.schema("version int").parquet(f"{path}/versions").agg(F.max("version")).first()[0] or 0
+        rows = spark.read.schema("version int, base int").parquet(f"{path}/versions")
+        # lists without a base are of collections that were only ever written whole
+        at = F.max(F.struct("version", F.coalesce("base", "version"))).alias("at")
+        found = (rows if version is None else rows.where(F.col("version") == version)).agg(at).first()["at"]
     except AnalysisException:  # the folder is not there yet
-        return 0
+        found = None
+    return tuple(found) if found else (0, 0)
+
+
+def _list_version(spark: SparkSession, path: str, number: int, base: int) -> int:
+    spark.range(1).select(F.lit(number).alias("version"), F.lit(base).alias("base")).write.mode("append").parquet(f"{path}/versions")
+    return number
 
 
 def store_collection(collection: DataFrame, path: str) -> int:
-    """Write a new version of a stored collection and return its number.
+    """Write a whole new version of a stored collection, its base, and return its number.
 
     A version is a folder of its own and counts once it is listed, so readers see it whole or not at all; a write that failed
-    before is written over. Versions that went before stay readable.
+    before is written over. Versions that went before stay readable. One writer at a time.
     """
     number = latest_version(collection.sparkSession, path) + 1
     collection.write.mode("overwrite").parquet(f"{path}/v{number}")
-    collection.sparkSession.range(1).select(F.lit(number).alias("version")).write.mode("append").parquet(f"{path}/versions")
-    return number
+    return _list_version(collection.sparkSession, path, number, number)
+
+
+def _store_segment(spark: SparkSession, path: str, rows: DataFrame, deleted: bool) -> int:
+    """Write changed rows, or the ids of deleted ones, as a segment on top of the last version: a new version of the size of the change."""
+    last, base = _listed(spark, path)
+    if last < 1:
+        raise ValueError(f"no collection is stored in {path}")
+    fields = spark.read.parquet(f"{path}/v{base}").schema.fields
+    kept = {f.name: f.dataType for f in fields}
+    if deleted:
+        row = F.lit(None).cast("struct<" + ",".join(f"`{name}`:{kind.simpleString()}" for name, kind in kept.items()) + ">")
+    else:
+        row = F.struct(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kept.items()])
+    rows.select(F.lit(last + 1).alias("seq"), F.col("id").cast(kept["id"]).alias("id"), F.lit(deleted).alias("deleted"), row.alias("row")) \
+        .write.mode("overwrite").parquet(f"{path}/d{last + 1}")
+    return _list_version(spark, path, last + 1, base)
 
 
 def stored_collection(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The last version of a stored collection, or a given one."""
-    number = latest_version(spark, path) if version is None else version
+    """The last version of a stored collection, or a given one: its base without the ids that segments name, and the last state of those.
+
+    Only ids and segments are shuffled or broadcast for that, by their measured size; a version without segments is a plain scan.
+    """
+    number, base = _listed(spark, path, version)
     if number < 1:
-        raise ValueError(f"no collection is stored in {path}")
-    return spark.read.parquet(f"{path}/v{number}")
+        raise ValueError(f"no collection is stored in {path}" if version is None else f"no version {version} is stored in {path}")
+    rows = spark.read.parquet(f"{path}/v{base}")
+    if number == base:
+        return rows
+    segments = spark.read.parquet(*[f"{path}/d{n}" for n in range(base + 1, number + 1)])
+    last = segments.where("id is not null").groupBy("id").agg(F.max("seq").alias("last"))
+    # rows without an id cannot be named by a later segment, so all of them stay
+    live = segments.where("not deleted").join(last, "id", "left").where("id is null or seq = last").select("row.*")
+    return rows.join(last, "id", "left_anti").select(*rows.columns).unionByName(live)
+
+
+def n_segments(spark: SparkSession, path: str) -> int:
+    """How many segments the last version reads on top of its base."""
+    last, base = _listed(spark, path)
+    return last - base
+
+
+def add_to_stored(spark: SparkSession, path: str, batch: DataFrame) -> int:
+    """``add_batch`` on a stored collection: writes only the rows whose id is new."""
+    return _store_segment(spark, path, new_rows(stored_collection(spark, path), batch), deleted=False)
+
+
+def update_stored(spark: SparkSession, path: str, changes: DataFrame) -> int:
+    """``update`` on a stored collection: writes only the rows whose id is in ``changes``; ids that are not stored change nothing."""
+    stored = stored_collection(spark, path)
+    touched = stored.join(changes.select("id"), "id", "left_semi").select(*stored.columns)
+    return _store_segment(spark, path, update(touched, changes), deleted=False)
+
+
+def delete_stored(spark: SparkSession, path: str, ids: DataFrame) -> int:
+    """``delete`` on a stored collection: writes the ids and reads no stored row."""
+    return _store_segment(spark, path, ids.select("id").where("id is not null").distinct(), deleted=True)
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Write the last version as a base of its own, so that readers have no segments to fold in; the same rows under a new number.
+
+    Nothing is written where there are no segments.
+    """
+    return store_collection(stored_collection(spark, path), path) if n_segments(spark, path) else latest_version(spark, path)
 
 
 def import_into(spark: SparkSession, exported: str, path: str, overwrite: bool = False) -> int:
@@ -133,7 +203,7 @@ def import_into(spark: SparkSession, exported: str, path: str, overwrite: bool =
     rows = import_collection(spark, exported)
     if overwrite or not latest_version(spark, path):
         return store_collection(rows, path)
-    return store_collection(add_batch(stored_collection(spark, path), rows), path)
+    return add_to_stored(spark, path, rows)
 
 
 def append_staging(table: DataFrame, path: str, load_id: str | None = None) -> int:

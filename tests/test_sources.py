@@ -207,6 +207,54 @@ def test_stored_collection_versions(spark, tmp_path):
     assert {r.id: r.document for r in stores.stored_collection(spark, path).collect()} == {"a": "other", "c": "three"}
 
 
+def test_segments_read_like_the_rewritten_collection(spark, tmp_path):
+    rng, path = random.Random(5), str(tmp_path / "c")
+    schema = "id string, embedding array<float>, document string, metadata map<string,string>"
+
+    def rows(n, ids):
+        return spark.createDataFrame([(rng.choice(ids), rng.choice([[1.0], [2.0], None]), rng.choice(["x", "y", None]), rng.choice([{"k": "1"}, None])) for _ in range(n)], schema)
+
+    def seen(df):
+        return sorted(map(str, df.collect()))
+
+    ids = [f"i{n}" for n in range(12)]
+    whole = CO.add_batch(rows(0, ids), rows(20, ids)).unionByName(spark.createDataFrame([(None, [3.0], "no id", None)], schema)).unionByName(
+        spark.createDataFrame([("i3", [4.0], "a second i3", None)], schema))
+    whole = spark.createDataFrame(whole.collect(), schema)
+    stores.store_collection(whole, path)
+    want = [seen(whole)]
+    for round in range(6):
+        if round % 3 == 0:
+            change = spark.createDataFrame(rows(6, ids + ["j1", "j2", "j3", None]).collect(), schema)
+            whole, number = CO.add_batch(whole, change), stores.add_to_stored(spark, path, change)
+        elif round % 3 == 1:
+            change = spark.createDataFrame([(i, rng.choice(["new", None]), f"extra {i}") for i in rng.sample(ids, 4) + ["absent"]], "id string, document string, surplus string")
+            whole, number = CO.update(whole, change), stores.update_stored(spark, path, change)
+        else:
+            change = spark.createDataFrame([(i,) for i in rng.sample(ids, 3) * 2 + ["absent", None]], "id string")
+            whole, number = CO.delete(whole, change), stores.delete_stored(spark, path, change)
+        whole = spark.createDataFrame(whole.collect(), schema)
+        want.append(seen(whole))
+        assert number == len(want) and seen(stores.stored_collection(spark, path)) == want[-1]
+    assert stores.n_segments(spark, path) == 6 and stores.compact(spark, path) == 8
+    assert stores.n_segments(spark, path) == 0 and stores.compact(spark, path) == 8 and stores.stored_collection(spark, path).schema == whole.schema
+    assert [seen(stores.stored_collection(spark, path, v + 1)) for v in range(8)] == want + want[-1:]
+    with pytest.raises(ValueError):
+        stores.stored_collection(spark, path, 9)
+
+
+def test_a_change_writes_no_more_than_itself(spark, tmp_path):
+    path = str(tmp_path / "c")
+    big = spark.range(20000).select("id", F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("embedding"), F.lit("t").alias("row"))
+    stores.store_collection(big, path)
+    for number, change in ((2, stores.delete_stored(spark, path, big.where("id < 3"))), (3, stores.update_stored(spark, path, big.where("id < 5").withColumn("row", F.lit("u"))))):
+        assert change == number and spark.read.parquet(f"{path}/d{number}").count() == {2: 3, 3: 2}[number]
+    got = stores.stored_collection(spark, path)
+    assert got.count() == 19997 and got.where("row = 'u'").count() == 2
+    with pytest.raises(ValueError):
+        stores.delete_stored(spark, str(tmp_path / "none"), big)
+
+
 def test_repeated_load_leaves_counts(spark, tmp_path):
     path = str(tmp_path / "s")
     for _ in range(2):
