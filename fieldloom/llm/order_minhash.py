@@ -10,6 +10,8 @@ picks and many bands are taken; texts of fewer than ``SHORT`` words, where a few
    in nearly all of them the smallest node is a near copy of both. Texts that failed - a crowd that shares a long passage, say - are sketched
    again with twice the picks, which a shared passage is ever less likely to fill, and twice the bands, until no pair fails. All steps are aggregations
    that combine before the shuffle, and joins whose skew Spark can split.
+   Last, the texts of a band that are still in different components meet pair by pair, in blocks of bounded size: a pair that agrees in a band and was
+   not tested is left out only where length or word parities rule it out, or where its two texts are linked through others already.
 3. A pair is linked if the word edit distance is at most (1 - ``similarity``) of the longer text.
 4. Linked nodes form components; the class of a document is the smallest doc_id of its component.
 
@@ -36,6 +38,7 @@ WORDS, PICKS, BANDS, SIMILARITY = 5, 2, 64, 0.8
 SHORT, SHORT_WORDS = 50, 2
 SKETCHED = 1 << 15
 FEW, OFTEN = 32, 512
+PARITY_WORDS, ROWS, MEETING = 4, 2048, 1024  # numbers of 64 word parities per text, texts that take them at once, members of a band on either side of a block
 
 
 def labelled_kmers(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +214,7 @@ def shared_entries(sketched: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, words: int = WORDS, picks: int = PICKS, bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs (a, b) of nodes: stars around the smallest node of every band, then of finer bands for those that failed."""
-    crowd = materialise(shared_entries(materialise(band_table(docs, words, picks, bands), "bands")), "crowd")
+    crowd = first = materialise(shared_entries(materialise(band_table(docs, words, picks, bands), "bands")), "crowd")
     texts = materialise(docs.select(digest("text").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
                         .join(crowd.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     empty = docs.sparkSession.createDataFrame([], "a binary, b binary")
@@ -228,7 +231,58 @@ def links(docs: DataFrame, words: int = WORDS, picks: int = PICKS, bands: int =
         picks, bands = 2 * picks, 2 * bands
         finer = band_table(texts.join(failed, "node", "left_semi").select("text"), words, picks, bands)
         crowd = materialise(shared_entries(materialise(finer, "bands")), "crowd")
-    return found
+    rest = materialise(apart(first, texts, found, similarity).join(tested, ["a", "b"], "left_anti"), "pairs")
+    return found.union(materialise(verified(rest, texts, similarity), "links"))
+
+
+def parities(texts: DataFrame) -> DataFrame:
+    """node, n_words and parity (the counts modulo 2 of the words in 64 * PARITY_WORDS hash buckets) of every text.
+
+    Texts at edit distance d leave at most d words each without a partner, so parities that differ and the difference in length add up to at most 2 d.
+    """
+    def count(batches):
+        width = 64 * PARITY_WORDS
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for start in range(0, part.num_rows, ROWS):
+                    few = part.slice(start, ROWS)
+                    tokens, owner = pieces_of(pc.utf8_split_whitespace(pc.utf8_lower(texts_of(few, "text"))))
+                    bits = np.zeros(few.num_rows * width, np.uint8)
+                    if len(tokens):
+                        code, names = codes_of(tokens)
+                        np.bitwise_xor.at(bits, owner * width + (hash_strings(names) % np.uint64(width)).astype(np.int64)[code], np.uint8(1))
+                    parity = pa.ListArray.from_arrays(pa.array(np.arange(few.num_rows + 1, dtype=np.int32) * PARITY_WORDS), pa.array(np.packbits(bits).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([few.column(0), pa.array(np.bincount(owner, minlength=few.num_rows)), parity], ["node", "n_words", "parity"])
+
+    return texts.select("node", "text").mapInArrow(count, "node binary, n_words long, parity array<bigint>")
+
+
+def apart(crowd: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a > b) of nodes that agree in a band, are in different components of ``found`` and may align by length and word parities.
+
+    Only bands with several components are open. Their members are dealt to blocks, and every two blocks of a band meet as one key of a join, where 64-bit
+    hashes stand for nodes and components.
+    """
+    linked = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+    labels = components(linked, found.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), "component")
+    member = materialise(crowd.join(labels, "node", "left").select("node", "band", F.xxhash64(F.coalesce("component", "node")).alias("component")), "members")
+    sizes = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    inside = materialise(member.join(sizes.select("band", F.ceil(F.col("n") / MEETING).cast("int").alias("blocks")), "band"), "members")
+    nodes = inside.select("node").distinct()
+    marks = materialise(parities(texts.join(nodes, "node", "left_semi")), "parities")
+    dealt = inside.join(marks, "node").select(
+        "band", "blocks", F.xxhash64("node").alias("id"), "component", F.col("n_words").cast("int").alias("n"), *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY_WORDS)])
+    dealt = dealt.withColumn("own", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
+    kept = ["id", "component", "n", *[f"p{k}" for k in range(PARITY_WORDS)]]
+    left = dealt.select("band", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"x_{c}") for c in kept])
+    right = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"y_{c}") for c in kept])
+    most = F.floor(F.lit(1 - similarity) * F.greatest("x_n", "y_n") + F.lit(1e-9))
+    differ = sum((F.bit_count(F.col(f"x_p{k}").bitwiseXOR(F.col(f"y_p{k}"))) for k in range(PARITY_WORDS)), F.abs(F.col("x_n") - F.col("y_n")))
+    near = (F.col("x_component") != F.col("y_component")) & ((F.col("i") < F.col("j")) | (F.col("x_id") < F.col("y_id"))) & (differ <= 2 * most)
+    met = materialise(left.join(right, ["band", "i", "j"]).where(near).select(F.greatest("x_id", "y_id").alias("x"), F.least("x_id", "y_id").alias("y")).distinct(), "met")
+    named = nodes.select("node", F.xxhash64("node").alias("id"))
+    both = met.join(named.select(F.col("id").alias("x"), F.col("node").alias("nx")), "x").join(named.select(F.col("id").alias("y"), F.col("node").alias("ny")), "y")
+    return both.select(F.greatest("nx", "ny").alias("a"), F.least("nx", "ny").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, picks: int = PICKS, bands: int = BANDS, similarity: float = SIMILARITY,

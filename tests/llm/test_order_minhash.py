@@ -1,7 +1,9 @@
+import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from fieldloom.llm import order_minhash as om
 from fieldloom.llm.common import mix
@@ -163,3 +165,43 @@ def test_memory_of_long_alignments():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60 << 20
+
+
+def test_a_link_between_two_that_are_not_the_smallest_of_their_band_is_found(spark):
+    """c - x and c - a align, x - a does not, and x is the smallest node of the only band: the link c - a is tested all the same."""
+    draw, found = random.Random(3), []
+    while len(found) < 3:
+        tag = len(found)
+        c = [f"t{tag}_{draw.randrange(10 ** 9)}" for _ in range(100)]
+        x = [f"{w}x" if i < 15 else w for i, w in enumerate(c)]
+        a = [f"{w}a" if i >= 85 else w for i, w in enumerate(c)]
+        texts = [" ".join(t) for t in (c, x, a)]
+        keys = [list(map(int, k)) for k in om.sketches(pa.array(texts), 5, 1, 1)]
+        if keys[0] == keys[1] == keys[2] and min(texts, key=lambda t: hashlib.md5(t.encode()).digest()) == texts[1]:
+            found += [texts]
+    rows = [(3 * g + i, text) for g, texts in enumerate(found) for i, text in enumerate(texts)]
+    made = om.classes(spark.createDataFrame(rows, "doc_id long, text string"), picks=1, bands=1).collect()
+    assert {r.doc_id: r.class_id for r in made} == {n: n - n % 3 for n, _ in rows}
+
+
+def test_blocks_of_a_crowded_band_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(om, "MEETING", 3)
+    draw = random.Random(4)
+    base = [f"w{draw.randrange(10 ** 9)}" for _ in range(60)]
+    texts = [" ".join([f"{w}_{n}" if i in draw.sample(range(60), 8) else w for i, w in enumerate(base)]) for n in range(20)]
+    nodes = [hashlib.md5(t.encode()).digest() for t in texts]
+    stored = spark.createDataFrame(list(zip(map(bytearray, nodes), texts)), "node binary, text string")
+    crowd = stored.select("node", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("band"))
+    pairs = om.apart(crowd, stored, spark.createDataFrame([(bytearray(nodes[0]), bytearray(nodes[1]))], "a binary, b binary"), .8).collect()
+    got = {(bytes(r.a), bytes(r.b)) for r in pairs}
+    words = [t.split() for t in texts]
+    want = {tuple(sorted((nodes[i], nodes[j]), reverse=True)) for i in range(20) for j in range(i) if distance(words[i], words[j]) <= 12 and (i, j) != (1, 0)}
+    assert len(got) == len(pairs) and want and want <= got
+
+
+def test_parities_bound_the_edit_distance(spark):
+    rows = [(bytearray(b"a"), "x y z x"), (bytearray(b"b"), "X y z"), (bytearray(b"c"), None)]
+    made = {bytes(r.node): r for r in om.parities(spark.createDataFrame(rows, "node binary, text string")).collect()}
+    assert [made[k].n_words for k in (b"a", b"b", b"c")] == [4, 3, 0] and all(len(r.parity) == om.PARITY_WORDS for r in made.values())
+    bits = [sum(bin(v & (2 ** 64 - 1)).count("1") for v in made[k].parity) for k in (b"a", b"b", b"c")]
+    assert bits == [2, 3, 0]
