@@ -9,7 +9,10 @@ from fieldloom.constants import CONTENT_SIMILARITY, FIELD_SIMILARITY
 from fieldloom.functions.vectors import distance, literal
 from fieldloom.session import materialise
 
-BLOCK_ROWS, QUERY_ROWS = 8192, 512  # vectors of the collection and of queries that a task holds at once
+BLOCK_ROWS, QUERY_ROWS = 32768, 4096  # most vectors of the collection and of queries that a task holds at once
+BLOCK_BYTES = 8 << 20       # and their most bytes, as 32-bit numbers
+NEAR_ROWS, NEAR_QUERIES, FIRST_LOOK = 8192, 512, 256  # distances taken at once, and those that give the first bound
+UNITS_PER_CORE = 6
 MAX_PIVOTS = 128
 MAX_BLOCK_BYTES = 32 << 20  # vectors of one block of a similarity join
 TILE = 2048
@@ -44,49 +47,107 @@ def nearest_many(collection: DataFrame, queries: DataFrame, n=5, metric="l2sq",
     """k nearest rows for every query vector (query_id, embedding).
 
     Both sides are dealt to blocks of a bounded number of vectors by a hash of their ids, and every block of queries meets every
-    block of the collection by an equality join; nothing goes through the driver but the two row counts. A task holds one pair
+    block of the collection by an equality join; nothing goes through the driver but the row counts. A task holds one pair
     of blocks and hands on only the ``n`` best per query; a window over blocks x ``n`` rows per query keeps the best overall.
     """
-    types = dict(collection.dtypes)
+    types, spark = dict(collection.dtypes), collection.sparkSession
     query_type, id_type = dict(queries.dtypes)["query_id"], types["id"]
-    rows = collection.where("embedding is not null").select("id", "embedding")
-    asked = queries.where("embedding is not null").select("query_id", "embedding")
-    places = max(1, -(-rows.count() // block_rows))
-    stored = _in_blocks(rows.withColumnRenamed("id", "key"), places).select(F.col("block"), F.col("keys").alias("ids"), F.col("vectors"))
-    batches = _in_blocks(asked.withColumnRenamed("query_id", "key"), max(1, -(-asked.count() // query_rows))).select(F.col("keys").alias("query_ids"), F.col("vectors").alias("wanted"))
-    meeting = batches.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).join(stored, "block")
+    rows = collection.where("embedding is not null").select(F.col("id").alias("key"), "embedding")
+    asked = queries.where("embedding is not null").select(F.col("query_id").alias("key"), "embedding")
+    size = rows.agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("width")).first()
+    fits = max(1, BLOCK_BYTES // (4 * max(1, size["width"] or 1)))
+    cores = spark.sparkContext.defaultParallelism
+    small = max(NEAR_ROWS, -(-size["rows"] // (2 * cores)))  # a small collection is still cut finely enough to use all cores
+    places = max(1, -(-size["rows"] // min(block_rows, fits, small)))
+    batches = max(1, -(-asked.count() // min(query_rows, fits)))
+    # a block of the collection is copied for a few groups of query blocks, so that there are units of work for every core
+    copies = min(batches, max(1, -(-UNITS_PER_CORE * cores // places)))
+    units = places * copies
+    stored = _in_blocks(rows, places).select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "block", F.col("keys").alias("ids"), "vectors")
+    wanted = _in_blocks(asked, batches).select(F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("at"), (F.col("block") % copies).alias("copy"),
+                                               F.col("keys").alias("query_ids"), F.col("vectors").alias("wanted"))
+    # a fixed number of partitions: what a unit costs does not show in its bytes
+    stored = stored.select((F.col("block") * copies + F.col("copy")).alias("unit"), "ids", "vectors").repartition(units, "unit")
+    wanted = wanted.select((F.col("at") * copies + F.col("copy")).alias("unit"), "query_ids", "wanted").repartition(units, "unit")
+    numbers = [_number(df) for df in (rows, asked)]
 
     def best(frames):
-        def unit(matrix):
-            length = np.linalg.norm(matrix, axis=1, keepdims=True)
-            return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
         for frame in frames:
             for row in frame.itertuples():
-                own, ids = np.asarray(row.ids), np.asarray(row.query_ids)
-                vecs = np.frombuffer(row.vectors, np.float64).reshape(len(own), -1)
-                wanted = np.frombuffer(row.wanted, np.float64).reshape(len(ids), -1)
-                if metric == "cosine":
-                    dist = 1.0 - unit(vecs) @ unit(wanted).T
-                else:
-                    dist = np.maximum(0.0, (vecs ** 2).sum(1)[:, None] + (wanted ** 2).sum(1)[None, :] - 2.0 * (vecs @ wanted.T))
-                names = np.repeat(own[:, None], dist.shape[1], axis=1)
-                top = np.lexsort((names, np.round(dist, 9)), axis=0)[:n]
-                dist, names = np.take_along_axis(dist, top, 0), np.take_along_axis(names, top, 0)
-                yield pd.DataFrame({"query_id": np.repeat(ids, len(dist)), "id": names.T.ravel(), "distance": dist.T.ravel()})
-
-    partial = meeting.select("ids", "vectors", "query_ids", "wanted").mapInPandas(best, f"query_id {query_type}, id {id_type}, distance double")
+                names, codes = np.unique(np.asarray(row.ids), return_inverse=True)  # numbers in the order of the ids
+                ids = np.asarray(row.query_ids)
+                vecs = np.frombuffer(row.vectors, numbers[0]).reshape(len(codes), -1)
+                probes = np.frombuffer(row.wanted, numbers[1]).reshape(len(ids), -1)
+                for start in range(0, len(ids), NEAR_QUERIES):
+                    own, code, dist = _nearest_codes(vecs, codes.ravel(), probes[start:start + NEAR_QUERIES].astype(np.float64), n, metric)
+                    yield pd.DataFrame({"query_id": ids[start + own], "id": names[code], "distance": dist})
+
+    partial = wanted.join(stored, "unit").select("ids", "vectors", "query_ids", "wanted").mapInPandas(best, f"query_id {query_type}, id {id_type}, distance double")
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
     return (partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
             .withColumn("similarity", 1.0 - F.col("distance")))
 
 
+def _nearest_codes(vecs, codes, probes, n, metric):
+    """The ``n`` nearest of ``vecs`` for every probe: number of the probe, code of the vector, distance; ties by code.
+
+    Products are taken tile by tile in 32-bit numbers, whose error has a bound. The first few distances give a limit, and only vectors that
+    may lie within the n-th best so far get their distance in 64-bit numbers and are sorted.
+    """
+    if metric == "cosine":
+        probes = _unit(probes)
+    square = (probes ** 2).sum(1)
+    limit = np.full(len(probes), np.inf)
+    own, code, dist = np.empty(0, np.int64), np.empty(0, codes.dtype), np.empty(0)
+    for start in range(0, len(vecs), NEAR_ROWS):
+        tile = vecs[start:start + NEAR_ROWS].astype(np.float64)
+        if metric == "cosine":
+            tile = _unit(tile)
+        own_square = (tile ** 2).sum(1)
+
+        def away(at, place):
+            product = np.einsum("ij,ij->i", probes[at], tile[place])
+            return 1.0 - product if metric == "cosine" else np.maximum(0.0, square[at] + own_square[place] - 2.0 * product)
+
+        if start == 0 and len(tile) >= n:
+            look = min(len(tile), max(n, FIRST_LOOK))
+            product = probes @ tile[:look].T
+            near = 1.0 - product if metric == "cosine" else np.maximum(0.0, square[:, None] + own_square[None, :look] - 2.0 * product)
+            limit = np.partition(near, n - 1, axis=1)[:, n - 1]
+        # the distance is at most the limit where the product (less half the square, which is one more column) is at least ``low``
+        if metric == "cosine":
+            a, b, low = probes, tile, 1.0 - limit
+        else:
+            a, b, low = np.c_[probes, np.ones(len(probes))], np.c_[tile, -own_square / 2], (square - limit) / 2
+        scale = np.sqrt((a ** 2).sum(1)) * np.sqrt((b ** 2).sum(1).max())
+        if np.isfinite(scale).all() and scale.max(initial=0.0) < 1e30:
+            a, b, slack = a.astype(np.float32), b.astype(np.float32), scale * (a.shape[1] + 8) * 2.0 ** -23
+        else:
+            slack = np.where(np.isfinite(scale), scale * (a.shape[1] + 8) * 2.0 ** -52, np.inf)
+        bound = np.nextafter((low - slack - 2e-9).astype(a.dtype), -np.inf, dtype=a.dtype)  # 2e-9, as distances are compared after rounding
+        at, place = np.nonzero(~(a @ b.T < bound[:, None]))  # what is no number stays, and comes last
+        own, code, dist = np.concatenate([own, at]), np.concatenate([code, codes[start + place]]), np.concatenate([dist, away(at, place)])
+        order = np.lexsort((code, np.round(dist, 9), own))
+        own, code, dist = own[order], code[order], dist[order]
+        begins = np.searchsorted(own, np.arange(len(probes)))
+        kept = np.arange(len(own)) - begins[own] < n
+        own, code, dist = own[kept], code[kept], dist[kept]
+        full = np.bincount(own, minlength=len(probes)) == n
+        limit[full] = dist[np.searchsorted(own, np.flatnonzero(full), side="right") - 1]
+    return own, code, dist
+
+
+def _number(rows: DataFrame):
+    """32-bit numbers stay as they are; all others become 64-bit ones."""
+    return np.float32 if dict(rows.dtypes)["embedding"] == "array<float>" else np.float64
+
+
 def _in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
-    """block, keys and vectors (as bytes) of (key, embedding): one row per block."""
-    key_type = dict(rows.dtypes)["key"]
+    """block, keys and vectors (as bytes of the numbers' own type) of (key, embedding): one row per block."""
+    key_type, number = dict(rows.dtypes)["key"], _number(rows)
 
     def gather(at, frame):
-        vectors = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+        vectors = np.stack(frame["embedding"].to_numpy()).astype(number)
         return pd.DataFrame({"block": [at[0]], "keys": [frame["key"].to_numpy()], "vectors": [vectors.tobytes()]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))

@@ -133,3 +133,25 @@ def test_added_documents_get_running_ids(spark):
     new = spark.createDataFrame([(2, {"_mapping_type": "data_mapping"}), (1, {}), (3, None)], "n int, metadata map<string,string>")
     got = {r.n: (r.doc_id, r.type) for r in CO.add_documents(stored(spark), new, ["n"]).collect()}
     assert got == {1: ("doc_2", "document"), 2: ("doc_3", "data_mapping"), 3: ("doc_4", "document")}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2sq"])
+def test_the_nearest_of_a_block_are_found_without_sorting_it(metric, monkeypatch):
+    """Ties, copies, zero, huge and odd vectors over several tiles, against a full sort; only a small share of all distances is sorted."""
+    monkeypatch.setattr(SI, "NEAR_ROWS", 700)
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(5000, 16))
+    vecs[100:200] = vecs[:100]
+    vecs[300], vecs[301] = 0, vecs[299] * (1 + 1e-12)
+    codes, sorted_rows, plain = rng.permutation(5000), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or plain(keys))
+    own, code, dist = SI._nearest_codes(vecs, codes, vecs[:320].copy(), 5, metric)
+    assert sum(sorted_rows) < 0.2 * 320 * 5000
+    one = unit(vecs)
+    full = 1 - one[:320] @ one.T if metric == "cosine" else ((vecs[:320, None, :] - vecs[None]) ** 2).sum(2)
+    for q in range(320):
+        want = plain((codes, np.round(np.maximum(full[q], 0) if metric != "cosine" else full[q], 9)))[:5]
+        assert code[own == q].tolist() == codes[want].tolist() and np.allclose(dist[own == q], full[q][want], atol=1e-9)
+    wild = np.array([[1e200, 0], [np.nan, 1], [1, 1], [np.inf, 0], [1, 2]])
+    own, code, _ = SI._nearest_codes(wild, np.arange(5), np.array([[1.0, 1.0]]), 2, metric)
+    assert code.tolist() == ([2, 4] if metric == "l2sq" else [2, 4])
