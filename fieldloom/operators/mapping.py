@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fieldloom import constants as K
 from fieldloom.functions.text import contains_any, filled, is_blank, last_at, plain_spaces, strip
-from fieldloom.session import spread
+from fieldloom.session import materialise, spread
+
+ROW_BYTES = 2 << 20  # of sheet rows, as the planner counts them, per task: what is made of a row is far wider
 
 NORMAL_COLUMNS = [name for name, _ in K.HEADER_RULES]
 
@@ -89,11 +91,12 @@ def normalise_rows(rows: DataFrame, strict_compat: bool = False) -> DataFrame:
     """Raw rows (source_file, row_number, header, cells) to mapping rows.
 
     ``strict_compat`` keeps no-break spaces in headers and values; by default they become plain
-    spaces before the header rules look at them.
+    spaces before the header rules look at them. Rows are dealt to tasks of bounded size, and the headers are written first: the planner
+    then knows that they are the small side of the join, and does not send the rows to every task.
     """
-    tidy = drop_blank_rows(rows).withColumn(
+    tidy = spread(drop_blank_rows(rows), ROW_BYTES).withColumn(
         "cells", F.transform("cells", lambda v: strip(v if strict_compat else plain_spaces(v))))
-    tidy = tidy.join(layouts(rows, True, strict_compat), "header")
+    tidy = tidy.join(materialise(layouts(rows, True, strict_compat), "headers"), "header")
     for name in NORMAL_COLUMNS:
         tidy = tidy.withColumn(name, F.coalesce(F.get("cells", F.col(f"at_{name}")), F.lit("")))
     tidy = tidy.withColumns({

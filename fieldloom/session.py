@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 SPLIT_BYTES = 64 << 20
+UNKNOWN_BYTES, MOST_PARTS = 1 << 60, 4096  # an estimate that only says "unknown", and tasks of one step that the driver still keeps count of easily
 SCRATCH = "spark.fieldloom.scratch.dir"
 BATCH_BYTES, ARROW_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -67,13 +68,22 @@ class Rounds:
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of ``df``; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, part_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Give every core a share of a costly per-row step when the input has fewer splits than cores.
 
     Decided from the planner's size estimate, without running anything. Inputs of more splits than
-    cores are left where they are.
+    cores are left where they are, unless ``part_bytes`` asks for smaller parts than splits: for steps that
+    hold much more than they read, so that what a task holds does not grow with the input.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    bytes_in = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if bytes_in < cores * SPLIT_BYTES else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    bytes_in = estimated_bytes(df)
+    if part_bytes == SPLIT_BYTES and bytes_in >= cores * SPLIT_BYTES:
+        return df
+    if bytes_in >= UNKNOWN_BYTES:
+        return df
+    return df.repartition(min(MOST_PARTS, max(cores, -(-bytes_in // part_bytes))))

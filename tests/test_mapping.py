@@ -113,3 +113,16 @@ def test_term_links(spark):
 def test_source_column_spellings(spark):
     df = spark.createDataFrame([({"source_column": "", "Source Field": "b"},), ({"\ufeffSource\xa0Field": "a", "Source Field": "b"},), ({"z": "1"},)], "m map<string,string>")
     assert [r[0] for r in df.select(MO.resolve_source_column(F.col("m"))).collect()] == ["b", "b", None]
+
+
+def test_rows_are_dealt_to_every_core_and_headers_are_the_small_side(spark, tmp_path):
+    """One split of many rows goes to all cores, and the rows are not what is sent to every task."""
+    path = str(tmp_path / "rows")
+    header = F.array(*[F.lit(h) for h in ("Source Table", "Source Column", "Mapping Rules", "Field")])
+    spark.range(20000, numPartitions=1).select(F.lit("a.csv").alias("source_file"), F.col("id").alias("row_number"), F.col("id").cast("string").alias("doc_id"), header.alias("header"),
+                                               F.array(F.lit("t"), F.concat(F.lit("c"), "id"), F.lit("Direct"), F.lit("f")).alias("cells")).write.parquet(path)
+    made = MO.normalise_rows(spark.read.parquet(path))
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
+    assert made.count() == 20000 and made.where("relationship.source = 't.c77'").count() == 1
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "/headers-" in made.inputFiles()[0] + made.inputFiles()[-1] or "headers-" in plan
