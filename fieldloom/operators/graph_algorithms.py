@@ -9,6 +9,7 @@ from fieldloom.operators.graph import both_ways, endpoints
 from fieldloom.session import Rounds, materialise
 
 SOURCES_PER_BATCH = 20_000
+ALIKE_TARGETS = 64
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -141,17 +142,19 @@ def betweenness(nodes: DataFrame, edges: DataFrame, source_batches: int | None =
 
     Shortest-path counts are level tables keyed (source, node); the dependencies are then summed
     back level by level. Sources are worked off in ``source_batches`` hash batches to bound the
-    table of one round (by default about 20,000 sources each).
+    table of one round (by default about 20,000 sources each). Sources that nothing leads to and that lead to the same nodes (at most
+    ``ALIKE_TARGETS``) lie on no path and add the same to every other node, so one of them stands for all.
     """
     total = nodes.count()
     links = materialise(edges.where("src <> dst").select("src", "dst").distinct(), "links")
+    sources = materialise(_alike_sources(links), "sources")
     if source_batches is None:
-        source_batches = max(1, -(-links.select("src").distinct().count() // SOURCES_PER_BATCH))
+        source_batches = max(1, -(-sources.count() // SOURCES_PER_BATCH))
     scale = 1.0 / ((total - 1) * (total - 2)) if total > 2 else 1.0
     sums = None
     for batch in range(source_batches):
         # a node without outgoing edges reaches nothing
-        roots = links.select("src").distinct().where(F.pmod(F.xxhash64("src"), F.lit(source_batches)) == batch)
+        roots = sources.where(F.pmod(F.xxhash64("src"), F.lit(source_batches)) == batch)
         level = materialise(roots.select(F.col("src").alias("s"), F.col("src").alias("v"), F.lit(1.0).alias("paths")), "level")
         levels, seen = [level], level.select("s", "v")
         while True:
@@ -173,7 +176,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, source_batches: int | None =
             below = materialise(here.join(gain, ["s", "v"], "left").select(
                 "s", "v", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")), "deps")
             if depth > 0:
-                part = below.groupBy("v").agg(F.sum("dep").alias("dep"))
+                part = below.join(sources.select(F.col("src").alias("s"), "times"), "s").groupBy("v").agg(F.sum(F.col("dep") * F.col("times")).alias("dep"))
                 sums = part if sums is None else sums.unionByName(part)
     if sums is None:
         return nodes.select("id", F.lit(0.0).alias("score"))
@@ -181,6 +184,15 @@ def betweenness(nodes: DataFrame, edges: DataFrame, source_batches: int | None =
     return nodes.select("id").join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _alike_sources(links: DataFrame) -> DataFrame:
+    """src and times: the sources to start from, and how many sources each stands for, itself included."""
+    out = links.groupBy("src").agg(F.count("*").alias("n"))
+    alone = out.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").where(F.col("n") <= ALIKE_TARGETS).select("src")
+    sets = links.join(alone, "src", "left_semi").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("to"))
+    alike = sets.groupBy("to").agg(F.min("src").alias("src"), F.count("*").alias("times")).select("src", "times")
+    return alike.unionByName(out.select("src").join(alone, "src", "left_anti").withColumn("times", F.lit(1).cast("long")))
+
+
 def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Communities by neighbour majority (id, community).
 

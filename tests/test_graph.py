@@ -278,3 +278,34 @@ def test_build(spark):
     assert report.first().field_relationships == 1 and report.first().semantic_relationships == 2
     ids = [r.id for r in nodes.collect()]
     assert len(ids) == len(set(ids)) and {"field_g.csv_a", "p", "c"} <= set(ids)
+
+
+def test_sources_alike_are_worked_off_once(spark):
+    """Members that nothing leads to share one start; scores are those of all sources, with cycles and shared targets."""
+    rows = [(f"m{i}", t) for i in range(40) for t in (["hub"] if i % 2 else ["hub", "side"])] + [("hub", "top"), ("side", "top"), ("top", "end"), ("end", "hub"), ("lone", "top")]
+    edges = spark.createDataFrame([(a, b, "r", 1.0) for a, b in rows], "src string, dst string, relationship_type string, weight double")
+    nodes = GA.endpoints(edges)
+    starts = {r.src: r.times for r in GA._alike_sources(edges.select("src", "dst")).collect()}
+    assert len(starts) == 7 and sorted(starts.values()) == [1, 1, 1, 1, 1, 20, 20]
+    ids = sorted({x for e in rows for x in e})
+    near = {i: sorted({b for a, b in rows if a == i}) for i in ids}
+    want = dict.fromkeys(ids, 0.0)
+    for s in ids:  # Brandes
+        order, dist, paths, before = [s], {s: 0}, {s: 1.0}, {}
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0.0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+                    before.setdefault(w, []).append(v)
+        dep = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in before.get(w, []):
+                dep[v] += paths[v] / paths[w] * (1 + dep[w])
+            if w != s:
+                want[w] += dep[w] / ((len(ids) - 1) * (len(ids) - 2))
+    for batches in (None, 3):
+        got = {r.id: r.score for r in GA.betweenness(nodes, edges, batches).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in ids)
