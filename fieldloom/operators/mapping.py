@@ -235,14 +235,16 @@ def link_terms(mappings: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``mappings``: id, source_column, source_table, target_field. ``pages``: id, key_terms array.
     """
-    spelled = F.array_distinct(F.transform(
-        F.filter("key_terms", lambda t: ~is_blank(t)),
-        lambda t: F.struct(F.lower(strip(t)).alias("key"), t.alias("matched_term"))))
-    terms = spread(pages.select("id", "key_terms")).select(F.col("id").alias("dst"), F.inline(spelled))
-    keyed = mappings.where(~is_blank(F.col("source_column"))).withColumn("key", F.lower(strip(F.col("source_column"))))
-    # terms without a partner are gone before the one shuffle by mapping and page
-    found = keyed.join(terms, "key").groupBy(F.col("id").alias("src"), "dst", "source_column", "source_table", "target_field").agg(
-        F.min("matched_term").alias("matched_term"))
+    spelled = F.transform(F.filter("key_terms", lambda t: ~is_blank(t)), lambda t: F.struct(F.lower(strip(t)).alias("key"), t.alias("matched_term")))
+    # the least spelling of every key of a page row is found inside the row, so spellings do not multiply the rows of the shuffles
+    least = F.map_from_entries(F.transform(F.array_distinct(F.transform("spelled", lambda t: t["key"])), lambda k: F.struct(
+        k, F.array_min(F.transform(F.filter("spelled", lambda t: t["key"] == k), lambda t: t["matched_term"])))))
+    terms = spread(pages.select("id", "key_terms")).select(F.col("id").alias("dst"), spelled.alias("spelled")).select("dst", F.explode(least).alias("key", "matched_term"))
+    keyed = mappings.where(~is_blank(F.col("source_column"))).select(
+        F.col("id").alias("src"), F.lower(strip(F.col("source_column"))).alias("key"), "source_column", "source_table", "target_field").distinct()
+    # terms without a partner are gone before the one shuffle by key and page, and the wide columns of a mapping join after it
+    asked = terms.join(keyed.select("key").distinct(), "key", "left_semi").groupBy("key", "dst").agg(F.min("matched_term").alias("matched_term"))
+    found = asked.join(keyed, "key")
     return found.select(
         "src", "dst", F.lit("field_to_pdf_keyterm").alias("relationship_type"),
         F.lit(1.0).alias("weight"), F.lit(1.0).alias("confidence"),

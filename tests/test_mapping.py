@@ -126,3 +126,14 @@ def test_rows_are_dealt_to_every_core_and_headers_are_the_small_side(spark, tmp_
     assert made.count() == 20000 and made.where("relationship.source = 't.c77'").count() == 1
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "/headers-" in made.inputFiles()[0] + made.inputFiles()[-1] or "headers-" in plan
+
+
+def test_term_links_shuffle_terms_only_and_keep_the_least_spelling(spark):
+    sheet = spark.createDataFrame([("m1", "Fld_1", "t", "x"), ("m1", "Fld_1", "t", "x"), ("m2", " fld_1", None, "y"), ("m3", " ", "t", "z"), ("m4", "other", "t", "z")],
+                                  "id string, source_column string, source_table string, target_field string")
+    pages = spark.createDataFrame([("p1", ["fld_1", " FLD_1 ", None, " "]), ("p1", ["FLD_1", "no"]), ("p2", ["Fld_1", "Fld_1"]), (None, ["fld_1"]), ("p3", None)], "id string, key_terms array<string>")
+    made = MO.link_terms(sheet, pages)
+    want = [(m, p, t, w) for m, t in (("m1", "t"), ("m2", None)) for p, w in (("p1", " FLD_1 "), ("p2", "Fld_1"), (None, "fld_1"))]
+    assert sorted(str((r.src, r.dst, r.source_table, r.matched_term)) for r in made.collect()) == sorted(map(str, want))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [" in line and "matched_term" in line and "target_field" in line for line in plan.splitlines())
