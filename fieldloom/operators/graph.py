@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from fieldloom import constants as K
 from fieldloom.functions.numbering import number_rows
 from fieldloom.functions.text import fixed, preview
+from fieldloom.session import spread
 
+EDGE_BYTES = 8 << 20  # of edges, as the planner counts them, per task
 NO_ATTRS = "cast(map() as map<string,string>)"
 
 
@@ -128,9 +130,13 @@ def source_edges(documents: DataFrame):
 
 
 def consolidate(edges: DataFrame) -> DataFrame:
-    """One edge per unordered pair: the strongest (ties: smaller source), with its original count."""
+    """One edge per unordered pair: the strongest (ties: smaller source), with its original count.
+
+    Edges are dealt by pair to parts of bounded size first: texts make the aggregate sort, and Spark would join its small-looking
+    shuffle parts to one per core.
+    """
     weight = F.coalesce("weight", F.lit(0.0))
-    grouped = edges.groupBy(F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")).agg(
+    grouped = spread(edges, EDGE_BYTES, F.least("src", "dst"), F.greatest("src", "dst")).groupBy(F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")).agg(
         F.min_by(F.struct("src", "dst", "relationship_type", "weight"), F.struct(-weight, F.col("src"))).alias("e"),
         F.count("*").alias("original_count"))
     return grouped.select("e.*", (F.col("original_count") > 1).alias("consolidated"), "original_count")

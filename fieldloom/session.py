@@ -73,12 +73,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread(df: DataFrame, part_bytes: int = SPLIT_BYTES) -> DataFrame:
+def spread(df: DataFrame, part_bytes: int = SPLIT_BYTES, *by) -> DataFrame:
     """Give every core a share of a costly per-row step when the input has fewer splits than cores.
 
     Decided from the planner's size estimate, without running anything. Inputs of more splits than
     cores are left where they are, unless ``part_bytes`` asks for smaller parts than splits: for steps that
-    hold much more than they read, so that what a task holds does not grow with the input.
+    hold much more than they read, so that what a task holds does not grow with the input. ``by``: columns whose equal values stay together.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     bytes_in = estimated_bytes(df)
@@ -86,4 +86,4 @@ def spread(df: DataFrame, part_bytes: int = SPLIT_BYTES) -> DataFrame:
         return df
     if bytes_in >= UNKNOWN_BYTES:
         return df
-    return df.repartition(min(MOST_PARTS, max(cores, -(-bytes_in // part_bytes))))
+    return df.repartition(min(MOST_PARTS, max(cores, -(-bytes_in // part_bytes))), *by)

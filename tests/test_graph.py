@@ -309,3 +309,14 @@ def test_sources_alike_are_worked_off_once(spark):
     for batches in (None, 3):
         got = {r.id: r.score for r in GA.betweenness(nodes, edges, batches).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in ids)
+
+
+def test_edges_are_consolidated_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However small the shuffle looks, a task gets edges of one part only; pairs stay together."""
+    path = str(tmp_path / "edges")
+    spark.range(3000).select(F.concat(F.lit("n"), F.col("id") % 1500).alias("src"), F.concat(F.lit("m"), F.col("id") % 1500).alias("dst"), F.lit("r").alias("relationship_type"),
+                             (F.col("id") / 3000).alias("weight")).write.parquet(path)
+    monkeypatch.setattr(G, "EDGE_BYTES", 1024, raising=False)
+    made = G.consolidate(spark.read.parquet(path))
+    assert made.count() == 1500 and made.where("original_count = 2 and weight >= 0.5").count() == 1500
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
