@@ -10,8 +10,8 @@ picks and many bands are taken; texts of fewer than ``SHORT`` words, where a few
    in nearly all of them the smallest node is a near copy of both. Texts that failed - a crowd that shares a long passage, say - are sketched
    again with twice the picks, which a shared passage is ever less likely to fill, and twice the bands, until no pair fails. All steps are aggregations
    that combine before the shuffle, and joins whose skew Spark can split.
-   Last, the texts of a band that are still in different components meet pair by pair, in blocks of bounded size: a pair that agrees in a band and was
-   not tested is left out only where length or word parities rule it out, or where its two texts are linked through others already.
+   Last, the texts of bands that still hold different components meet by their rarest words, in blocks of bounded size: a pair that agrees in a band and was
+   not tested is left out only where its words or length rule it out, or where its two texts are linked through others already.
 3. A pair is linked if the word edit distance is at most (1 - ``similarity``) of the longer text.
 4. Linked nodes form components; the class of a document is the smallest doc_id of its component.
 
@@ -23,6 +23,7 @@ id has a null class_id. Other columns pass through ``keep_first`` and are not re
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import bit_table, codes_of, hash_strings, maybe_in, mix, pieces_of, slices, texts_of, unused
+from fieldloom.llm.line_dedup import frequencies
 from fieldloom.operators.graph_algorithms import components
 from fieldloom.session import materialise
 
@@ -38,7 +40,7 @@ WORDS, PICKS, BANDS, SIMILARITY = 5, 2, 64, 0.8
 SHORT, SHORT_WORDS = 50, 2
 SKETCHED = 1 << 15
 FEW, OFTEN = 32, 512
-PARITY_WORDS, ROWS, MEETING = 4, 2048, 1024  # numbers of 64 word parities per text, texts that take them at once, members of a band on either side of a block
+PARITY_WORDS, ROWS, MEETING = 4, 2048, 1024  # numbers of 64 word parities per text, texts that take them at once, rows of a word on either side of a block
 
 
 def labelled_kmers(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +116,10 @@ def band_keys(kmer: np.ndarray, heads: np.ndarray, size: np.ndarray, picks: int,
 
 def aligned(a: list, b: list, similarity: float) -> bool:
     """Is the word edit distance at most (1 - similarity) of the longer text?"""
-    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-    return abs(len(a) - len(b)) <= most and within(a, b, most)
+    longer = max(len(a), len(b))
+    most = int((1 - similarity) * longer + 1e-9)
+    # at most ``most`` words of the longer text have no partner: words are counted first, which costs little beside the distance
+    return abs(len(a) - len(b)) <= most and (Counter(a) & Counter(b)).total() >= longer - most and within(a, b, most)
 
 
 def within(a: list, b: list, most: int) -> bool:
@@ -235,10 +239,12 @@ def links(docs: DataFrame, words: int = WORDS, picks: int = PICKS, bands: int =
     return found.union(materialise(verified(rest, texts, similarity), "links"))
 
 
-def parities(texts: DataFrame) -> DataFrame:
-    """node, n_words and parity (the counts modulo 2 of the words in 64 * PARITY_WORDS hash buckets) of every text.
+def parities(texts: DataFrame, counts: np.ndarray | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """node, n_words, parity (the counts modulo 2 of the words in 64 * PARITY_WORDS hash buckets) and tokens of every text.
 
     Texts at edit distance d leave at most d words each without a partner, so parities that differ and the difference in length add up to at most 2 d.
+    Words carry their occurrence number and are put in order of rarity (``counts``: occurrences by hash bucket). ``tokens`` are the first ones: as many as
+    the text may leave without a partner, and one more, so that any two texts that align have one of these in common.
     """
     def count(batches):
         width = 64 * PARITY_WORDS
@@ -246,40 +252,74 @@ def parities(texts: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 for start in range(0, part.num_rows, ROWS):
                     few = part.slice(start, ROWS)
-                    tokens, owner = pieces_of(pc.utf8_split_whitespace(pc.utf8_lower(texts_of(few, "text"))))
-                    bits = np.zeros(few.num_rows * width, np.uint8)
-                    if len(tokens):
-                        code, names = codes_of(tokens)
-                        np.bitwise_xor.at(bits, owner * width + (hash_strings(names) % np.uint64(width)).astype(np.int64)[code], np.uint8(1))
+                    words, owner = pieces_of(pc.utf8_split_whitespace(pc.utf8_lower(texts_of(few, "text"))))
+                    bits, length = np.zeros(few.num_rows * width, np.uint8), np.bincount(owner, minlength=few.num_rows)
+                    token, head = np.empty(0, np.uint64), np.zeros(few.num_rows, np.int64)
+                    if len(words):
+                        code, names = codes_of(words)
+                        hashes = hash_strings(names)
+                        np.bitwise_xor.at(bits, owner * width + (hashes % np.uint64(width)).astype(np.int64)[code], np.uint8(1))
+                        often = np.zeros(len(hashes), np.uint32) if counts is None else counts[(hashes & np.uint64(len(counts) - 1)).astype(np.int64)]
+                        order = np.lexsort((code, owner))  # equal words of a text together
+                        code, own = code[order], owner[order]
+                        fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (own[1:] != own[:-1])])
+                        number = np.arange(len(code)) - np.maximum.accumulate(np.where(fresh, np.arange(len(code)), 0))
+                        token = mix(hashes[code] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                        token = token[np.lexsort((token, often[code], own))]
+                        head = np.minimum(np.floor((1 - similarity) * length + 1e-9).astype(np.int64) + 1, length)
+                        token = token[np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length) < np.repeat(head, length)]
                     parity = pa.ListArray.from_arrays(pa.array(np.arange(few.num_rows + 1, dtype=np.int32) * PARITY_WORDS), pa.array(np.packbits(bits).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([few.column(0), pa.array(np.bincount(owner, minlength=few.num_rows)), parity], ["node", "n_words", "parity"])
+                    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(head)]), pa.int32()), pa.array(token.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([few.column(0), pa.array(length), parity, tokens], ["node", "n_words", "parity", "tokens"])
 
-    return texts.select("node", "text").mapInArrow(count, "node binary, n_words long, parity array<bigint>")
+    return texts.select("node", "text").mapInArrow(count, "node binary, n_words long, parity array<bigint>, tokens array<bigint>")
 
 
 def apart(crowd: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a > b) of nodes that agree in a band, are in different components of ``found`` and may align by length and word parities.
+    """Pairs (a > b) of nodes that are in different components of ``found`` and may align by rare words, length and word parities: of those that agree in a
+    band, all such pairs.
 
-    Only bands with several components are open. Their members are dealt to blocks, and every two blocks of a band meet as one key of a join, where 64-bit
-    hashes stand for nodes and components.
+    Only texts of bands with several components are open. They meet by their rarest words (``tokens``), not by their bands: texts that share a passage
+    and little else agree in a band, but seldom in a rare word. The rows of a token are dealt to blocks, and every two blocks meet as one key of
+    a join; those of its largest component meet the others only. 64-bit hashes stand for nodes and components.
     """
     linked = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
     labels = components(linked, found.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), "component")
     member = materialise(crowd.join(labels, "node", "left").select("node", "band", F.xxhash64(F.coalesce("component", "node")).alias("component")), "members")
-    sizes = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    inside = materialise(member.join(sizes.select("band", F.ceil(F.col("n") / MEETING).cast("int").alias("blocks")), "band"), "members")
-    nodes = inside.select("node").distinct()
-    marks = materialise(parities(texts.join(nodes, "node", "left_semi")), "parities")
-    dealt = inside.join(marks, "node").select(
-        "band", "blocks", F.xxhash64("node").alias("id"), "component", F.col("n_words").cast("int").alias("n"), *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY_WORDS)])
-    dealt = dealt.withColumn("own", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
-    kept = ["id", "component", "n", *[f"p{k}" for k in range(PARITY_WORDS)]]
-    left = dealt.select("band", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"x_{c}") for c in kept])
-    right = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"y_{c}") for c in kept])
-    most = F.floor(F.lit(1 - similarity) * F.greatest("x_n", "y_n") + F.lit(1e-9))
+    several = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    nodes = materialise(member.join(several.select("band"), "band", "left_semi").select("node", "component").distinct(), "open")
+    marks = parities(texts.join(nodes, "node", "left_semi"), frequencies(texts), similarity).join(nodes, "node")
+    marks = materialise(marks.select(F.xxhash64("node").alias("id"), "component", F.col("n_words").cast("int").alias("n"),
+                                     *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY_WORDS)], "tokens"), "marks")
+    each = marks.select("component", F.explode("tokens").alias("token")).groupBy("token", "component").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
+    shared = materialise(sizes.select("token", "main", F.ceil((F.col("n") - F.col("most")) / MEETING).cast("int").alias("left"),
+                                      F.ceil(F.col("n") / MEETING).cast("int").alias("right")), "shared")
+    table, kept = bit_table(shared.select("token")), marks.columns[:-1]
+
+    def pick(batches):
+        for batch in batches:
+            tokens = batch.column(len(kept))
+            length = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            token, own = tokens.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(length)), length)
+            there = np.flatnonzero(maybe_in(table, token))
+            place = there - (np.cumsum(length) - length)[own[there]]
+            yield pa.RecordBatch.from_arrays([pa.array(token[there]), pa.array(place, pa.int32()), *[batch.column(i).take(pa.array(own[there])) for i in range(len(kept))]], ["token", "place", *kept])
+
+    schema = ", ".join(["token long", "place int", *[f"{c} {t}" for c, t in marks.dtypes[:-1]]])
+    dealt = marks.mapInArrow(pick, schema).join(shared, "token").withColumn("main", F.col("component") == F.col("main"))
+    own, kept = F.xxhash64("id"), ["place", *kept]
+    left = dealt.where("not main").select("token", F.pmod(own, F.col("left")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("j"),
+                                          *[F.col(c).alias(f"x_{c}") for c in kept])
+    right = dealt.select("token", F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("i"), F.pmod(own, F.col("right")).cast("int").alias("j"),
+                         "main", *[F.col(c).alias(f"y_{c}") for c in kept])
+    longer = F.greatest("x_n", "y_n")
+    most = F.floor(F.lit(1 - similarity) * longer + F.lit(1e-9))
     differ = sum((F.bit_count(F.col(f"x_p{k}").bitwiseXOR(F.col(f"y_p{k}"))) for k in range(PARITY_WORDS)), F.abs(F.col("x_n") - F.col("y_n")))
-    near = (F.col("x_component") != F.col("y_component")) & ((F.col("i") < F.col("j")) | (F.col("x_id") < F.col("y_id"))) & (differ <= 2 * most)
-    met = materialise(left.join(right, ["band", "i", "j"]).where(near).select(F.greatest("x_id", "y_id").alias("x"), F.least("x_id", "y_id").alias("y")).distinct(), "met")
+    # from the first token in common on, enough are left in both; the others of a pair may fail this
+    enough = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) >= longer - most
+    near = (F.col("x_component") != F.col("y_component")) & (F.col("main") | (F.col("x_id") < F.col("y_id"))) & enough & (differ <= 2 * most)
+    met = materialise(left.join(right, ["token", "i", "j"]).where(near).select(F.greatest("x_id", "y_id").alias("x"), F.least("x_id", "y_id").alias("y")).distinct(), "met")
     named = nodes.select("node", F.xxhash64("node").alias("id"))
     both = met.join(named.select(F.col("id").alias("x"), F.col("node").alias("nx")), "x").join(named.select(F.col("id").alias("y"), F.col("node").alias("ny")), "y")
     return both.select(F.greatest("nx", "ny").alias("a"), F.least("nx", "ny").alias("b")).distinct()
