@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldloom.operators.graph import both_ways, endpoints
-from fieldloom.session import Rounds, materialise
+from fieldloom.session import Rounds, bucketed, materialise, side
 
 SOURCES_PER_BATCH = 20_000
 ALIKE_TARGETS = 64
@@ -42,17 +42,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         roots = materialise(pointers.select("v", F.least("v", "w").alias("root")), "roots")
         while True:
             up = roots.select(F.col("v").alias("root"), F.col("root").alias("above"))
-            jumped = roots.join(up, "root", "left").select(
+            jumped = roots.join(side(up, roots), "root", "left").select(
                 "v", F.coalesce("above", "root").alias("root"), (F.col("above") < F.col("root")).alias("moved"))
             jumped = materialise(jumped, "roots")
             roots = jumped.drop("moved")
             if jumped.where("moved").isEmpty():
                 break
-        labels = materialise(labels.join(roots.withColumnRenamed("v", "component"), "component", "left").select(
+        labels = materialise(labels.join(side(roots.withColumnRenamed("v", "component"), roots), "component", "left").select(
             "id", F.coalesce("root", "component").alias("component")), "labels")
         a = roots.select(F.col("v").alias("a"), F.col("root").alias("ra"))
         b = roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
-        links = materialise(links.join(a, "a").join(b, "b").where("ra <> rb").select(
+        links = materialise(links.join(side(a, roots), "a").join(side(b, roots), "b").where("ra <> rb").select(
             F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
     return labels
 
@@ -226,7 +226,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int | None
 def _smallest_id(labels, column):
     """Name each community after its smallest id."""
     names = labels.groupBy(column).agg(F.min("id").alias("community"))
-    return labels.join(names, column).select("id", "community")
+    return labels.join(side(names, labels), column).select("id", "community")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
@@ -234,7 +234,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     weight = F.coalesce("weight", F.lit(1.0))
     a = labels.select(F.col("id").alias("src"), F.col("community").alias("ca"))
     b = labels.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-    placed = edges.join(a, "src").join(b, "dst").select(weight.alias("w"), "ca", "cb")
+    placed = edges.join(side(a, labels), "src").join(side(b, labels), "dst").select(weight.alias("w"), "ca", "cb")
     per = placed.select(F.inline(F.array(
         F.struct(F.col("ca").alias("c"), F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0).alias("inside"), F.col("w").alias("ends")),
         F.struct(F.col("cb").alias("c"), F.lit(0.0).alias("inside"), F.col("w").alias("ends")))))
@@ -250,7 +250,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, least_gain: float = 1e-6) -> Dat
 
     In one round half of the nodes (the halves take turns) may move to the neighbouring community
     with the largest gain; a round that lowers modularity is undone and ends the level. Modularity is at most one and every
-    level has to gain ``least_gain``, so there is no other bound.
+    level has to gain ``least_gain``, so there is no other bound. Node tables that are not small meet by shuffles, so the rounds send nothing that grows to the driver.
     """
     weight = F.coalesce("weight", F.lit(1.0))
     undirected = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(weight).alias("weight"))
@@ -270,21 +270,21 @@ def louvain(nodes: DataFrame, edges: DataFrame, least_gain: float = 1e-6) -> Dat
         links = neighbours.keep(loops.where("a <> b"))
         idle = False
         for turn in itertools.count():
-            strength = placed.join(degree, "id").groupBy("community").agg(F.sum("k").alias("total"))
-            towards = links.join(placed.select(F.col("id").alias("b"), "community"), "b").groupBy(
+            strength = placed.join(side(degree), "id").groupBy("community").agg(F.sum("k").alias("total"))
+            towards = links.join(side(placed.select(F.col("id").alias("b"), "community"), placed), "b").groupBy(
                 F.col("a").alias("id"), "community").agg(F.sum("weight").alias("w"))
-            here = placed.select("id", F.col("community").alias("own")).join(degree, "id")
+            here = placed.select("id", F.col("community").alias("own")).join(side(degree), "id")
             # staying is a candidate too, with no link inside the own community if none is listed
-            options = towards.join(here, "id").unionByName(
+            options = towards.join(side(here, placed), "id").unionByName(
                 here.select("id", F.col("own").alias("community"), F.lit(0.0).alias("w"), "own", "k"))
-            options = options.groupBy("id", "community", "own", "k").agg(F.sum("w").alias("w")).join(strength, "community")
+            options = options.groupBy("id", "community", "own", "k").agg(F.sum("w").alias("w")).join(side(strength, placed), "community")
             others = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
             scored = options.withColumn("gain", F.round(F.col("w") - others * F.col("k") / twice, 9))
             best = scored.groupBy("id").agg(
                 F.min_by("community", F.struct(-F.col("gain"), F.when(F.col("community") == F.col("own"), 0).otherwise(1), F.col("community"))).alias("choice"))
             due = F.pmod(F.xxhash64("id") + F.lit(turn), F.lit(2)) == 0
             seen = Observation("moves")
-            trial = placed.join(best, "id", "left").select(
+            trial = placed.join(side(best, placed), "id", "left").select(
                 "id", F.when(due, F.coalesce("choice", "community")).otherwise(F.col("community")).alias("community"),
                 (due & (F.col("choice") != F.col("community"))).alias("moved")).observe(seen, F.count_if("moved").alias("n"))
             trial = places.keep(trial).drop("moved")
@@ -301,11 +301,11 @@ def louvain(nodes: DataFrame, edges: DataFrame, least_gain: float = 1e-6) -> Dat
                 break
         if before - start < least_gain:
             break
-        mapping = mappings.keep(mapping.join(placed.select(F.col("id").alias("community"), F.col("community").alias("_new")), "community", "left")
+        mapping = mappings.keep(mapping.join(side(placed.select(F.col("id").alias("community"), F.col("community").alias("_new")), placed), "community", "left")
                                 .select("id", F.coalesce("_new", "community").alias("community")))
         a = placed.select(F.col("id").alias("src"), F.col("community").alias("ca"))
         b = placed.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-        graph = graphs.keep(graph.join(a, "src").join(b, "dst").groupBy(
+        graph = graphs.keep(graph.join(side(a, placed), "src").join(side(b, placed), "dst").groupBy(
             F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(F.sum("weight").alias("weight")))
     return _smallest_id(mapping.withColumnRenamed("community", "label"), "label")
 

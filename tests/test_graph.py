@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom import session
 from fieldloom.operators import graph as G
 from fieldloom.operators import graph_algorithms as GA
 from fieldloom.operators.build import build_graph
@@ -320,3 +321,16 @@ def test_edges_are_consolidated_in_parts_of_bounded_size(spark, tmp_path, monkey
     made = G.consolidate(spark.read.parquet(path))
     assert made.count() == 1500 and made.where("original_count = 2 and weight >= 0.5").count() == 1500
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
+
+
+def test_stored_tables_that_are_not_small_do_not_go_through_the_driver(spark, monkeypatch):
+    labels = session.materialise(spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "id string, label string"), "labels")
+
+    def plan():
+        named = GA._smallest_id(labels, "label")
+        assert sorted(map(tuple, named.collect())) == [("a", "a"), ("b", "a"), ("c", "c")]
+        return named._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastExchange" in plan()
+    monkeypatch.setattr(session, "SENT_BYTES", -1)
+    assert "BroadcastExchange" not in plan()
