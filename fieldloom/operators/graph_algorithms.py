@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldloom.operators.graph import both_ways, endpoints
-from fieldloom.session import Rounds, bucketed, materialise, side
+from fieldloom.session import Rounds, materialise, side
 
 SOURCES_PER_BATCH = 20_000
 ALIKE_TARGETS = 64

@@ -1,7 +1,6 @@
 """Scratch space, lineage cuts and size checks shared by all operators."""
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,19 +79,6 @@ def side(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
     return df.hint("merge") if estimated_bytes(df if like is None else like) > SENT_BYTES else df
 
 
-@contextmanager
-def bucketed(df: DataFrame, key: str, label: str):
-    """``df`` in the shared folder, dealt and sorted by ``key``: rounds of a loop that join it by ``key`` do not shuffle it again. For use inside the block."""
-    spark = df.sparkSession
-    name = f"fieldloom_{label}_{uuid.uuid4().hex}"
-    buckets = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(df) // SPLIT_BYTES)))
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, label)).saveAsTable(name)
-    try:
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE {name}")
-
-
 def spread(df: DataFrame, part_bytes: int = SPLIT_BYTES, *by) -> DataFrame:
     """Give every core a share of a costly per-row step when the input has fewer splits than cores.
 
