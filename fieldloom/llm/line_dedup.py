@@ -14,7 +14,7 @@ Lines are ordered by document id, a 64-bit hash of the whole text, and line numb
    one check a line, and no match is lost.
 
 Defined cases: null texts count as empty; lines without words are no lines: they are kept and match nothing; ids are integers, null ids come last; rows
-that share an id, or have none, are told apart by the hash of their text (``copy``), so only rows repeated with id and text tie: they are decided together and stay
+that share an id, or have none, are told apart by the hash of their text (``copy``; 0 for all where ids differ), so only rows repeated with id and text tie: they are decided together and stay
 alike; an empty table yields no rows. Other columns pass through ``without_repeats``; a text whose lines all go becomes empty, its row stays.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import codes_of, distinct, hash_strings, mix, pieces_of, slices, texts_of, unused
-from fieldloom.session import materialise
+from fieldloom.session import discard, materialise
 
 SIMILARITY, BUCKETS, CHUNK, BLOCK, LISTED = 0.8, 1 << 20, 1 << 14, 2000, 6
 LAST_ID = 2 ** 63 - 1
@@ -50,7 +50,10 @@ def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
-    """How often words of each hash bucket occur in all lines; summed by Spark as vectors of one size."""
+    """How often words of each hash bucket occur in all lines; summed by Spark as vectors of one size.
+
+    Every task sends a whole table, so there are two tasks a core at most: what is sent does not grow with the input.
+    """
     def count(batches):
         total = np.zeros(BUCKETS)
         for batch in batches:
@@ -61,7 +64,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
         chunks = total.reshape(-1, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(list(chunks), pa.list_(pa.float64()))], ["chunk", "counts"])
 
-    found = docs.select("text").mapInArrow(count, "chunk int, counts array<double>")
+    found = docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, "chunk int, counts array<double>")
     summed = found.groupBy("chunk").agg(vector_to_array(Summarizer.sum(array_to_vector("counts"))).alias("counts"))
     out = np.zeros((BUCKETS // CHUNK, CHUNK))
     for row in summed.toArrow().to_pylist():  # BUCKETS numbers in all
@@ -259,9 +262,10 @@ def asked_lines(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def matching(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The later lines (doc, copy, line) of the pairs whose word sets are similar, compared in full."""
+    """The later lines (doc, copy, line) of the pairs whose word sets are similar, compared in full; a stored table."""
     earlier = [F.col(w).alias(p) for w, p in zip(WITH, PLACE)]
-    lines = materialise(asked_lines(docs, materialise(pairs.select(*PLACE).union(pairs.select(*earlier)).distinct(), "asked")), "lines")
+    asked = materialise(pairs.select(*PLACE).union(pairs.select(*earlier)).distinct(), "asked")
+    lines = materialise(asked_lines(docs, asked), "lines")
 
     def verify(batches):
         for batch in batches:
@@ -276,7 +280,9 @@ def matching(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 
     early = lines.select(*[F.col(p).alias(w) for w, p in zip(WITH, PLACE)], F.col("text").alias("with_text"))
     both = pairs.join(lines, PLACE).join(early, WITH).select(*PLACE, "text", "with_text")
-    return both.mapInArrow(verify, "doc long, copy long, line int").distinct()
+    gone = materialise(both.mapInArrow(verify, "doc long, copy long, line int").distinct(), "matches")
+    discard(asked, lines)
+    return gone
 
 
 def id_order(column: str | Column) -> Column:
@@ -288,9 +294,15 @@ def text_key(column: str | Column) -> Column:
     return F.xxhash64(F.coalesce(column, F.lit("")))
 
 
-def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, copy, line) of every line with words that no earlier line matches; ``doc`` is the id, or LAST_ID for a null one, ``copy`` the hash of the text."""
-    plain = docs.select(id_order(id_col).alias("doc"), text_key(text_col).alias("copy"), F.coalesce(text_col, F.lit("")).alias("text"))
+def copy_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells the rows of one id apart: the hash of their text, or 0 where no two rows share an id (a hash does not compress, and every row of the join carries it)."""
+    shared = docs.select(id_order(id_col).alias("doc")).groupBy("doc").count().where("count > 1")
+    return F.lit(0).cast("long") if shared.isEmpty() else text_key(text_col)
+
+
+def kept_lines(docs: DataFrame, copy: Column, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, copy, line) of every line with words that no earlier line matches; ``doc`` is the id, or LAST_ID for a null one, ``copy`` that of ``copy_key``."""
+    plain = docs.select(id_order(id_col).alias("doc"), copy.alias("copy"), F.coalesce(text_col, F.lit("")).alias("text"))
     sets = line_sets(plain, frequencies(plain), similarity, block)
     first = F.min(F.struct(*PLACE, "size", "rare", "b1", "b2", "prefix")).alias("first")
     classes = materialise(sets.groupBy("c1", "c2").agg(first).select("first.*"), "line-classes")
@@ -299,14 +311,14 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLO
     pairs = found.groupBy(*PLACE, *WITH).agg(F.min("differ").alias("differ"), F.max("found").alias("found"))
     best = pairs.groupBy(*PLACE).agg(F.min(F.struct("differ", *WITH)).alias("best"), F.count("*").alias("listed"), F.max("found").alias("found"))
     best = materialise(best.select(*PLACE, *[f"best.{w}" for w in WITH], (F.col("listed") > 1).alias("more"), (F.col("found") > 1).alias("unlisted")), "best")
-    gone = materialise(matching(best, plain, similarity), "matches")
+    gone = matching(best, plain, similarity)
     key, both = PLACE, [*PLACE, *WITH]
     # lines whose closest candidate failed: the others listed, then those of crowds that were not listed
     open_ = materialise(best.where("more").join(gone, key, "left_anti").select(*PLACE, "unlisted"), "open")
     if not open_.isEmpty():
         tested = best.select(both)
         rest = materialise(pairs.join(open_, key, "left_semi").select(both).join(tested, both, "left_anti"), "rest")
-        gone = gone.union(materialise(matching(rest, plain, similarity), "matches"))
+        gone = gone.union(matching(rest, plain, similarity))
         open_ = materialise(open_.where("unlisted").join(gone, key, "left_anti").select(key), "open")
         if not open_.isEmpty():
             tokens = materialise(classes.join(open_, key, "left_semi").select(F.explode("prefix").alias("token")).distinct(), "tokens")
@@ -317,7 +329,8 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLO
 
             far = candidates(in_blocks(marked(rare), marked(frequent), block), similarity, every=True).select(both).distinct()
             far = materialise(far.join(tested.union(rest), both, "left_anti"), "rest")
-            gone = gone.union(materialise(matching(far, plain, similarity), "matches"))
+            gone = gone.union(matching(far, plain, similarity))
+    discard(found, best)
     return classes.select(*PLACE).join(gone, PLACE, "left_anti")
 
 
@@ -327,9 +340,10 @@ def has_words(line: Column) -> Column:
 
 def report(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, n_lines (with words), n_kept and the numbers of the kept lines, for every row of ``docs``."""
-    kept = kept_lines(docs, similarity, block).groupBy("doc", "copy").agg(F.sort_array(F.collect_set("line")).alias("kept"))
+    copy = copy_key(docs, "doc_id", "text")
+    kept = kept_lines(docs, copy, similarity, block).groupBy("doc", "copy").agg(F.sort_array(F.collect_set("line")).alias("kept"))
     parts = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), has_words).alias("worded")
-    rows = docs.select("doc_id", id_order("doc_id").alias("doc"), text_key("text").alias("copy"), parts).join(kept, ["doc", "copy"], "left")
+    rows = docs.select("doc_id", id_order("doc_id").alias("doc"), copy.alias("copy"), parts).join(kept, ["doc", "copy"], "left")
     own = F.filter(F.coalesce("kept", F.array().cast("array<int>")), lambda i: F.coalesce(F.get("worded", i), F.lit(False)))
     return rows.select("doc_id", F.size(F.filter("worded", lambda w: w)).alias("n_lines"), own.alias("kept_lines")).withColumn("n_kept", F.size("kept_lines"))
 
@@ -337,9 +351,10 @@ def report(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK)
 def without_repeats(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text",
                     chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with the removed lines taken out of the text, and ``n_chars`` adjusted where there is such a column."""
-    kept = kept_lines(docs, similarity, block, id_col, text_col).groupBy("doc", "copy").agg(F.collect_set("line").alias("lines"))
+    own = copy_key(docs, id_col, text_col)
+    kept = kept_lines(docs, own, similarity, block, id_col, text_col).groupBy("doc", "copy").agg(F.collect_set("line").alias("lines"))
     key, copy, lines = (unused(name, docs.columns) for name in ("doc_key", "text_key", "lines_kept"))
-    rows = (docs.withColumns({key: id_order(id_col), copy: text_key(text_col)})
+    rows = (docs.withColumns({key: id_order(id_col), copy: own})
             .join(kept.select(F.col("doc").alias(key), F.col("copy").alias(copy), F.col("lines").alias(lines)), [key, copy], "left")
             .select(*docs.columns, lines))
     text_at, blank = docs.columns.index(text_col), " \t\n\v\f\r"

@@ -124,3 +124,22 @@ def test_rows_that_share_an_id(spark, doc):
     assert sorted(r.text for r in line_dedup.without_repeats(docs).collect()) == want
     assert sum(t.count("u") for t in want) == 13 and sum("c0" in t for t in want) == 1  # own lines stay, copies of the common line go
     assert sum(r.n_kept for r in line_dedup.report(docs).collect()) == sum(len(t.split("\n")) for t in want)
+
+
+def test_rows_of_the_join_carry_no_hash_where_ids_differ(spark):
+    """The hash that tells rows of one id apart fills the shuffles, so it is there only if an id repeats."""
+    rows = [(1, "a b c d e\nf g"), (2, "a b c d e x"), (None, "f g")]
+
+    def copies(more):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        kept = line_dedup.kept_lines(docs, line_dedup.copy_key(docs, "doc_id", "text"))
+        return {r["copy"] for r in kept.collect()}, {(r.doc_id, i) for r in line_dedup.report(docs).collect() for i in r.kept_lines}
+
+    plain, lines = copies([])
+    assert plain == {0} and lines == brute(rows)
+    assert 0 not in copies([(None, "another text")])[0] and len(copies([(1, "z z")])[0]) == 2
+
+
+def test_word_counts_of_many_tasks(spark):
+    docs = spark.createDataFrame([("a b a",), ("a\nc",), (None,), ("",)], "text string").repartition(40)
+    assert sorted(n for n in line_dedup.frequencies(docs).tolist() if n) == [1, 1, 3]
