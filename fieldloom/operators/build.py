@@ -9,7 +9,7 @@ from fieldloom.operators import graph as G
 from fieldloom.operators.documents import document_nodes, long_texts
 from fieldloom.operators.responses import pair_reviews
 from fieldloom.operators.similarity import copy_edges, field_similarities, similar_pairs
-from fieldloom.session import materialise
+from fieldloom.session import materialise, spread
 
 
 def build_graph(documents: DataFrame, vectors: DataFrame, threshold=K.CONTENT_SIMILARITY, mapping_nodes=None,
@@ -50,7 +50,9 @@ def build_graph(documents: DataFrame, vectors: DataFrame, threshold=K.CONTENT_SI
     for at, one in enumerate(edges):
         one = one.withColumn("_at", F.lit(at))
         listed = one if listed is None else listed.unionByName(one)
-    single = listed.groupBy("src", "dst").agg(F.max_by(
+    # stored, so that its size is known: the planner's guess for the joins above is their product; then dealt to parts of bounded size
+    listed = materialise(listed, "listed")
+    single = spread(listed, G.EDGE_BYTES, "src", "dst").groupBy("src", "dst").agg(F.max_by(
         F.struct("relationship_type", "weight"), F.struct("_at", "weight", "relationship_type")).alias("e")).select("src", "dst", "e.*")
     kept = materialise(G.optimise(single), "edges")
     all_nodes = nodes[0]

@@ -281,6 +281,16 @@ def test_build(spark):
     assert len(ids) == len(set(ids)) and {"field_g.csv_a", "p", "c"} <= set(ids)
 
 
+def test_build_deals_edges_by_their_true_size(spark, monkeypatch):
+    """The planner guesses the size of the joins before as a product, by which a few edges would be dealt to thousands of tasks."""
+    seen = []
+    for module in ("build", "graph"):
+        monkeypatch.setattr(f"fieldloom.operators.{module}.spread", lambda df, *by: seen.append(session.estimated_bytes(df)) or session.spread(df, *by), raising=False)
+    v = spark.createDataFrame([("p", [1.0, 0.0]), ("p_1", [1.0, 0.0]), ("p_2", [0.9, 0.1]), ("c", [0.0, 1.0])], "id string, embedding array<double>")
+    build_graph(docs(spark), v, 0.7, model_edges=spark.createDataFrame([("c", "p", "ai_x", 0.9)], EDGE))
+    assert len(seen) == 2 and max(seen) < 1 << 20
+
+
 def test_sources_alike_are_worked_off_once(spark):
     """Members that nothing leads to share one start; scores are those of all sources, with cycles and shared targets."""
     rows = [(f"m{i}", t) for i in range(40) for t in (["hub"] if i % 2 else ["hub", "side"])] + [("hub", "top"), ("side", "top"), ("top", "end"), ("end", "hub"), ("lone", "top")]
