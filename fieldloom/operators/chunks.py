@@ -111,15 +111,16 @@ def chunk_pages(chunks_df: DataFrame, pages: DataFrame) -> DataFrame:
     words = F.split("sample", r"(?U)\s+")
     # the outer words of a head may be cut: only words between two blanks are whole
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    # written once: heads are small beside the chunks they were cut from
-    wanted = materialise(wanted.withColumn("_inner", inner).withColumn("_short", F.size("_inner") == 0), "heads")
+    # written once: heads are small beside the chunks they were cut from; a number stands for a head where its words are dealt out one by one
+    wanted = materialise(wanted.withColumn("_inner", inner).withColumn("_short", F.size("_inner") == 0).withColumn("_head", F.monotonically_increasing_id()), "heads")
     size = F.length("sample")
     runs = F.when(size >= 3, _grams(F.col("sample"), 3)).when(size == 2, F.array("sample")).when(size == 1, F.array("sample"))
-    asked = wanted.where(size > 0).select("source_file", "sample", F.explode(
+    asked = wanted.where(size > 0).select("source_file", "_head", F.explode(
         F.when(F.col("_short"), _keys("letters", runs)).otherwise(_keys("word", F.col("_inner")))).alias("key"))
 
     page = [F.col("source_file"), F.col("page"), F.xxhash64("text").alias("_text")]
-    unique = pages.groupBy("source_file", "text").agg(F.min("page_number").alias("page"))
+    # stored, as it is read for words, letters and texts, and no reader has to shuffle the texts again
+    unique = materialise(pages.groupBy("source_file", "text").agg(F.min("page_number").alias("page")), "pages")
     word_keys = unique.select(*page, F.explode(_keys("word", F.split("text", r"(?U)\s+"))).alias("key"))
     # runs of letters only where a short head asks for them
     with_short = unique.join(wanted.where("_short").select("source_file").distinct(), "source_file", "left_semi")
@@ -128,8 +129,9 @@ def chunk_pages(chunks_df: DataFrame, pages: DataFrame) -> DataFrame:
     # keys nobody asks for are gone before anything is counted
     offered = word_keys.unionByName(letter_keys).join(asked.select("source_file", "key").distinct(), ["source_file", "key"], "left_semi")
     held_by = offered.groupBy("source_file", "key").agg(F.count("*").alias("_pages"))
-    rarest = asked.join(held_by, ["source_file", "key"], "left").groupBy("source_file", "sample").agg(
+    rarest = asked.join(held_by, ["source_file", "key"], "left").groupBy("source_file", "_head").agg(
         F.min_by("key", F.struct(F.coalesce("_pages", F.lit(0)), "key")).alias("key"))
+    rarest = rarest.join(wanted.select("_head", "sample"), "_head")
     # keys lead to page numbers; page texts are fetched for these candidates only
     candidates = rarest.join(offered, ["source_file", "key"]).select("source_file", "sample", "page", "_text")
     texts = unique.select(*page, "text")

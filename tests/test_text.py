@@ -111,6 +111,16 @@ def test_page_description(spark):
     assert got[1] == "Page 7: " + "r" * 200 + "..."
 
 
+def test_chunk_pages_deal_numbers_not_heads(spark, monkeypatch):
+    """The words of heads and pages are dealt out one by one, so heads are numbered and unique pages stored before."""
+    stored, inner = {}, CH.materialise
+    monkeypatch.setattr(CH, "materialise", lambda df, label: stored.setdefault(label, inner(df, label)))
+    pages = spark.createDataFrame([("f", 1, "a b c d"), ("f", 2, "a b c d"), ("f", 3, "c d e f")], "source_file string, page_number int, text string")
+    made = spark.createDataFrame([("f", 0, "b c d"), ("f", 1, "d e f"), ("f", 2, "b c d")], "source_file string, chunk_id int, chunk string")
+    assert {r.chunk_id: r.pages for r in CH.chunk_pages(made, pages).collect()} == {0: [1], 1: [3], 2: [1]}
+    assert stored["heads"].select("_head").distinct().count() == 2 and stored["pages"].count() == 2
+
+
 def test_chunk_pages_brute_force(spark):
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
