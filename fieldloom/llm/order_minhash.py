@@ -39,7 +39,8 @@ WORDS, PICKS, BANDS, SIMILARITY = 5, 2, 64, 0.8
 SHORT, SHORT_WORDS = 50, 2
 SKETCHED = 1 << 15
 FEW, OFTEN = 32, 512
-PARITY_WORDS, ROWS, MEETING = 4, 2048, 1024  # numbers of 64 word parities per text, texts that take them at once, members of a band on either side of a block
+EDITS = 12
+PARITY_WORDS, ROWS, MEETING, TILE = 32, 1024, 1024, 64  # numbers of 64 word parities per text, texts that take them at once, members of a block, and how many of them meet another block at once
 
 
 def labelled_kmers(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +119,32 @@ def aligned(a: list, b: list, similarity: float) -> bool:
     longer = max(len(a), len(b))
     most = int((1 - similarity) * longer + 1e-9)
     # at most ``most`` words of the longer text have no partner: words are counted first, which costs little beside the distance
-    return abs(len(a) - len(b)) <= most and (Counter(a) & Counter(b)).total() >= longer - most and within(a, b, most)
+    return abs(len(a) - len(b)) <= most and (Counter(a) & Counter(b)).total() >= longer - most and near(a, b, most)
+
+
+def near(a: list, b: list, most: int) -> bool:
+    """Edit distance at most ``most``? Near copies mostly differ in few words, which is soon found out; the band decides the others."""
+    return few_edits(a, b, min(most, EDITS)) or (most > EDITS and within(a, b, most))
+
+
+def few_edits(a: list, b: list, most: int) -> bool:
+    """Edit distance at most ``most``? On each diagonal the row that so many edits can reach at the furthest; time grows with the length and the square of ``most``."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return False
+    reach: dict = {}
+    for edits in range(most + 1):
+        further = {}
+        for k in range(-min(edits, n), min(edits, m) + 1):
+            # a word of ``a`` changed or left out, or one of ``b`` put in
+            i = min(max(reach.get(k, -2) + 1, reach.get(k + 1, -2) + 1, reach.get(k - 1, -2)), n, m - k) if edits else 0
+            while i < n and i + k < m and a[i] == b[i + k]:
+                i += 1
+            further[k] = i
+        if further.get(m - n) == n:
+            return True
+        reach = further
+    return False
 
 
 def within(a: list, b: list, most: int) -> bool:
@@ -178,16 +204,35 @@ def band_table(docs: DataFrame, words: int = WORDS, picks: int = PICKS, bands: i
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), digest("text").alias("node")).mapInArrow(sketch, "node binary, bands array<bigint>")
 
 
+def alike(left: pa.Array, right: pa.Array, similarity: float) -> np.ndarray:
+    """Which texts of ``left`` align with the one beside them? Words are numbers; those in common are counted for all pairs at once."""
+    n = len(left)
+    tokens, owner = pieces_of(pc.utf8_split_whitespace(pc.utf8_lower(pa.concat_arrays([left, right]))))
+    if len(tokens) == 0:
+        return np.ones(n, bool)
+    code, names = codes_of(tokens)
+    starts = np.searchsorted(owner, np.arange(2 * n + 1))
+    size = np.diff(starts).reshape(2, n)
+    longer = size.max(axis=0)
+    most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    key = owner % n * len(names) + code
+    (mine, times), (other, often) = (np.unique(side, return_counts=True) for side in (key[:starts[n]], key[starts[n]:]))
+    both, x, y = np.intersect1d(mine, other, assume_unique=True, return_indices=True)
+    common = np.bincount(both // len(names), weights=np.minimum(times[x], often[y]), minlength=n)
+    good = common >= longer - most
+    for i in np.flatnonzero(good):
+        a, b = (code[starts[k]:starts[k + 1]].tolist() for k in (i, n + i))
+        good[i] = near(a, b, int(most[i]))
+    return good
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts align; ``texts`` has one row per node."""
     def verify(batches):
         for batch in batches:
-            words = [pc.utf8_split_whitespace(pc.utf8_lower(batch.column(i))) for i in (2, 3)]
-            good = []
-            for i in range(batch.num_rows):
-                a, b = ([w for w in side[i].as_py() if w] for side in words)
-                good.append(aligned(a, b, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for part in slices(batch, "text_a"):
+                for one in slices(part, "text_b"):
+                    yield one.select(["a", "b"]).filter(pa.array(alike(texts_of(one, "text_a"), texts_of(one, "text_b"), similarity), pa.bool_()))
 
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b"))
@@ -238,10 +283,11 @@ def links(docs: DataFrame, words: int = WORDS, picks: int = PICKS, bands: int =
     return found.union(materialise(verified(rest, texts, similarity), "links"))
 
 
-def parities(texts: DataFrame) -> DataFrame:
+def parities(texts: DataFrame, numbered: bool = False) -> DataFrame:
     """node, n_words and parity (the counts modulo 2 of the words in 64 * PARITY_WORDS hash buckets) of every text.
 
     Texts at edit distance d leave at most d words each without a partner, so parities that differ and the difference in length add up to at most 2 d.
+    With ``numbered`` each occurrence of a word is a word of its own, so that counts which differ by two show as well.
     """
     def count(batches):
         width = 64 * PARITY_WORDS
@@ -253,7 +299,13 @@ def parities(texts: DataFrame) -> DataFrame:
                     bits = np.zeros(few.num_rows * width, np.uint8)
                     if len(tokens):
                         code, names = codes_of(tokens)
-                        np.bitwise_xor.at(bits, owner * width + (hash_strings(names) % np.uint64(width)).astype(np.int64)[code], np.uint8(1))
+                        word = hash_strings(names)[code]
+                        if numbered:
+                            order = np.argsort(owner * len(names) + code, kind="stable")
+                            fresh = np.concatenate([[True], (code[order][1:] != code[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
+                            number = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+                            word[order] = mix(word[order] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                        np.bitwise_xor.at(bits, owner * width + (word % np.uint64(width)).astype(np.int64), np.uint8(1))
                     parity = pa.ListArray.from_arrays(pa.array(np.arange(few.num_rows + 1, dtype=np.int32) * PARITY_WORDS), pa.array(np.packbits(bits).view(np.int64)))
                     yield pa.RecordBatch.from_arrays([few.column(0), pa.array(np.bincount(owner, minlength=few.num_rows)), parity], ["node", "n_words", "parity"])
 
@@ -263,29 +315,66 @@ def parities(texts: DataFrame) -> DataFrame:
 def apart(crowd: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a > b) of nodes that agree in a band, are in different components of ``found`` and may align by length and word parities.
 
-    Only bands with several components are open. Their members are dealt to blocks, and every two blocks of a band meet as one key of a join, where 64-bit
-    hashes stand for nodes and components.
+    Only bands with several components are open. Their members are dealt to blocks, and a task takes the members of two blocks of a band (or of one); only pairs that
+    may align leave it.
     """
     linked = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
     labels = components(linked, found.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), "component")
     member = materialise(crowd.join(labels, "node", "left").select("node", "band", F.xxhash64(F.coalesce("component", "node")).alias("component")), "members")
     sizes = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
     inside = materialise(member.join(sizes.select("band", F.ceil(F.col("n") / MEETING).cast("int").alias("blocks")), "band"), "members")
-    nodes = inside.select("node").distinct()
-    marks = materialise(parities(texts.join(nodes, "node", "left_semi")), "parities")
-    dealt = inside.join(marks, "node").select(
-        "band", "blocks", F.xxhash64("node").alias("id"), "component", F.col("n_words").cast("int").alias("n"), *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY_WORDS)])
-    dealt = dealt.withColumn("own", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
-    kept = ["id", "component", "n", *[f"p{k}" for k in range(PARITY_WORDS)]]
-    left = dealt.select("band", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"x_{c}") for c in kept])
-    right = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"y_{c}") for c in kept])
-    most = F.floor(F.lit(1 - similarity) * F.greatest("x_n", "y_n") + F.lit(1e-9))
-    differ = sum((F.bit_count(F.col(f"x_p{k}").bitwiseXOR(F.col(f"y_p{k}"))) for k in range(PARITY_WORDS)), F.abs(F.col("x_n") - F.col("y_n")))
-    near = (F.col("x_component") != F.col("y_component")) & ((F.col("i") < F.col("j")) | (F.col("x_id") < F.col("y_id"))) & (differ <= 2 * most)
-    met = materialise(left.join(right, ["band", "i", "j"]).where(near).select(F.greatest("x_id", "y_id").alias("x"), F.least("x_id", "y_id").alias("y")).distinct(), "met")
-    named = nodes.select("node", F.xxhash64("node").alias("id"))
-    both = met.join(named.select(F.col("id").alias("x"), F.col("node").alias("nx")), "x").join(named.select(F.col("id").alias("y"), F.col("node").alias("ny")), "y")
-    return both.select(F.greatest("nx", "ny").alias("a"), F.least("nx", "ny").alias("b")).distinct()
+    marks = materialise(parities(texts.join(inside.select("node").distinct(), "node", "left_semi"), numbered=True), "parities")
+    dealt = inside.join(marks, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", F.col("n_words").cast("int").alias("n"), "parity")
+
+    def meet(batches):
+        held = None
+        for batch in batches:
+            held = pa.concat_batches([held, batch]) if held is not None else batch
+            keys = np.stack([held.column(k).to_numpy() for k in range(3)])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if held.num_rows else np.zeros(1, np.int64)
+            if starts[-1]:
+                yield may_align(held.slice(0, starts[-1]), starts, similarity)
+            held = held.slice(starts[-1])  # its rows may go on in the next batch
+        if held is not None and held.num_rows:
+            yield may_align(held, np.array([0, held.num_rows]), similarity)
+
+    return met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(meet, "a binary, b binary").distinct()
+
+
+def may_align(rows: pa.RecordBatch, starts: np.ndarray, similarity: float) -> pa.RecordBatch:
+    """Pairs (a > b) of different components in each group of ``rows`` (band, i, j, own, node, component, n, parity) that length and parities allow; with two blocks, of one from each."""
+    own, component, n = (rows.column(k).to_numpy() for k in (3, 5, 6))
+    parity = rows.column(7).flatten().to_numpy().view(np.uint64).reshape(rows.num_rows, -1)
+    one_block = rows.column(1).to_numpy() == rows.column(2).to_numpy()
+    first, second = [], []
+    for start, end in zip(starts[:-1], starts[1:]):
+        if one_block[start]:
+            left = right = np.arange(start, end)
+        else:
+            left, right = (start + np.flatnonzero((own[start:end] == own[start]) == same) for same in (True, False))
+        for at in range(0, len(left), TILE):
+            x = left[at:at + TILE]
+            y = right[at:] if one_block[start] else right
+            fits = component[x][:, None] != component[y]
+            if one_block[start]:
+                fits &= x[:, None] < y
+            i, j = np.nonzero(fits)
+            x, y = x[i], y[j]
+            most = ((1 - similarity) * np.maximum(n[x], n[y]) + 1e-9).astype(np.int64)
+            differ = np.abs(n[x] - n[y]).astype(np.int64)
+            for k in range(parity.shape[1]):  # most pairs are out after a few words
+                some = differ <= 2 * most
+                x, y, most, differ = x[some], y[some], most[some], differ[some]
+                differ += np.bitwise_count(parity[x, k] ^ parity[y, k])
+            some = differ <= 2 * most
+            first.append(x[some])
+            second.append(y[some])
+    x, y = (np.concatenate([np.empty(0, np.int64), *part]) for part in (first, second))
+    node = rows.column(4)
+    a, b = node.take(pa.array(x)), node.take(pa.array(y))
+    swap = pc.less(a, b)
+    return pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b)], ["a", "b"])
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, picks: int = PICKS, bands: int = BANDS, similarity: float = SIMILARITY,

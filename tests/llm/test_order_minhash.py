@@ -213,3 +213,47 @@ def test_texts_without_enough_words_in_common_are_not_aligned(monkeypatch):
     base = [f"w{i}" for i in range(100)]
     assert not om.aligned(base, [*base[:79], *["x"] * 21], .8) and not om.aligned(["x"] * 10, ["x"] * 7 + ["y"] * 3, .8) and not asked
     assert om.aligned(base, [*base[:80], *["x"] * 20], .8) and len(asked) == 1
+
+
+def test_few_edits_and_texts_beside_each_other_align_as_by_distance():
+    draw, left, right, want = random.Random(8), ["", "", " "], ["", "a", "\n"], [True, False, True]
+    for _ in range(400):
+        a = [draw.choice("abcde") for _ in range(draw.randint(1, 40))]
+        b = list(a) if draw.random() < .7 else [draw.choice("abcde") for _ in range(draw.randint(1, 40))]
+        for spot in draw.sample(range(len(b)), min(len(b), draw.randint(0, 6))):
+            b[spot:spot + 1] = draw.choice([[], ["x"], ["y", b[spot] if spot < len(b) else "z"]])
+        true = distance(a, b)
+        assert all(om.few_edits(a, b, most) == (true <= most) for most in (0, 1, 2, 5, om.EDITS, 40))
+        left.append(" ".join(a))
+        right.append("  ".join(b).upper())
+        want.append(true <= int(.2 * max(len(a), len(b)) + 1e-9))
+    assert om.alike(pa.array(left), pa.array(right), .8).tolist() == want
+
+
+def test_a_crowd_that_shares_words_but_not_enough_leaves_no_pair(spark):
+    """Texts of 400 words with a passage of 280 in common: about 120 words each have no partner, 80 may."""
+    draw = random.Random(6)
+    passage = [f"p{draw.randrange(10 ** 9)}" for _ in range(280)]
+    texts = [" ".join(passage + [f"q{draw.randrange(10 ** 9)}" for _ in range(120)]) for _ in range(30)]
+    texts += [" ".join(["often"] * (200 + 80 * n) + passage[:100]) for n in range(3)]  # counts of one word that differ by even numbers
+    nodes = [hashlib.md5(t.encode()).digest() for t in texts]
+    stored = spark.createDataFrame(list(zip(map(bytearray, nodes), texts)), "node binary, text string")
+    crowd = stored.select("node", F.lit(1).cast("long").alias("band"))
+    assert om.apart(crowd, stored, spark.createDataFrame([], "a binary, b binary"), .8).count() <= 1  # of the last three, the two longest: 80 of 460 words
+
+
+def test_groups_that_go_on_in_the_next_batch_meet_whole(spark):
+    draw = random.Random(9)
+    base = [f"w{draw.randrange(10 ** 9)}" for _ in range(40)]
+    texts = [" ".join([*base, f"n{n}"]) for n in range(25)]
+    nodes = sorted(hashlib.md5(t.encode()).digest() for t in texts)
+    stored = spark.createDataFrame([(bytearray(hashlib.md5(t.encode()).digest()), t) for t in texts], "node binary, text string")
+    crowd = stored.select("node", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("band"))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 7)
+    try:
+        rows = om.apart(crowd, stored, spark.createDataFrame([], "a binary, b binary"), .8).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert sorted((bytes(r.a), bytes(r.b)) for r in rows) == sorted((x, y) for x in nodes for y in nodes if x > y)
