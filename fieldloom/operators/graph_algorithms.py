@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldloom.operators.graph import both_ways, endpoints
-from fieldloom.session import Rounds, materialise, side
+from fieldloom.session import Rounds, bucketed, materialise, side
 
 SOURCES_PER_BATCH = 20_000
 ALIKE_TARGETS = 64
@@ -66,37 +66,38 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping=0.85, max_iter=None, to
     """Weighted PageRank with dangling mass spread evenly.
 
     Stops when the summed change falls below n * tol, which the damping brings about; a ``max_iter`` that is reached
-    before raises. ``iterations`` asks for a fixed number of rounds instead. Edge shares are computed once and only the
-    ranks change from round to round; the dangling mass of a round is observed while its ranks are written.
+    before raises. ``iterations`` asks for a fixed number of rounds instead. The edges are stored once, in buckets by source, so
+    a round shuffles ranks and what flows into nodes, not the edges; the dangling mass of a round is observed while its ranks are written.
     """
     total = nodes.count()
     if total == 0:
         return nodes.select("id", F.lit(0.0).alias("score"))
-    weight = F.coalesce("weight", F.lit(1.0))
-    out = edges.groupBy("src").agg(F.sum(weight).alias("_out")).where("_out > 0")
-    shares = materialise(edges.join(out, "src").select("src", "dst", (weight / F.col("_out")).alias("share")), "shares")
+    links, forget = bucketed(edges.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight")), "src", "shares")
+    out = links.groupBy("src").agg(F.sum("weight").alias("_out")).where("_out > 0")
     rounds = Rounds(nodes.sparkSession, "ranks")
-    state = rounds.keep(nodes.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("_linked")), "id", "left")
-                        .select("id", F.coalesce("_linked", F.lit(False)).alias("linked"), F.lit(1.0 / total).alias("score"), F.lit(0.0).alias("_old")))
-    dangling = state.where(~F.col("linked")).count() / total
+    state = rounds.keep(nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left")
+                        .select("id", "_out", F.lit(1.0 / total).alias("score"), F.lit(0.0).alias("_old")))
+    dangling = state.where("_out IS NULL").count() / total
     for turn in itertools.count():
         if turn == iterations:
             break
         if iterations is None and turn == max_iter:
+            forget()
             raise RuntimeError(f"PageRank has not settled within {max_iter} rounds")
-        flow = shares.join(state.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(
-            F.sum(F.col("share") * F.col("score")).alias("flow"))
+        flow = links.join(state.where("_out IS NOT NULL").select(F.col("id").alias("src"), "_out", "score"), "src").groupBy("dst").agg(
+            F.sum(F.col("weight") / F.col("_out") * F.col("score")).alias("flow"))
         base = (1.0 - damping) / total + damping * dangling / total
         new = state.join(flow, state["id"] == flow["dst"], "left").select(
-            "id", "linked", (F.lit(base) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"),
+            "id", "_out", (F.lit(base) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"),
             F.col("score").alias("_old"))
         seen = Observation("round")
         state = rounds.keep(new.observe(
             seen, F.sum(F.abs(F.col("score") - F.col("_old"))).alias("change"),
-            F.coalesce(F.sum(F.when(~F.col("linked"), F.col("score"))), F.lit(0.0)).alias("dangling")))
+            F.coalesce(F.sum(F.when(F.col("_out").isNull(), F.col("score"))), F.lit(0.0)).alias("dangling")))
         dangling = seen.get["dangling"]
         if iterations is None and seen.get["change"] < total * tol:
             break
+    forget()
     return state.select("id", "score")
 
 

@@ -1,6 +1,7 @@
 """Scratch space, lineage cuts and size checks shared by all operators."""
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,20 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> tuple[DataFrame, Callable[[], object]]:
+    """``df`` stored in the shared folder in buckets by ``key``, so that joins and aggregations by it need not shuffle it again, and a call that takes its name out of the session's tables.
+
+    One task writes a bucket, and one task reads it; all rows of a key are in one bucket.
+    """
+    spark, size = df.sparkSession, estimated_bytes(df)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) if size >= UNKNOWN_BYTES else -(-size // SPLIT_BYTES)
+    parts = min(MOST_PARTS, max(spark.sparkContext.defaultParallelism, parts))
+    path = scratch_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(name)
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def discard(*frames: DataFrame) -> None:
     """Free the scratch tables behind frames that ``materialise`` returned, once nothing reads them any more."""
     for df in frames:

@@ -250,6 +250,19 @@ def test_loops_raise_at_a_bound_and_keep_two_rounds(spark):
     assert sum(len(glob.glob(f"{m}/[01]")) for m in made) == 2 and len(made) == 2
 
 
+def test_pagerank_rounds_shuffle_no_edges(spark):
+    """Edges in buckets by source meet the ranks without an exchange of their own, and no table is left behind."""
+    edges = edges_of(spark, [(str(i), str(i * 7 % 50), 1.0 + i % 3) for i in range(200)])
+    links, forget = session.bucketed(edges.select("src", "dst", "weight"), "src", "shares")
+    ranks = spark.range(200).select(F.col("id").cast("string").alias("src"), F.lit(1.0).alias("score"))
+    plan = links.join(ranks.hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert sorted(map(tuple, links.collect())) == sorted(map(tuple, edges.select("src", "dst", "weight").collect()))
+    forget()
+    before = len(spark.catalog.listTables())
+    GA.pagerank(nodes_of(spark, [str(i) for i in range(50)]), edges, iterations=2)
+    assert len(spark.catalog.listTables()) == before
+
 
 DOC = "doc_id string, type string, source_file string, content string, parent_document string, metadata map<string,string>"
 
