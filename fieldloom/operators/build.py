@@ -8,30 +8,38 @@ from fieldloom.functions.text import entity_list
 from fieldloom.operators import graph as G
 from fieldloom.operators.documents import document_nodes, long_texts
 from fieldloom.operators.responses import pair_reviews
-from fieldloom.operators.similarity import copy_edges, field_similarities, similar_pairs
+from fieldloom.operators.similarity import copy_edges, every_similar_pair, field_similarities, similar_pairs
 from fieldloom.session import materialise, spread
 
 
 def build_graph(documents: DataFrame, vectors: DataFrame, threshold=K.CONTENT_SIMILARITY, mapping_nodes=None,
-                mapping_edges=None, fields=None, model_edges=None):
+                mapping_edges=None, fields=None, model_edges=None, every_pair=False):
     """Nodes, optimised edges and the per-type breakdown of a document table.
 
     ``vectors``: id, embedding of documents. ``fields``: source_file, field, embedding of CSV
     columns. ``mapping_*``: node and edge versions of mapping rows. ``model_edges``: accepted
     relations between documents (src, dst, relationship_type, weight).
 
-    Documents that share one vector are joined through the first of them.
+    ``every_pair``: all pairs of documents and of fields that reach the threshold; without it, those
+    that share one vector are joined through the first of them.
     """
     base = document_nodes(documents).withColumn("seq", F.col("id"))
-    pairs, copies = similar_pairs(vectors, threshold)
+    if every_pair:
+        similar = every_similar_pair(vectors, threshold)
+    else:
+        pairs, copies = similar_pairs(vectors, threshold)
+        similar = pairs.unionByName(copy_edges(copies))
     plain = ["src", "dst", "relationship_type", "weight"]
-    edges = [G.similarity_edges(pairs.unionByName(copy_edges(copies))).select(*plain), G.contains_edges(documents).select(*plain)]
+    edges = [G.similarity_edges(similar).select(*plain), G.contains_edges(documents).select(*plain)]
     source_nodes, source_of = G.source_edges(documents)
     edges.append(source_of.select(*plain))
     nodes = [base.select("id", "node_type", "attrs"), source_nodes]
     if fields is not None:
-        field_pairs, field_copies = field_similarities(fields, threshold)
-        both = field_pairs.unionByName(copy_edges(field_copies, ["source_file"]))
+        if every_pair:
+            both = field_similarities(fields, threshold, every_similar_pair)
+        else:
+            field_pairs, field_copies = field_similarities(fields, threshold)
+            both = field_pairs.unionByName(copy_edges(field_copies, ["source_file"]))
         a, b = G.field_node_id(F.col("source_file"), F.col("id_a")), G.field_node_id(F.col("source_file"), F.col("id_b"))
         found = materialise(both.select(a.alias("src"), b.alias("dst"), "source_file", "id_a", "id_b", "similarity"), "fields")
         edges.append(found.select("src", "dst", F.lit("field_similarity").alias("relationship_type"), F.col("similarity").alias("weight")))

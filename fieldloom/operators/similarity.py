@@ -16,6 +16,7 @@ UNITS_PER_CORE = 6
 MAX_PIVOTS = 128
 MAX_BLOCK_BYTES = 32 << 20  # vectors of one block of a similarity join
 TILE = 2048
+COPIES = 4096               # ids of one vector on one side of a part of their pairs
 SLACK = 1e-9                # keeps rounding from losing a pair at a partition border
 
 
@@ -176,7 +177,6 @@ def similar_pairs(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), b
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     within = list(within)
-    spark = vectors.sparkSession
     keyed = vectors.where("embedding is not null").select(*within, "id", "embedding")
     members = keyed.withColumn("_h", F.xxhash64("embedding"))
     distinct = members.groupBy(*within, "_h", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("_copies"))
@@ -184,7 +184,46 @@ def similar_pairs(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), b
     reps = distinct.where("_copies > 1").select(
         *within, "_h", "embedding", F.col("id").alias("rep"))
     copies = members.join(reps, [*within, "_h", "embedding"]).where("id <> rep").select(*within, "rep", "id")
+    return _pairs_of(distinct, threshold, within, block_rows, pivots), copies
 
+
+def every_similar_pair(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), block_rows=None, pivots=None) -> DataFrame:
+    """All pairs of ids with cosine similarity at or above ``threshold``, copies among them (within.., id_a < id_b, similarity); exact.
+
+    The join of ``similar_pairs`` compares each distinct vector once, under a number of its own. Its pairs are then listed for all
+    ids that hold one of the two vectors, and the ids of one vector pair among themselves, in parts of ``COPIES`` ids a side.
+    A vector of zeros is similar to nothing, its copies neither.
+    """
+    within = list(within)
+    rows = vectors.dropna(subset=[*within, "id"]).where("embedding is not null").select(
+        *within, F.col("id").alias("row"), "embedding", F.xxhash64("embedding").alias("_h"))
+    # stored before it is read, so a number stays with its vector
+    distinct = materialise(rows.groupBy(*within, "_h", "embedding").agg(F.min("row").alias("row"), F.count("*").alias("_copies"))
+                           .withColumn("id", F.monotonically_increasing_id()), "vectors")
+    pairs = _pairs_of(distinct, threshold, within, block_rows, pivots)
+    crowds = distinct.where("_copies > 1")
+    square = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    alike = materialise(rows.join(crowds.drop("row"), [*within, "_h", "embedding"]).select(
+        *within, "id", "row", "_copies", ((square > 0) & ~F.isnan(square)).alias("_directed")).distinct(), "copies")
+    holders = materialise(distinct.where("_copies = 1").select("id", "row").unionByName(alike.select("id", "row")), "holders")
+    x, y = F.least("row_a", "row_b"), F.greatest("row_a", "row_b")
+    across = pairs.join(holders.select(F.col("id").alias("id_a"), F.col("row").alias("row_a")), "id_a").join(
+        holders.select(F.col("id").alias("id_b"), F.col("row").alias("row_b")), "id_b").where("row_a <> row_b").select(
+        *within, x.alias("id_a"), y.alias("id_b"), "similarity")
+    parts = F.ceil(F.col("_copies") / COPIES).cast("int")
+    crowd = alike.where("_directed").withColumn("_parts", parts)
+    one = crowd.select(*within, "id", F.col("row").alias("row_a"), F.pmod(F.xxhash64("row"), F.col("_parts")).cast("int").alias("_part"))
+    other = crowd.select("id", F.col("row").alias("row_b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    among = one.join(other, ["id", "_part"]).where("row_a < row_b").select(
+        *within, F.col("row_a").alias("id_a"), F.col("row_b").alias("id_b"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(among)
+
+
+def _pairs_of(distinct: DataFrame, threshold, within, block_rows, pivots) -> DataFrame:
+    """The join of ``similar_pairs``; ``distinct``: within.., id, embedding and its hash _h, a row per vector, stored."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    spark = distinct.sparkSession
     total = distinct.count()
     wanted = pivots if pivots is not None else min(MAX_PIVOTS, max(1, total // 8192))
     # a fixed number of pivot vectors, spread by hash
@@ -198,8 +237,8 @@ def similar_pairs(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), b
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + SLACK
     gaps = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
 
-    columns = [f"{k} {dict(vectors.dtypes)[k]}" for k in within]
-    id_type = dict(vectors.dtypes)["id"]
+    columns = [f"{k} {dict(distinct.dtypes)[k]}" for k in within]
+    id_type = dict(distinct.dtypes)["id"]
 
     def assign(frames):
         for frame in frames:
@@ -281,9 +320,8 @@ def similar_pairs(vectors: DataFrame, threshold=CONTENT_SIMILARITY, within=(), b
         out["similarity"] = sims
         return pd.DataFrame(out)
 
-    pairs = units.groupBy(*within, "part", "l", "r").applyInPandas(
+    return units.groupBy(*within, "part", "l", "r").applyInPandas(
         compare, ", ".join([*columns, f"id_a {id_type}", f"id_b {id_type}", "similarity double"]))
-    return pairs, copies
 
 
 def content_relationships(vectors: DataFrame, threshold=CONTENT_SIMILARITY, **options):
@@ -291,10 +329,10 @@ def content_relationships(vectors: DataFrame, threshold=CONTENT_SIMILARITY, **op
     return similar_pairs(vectors, threshold, **options)
 
 
-def field_similarities(fields: DataFrame, threshold=FIELD_SIMILARITY, **options):
+def field_similarities(fields: DataFrame, threshold=FIELD_SIMILARITY, find=similar_pairs, **options):
     """Similar field names inside each source file; ``fields``: source_file, field, embedding."""
     named = fields.select("source_file", F.col("field").alias("id"), "embedding")
-    return similar_pairs(named, threshold, within=["source_file"], pivots=1, **options)
+    return find(named, threshold, within=["source_file"], pivots=1, **options)
 
 
 def copy_edges(copies: DataFrame, within=()) -> DataFrame:

@@ -268,15 +268,15 @@ def gr9(spark, sf_dir):
 
 
 def _built(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doc_"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("id"), "embedding", "label")
-    docs = B.documents(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("doc_"), F.lpad(F.col("row_number").cast("string"), 9, "0")))
+    v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doc_"), F.lpad(F.col("vec_id").cast("string"), 19, "0")).alias("id"), "embedding", "label")
+    docs = B.documents(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("doc_"), F.lpad(F.col("row_number").cast("string"), 19, "0")))
     n = F.col("row_number")
-    docs = docs.withColumn("parent_document", F.when(n % 10 != 0, F.concat(F.lit("doc_"), F.lpad((n - n % 10).cast("string"), 9, "0"))))
+    docs = docs.withColumn("parent_document", F.when(n % 10 != 0, F.concat(F.lit("doc_"), F.lpad((n - n % 10).cast("string"), 19, "0"))))
     fields = v.select(F.concat(F.lit("sheet_"), F.col("label").cast("string")).alias("source_file"), F.col("id").alias("field"), "embedding")
     mapping_nodes, mapping_edges = mapping_graph(B.mappings(spark, sf_dir))
-    said = docs.where(n % 10 == 5).select(F.col("doc_id").alias("src"), F.concat(F.lit("doc_"), F.lpad((n + 1).cast("string"), 9, "0")).alias("dst"),
+    said = docs.where(n % 10 == 5).select(F.col("doc_id").alias("src"), F.concat(F.lit("doc_"), F.lpad((n + 1).cast("string"), 19, "0")).alias("dst"),
                                           F.lit("ai_conceptual").alias("relationship_type"), F.lit(0.75).alias("weight"))
-    return build_graph(docs, v.select("id", "embedding"), 0.35, mapping_nodes, mapping_edges, fields, said)
+    return build_graph(docs, v.select("id", "embedding"), 0.35, mapping_nodes, mapping_edges, fields, said, every_pair=True)
 
 
 BUILT = f"""WITH {B.D}, {B.ME}, {B.C}, sem AS (SELECT a.id, b.id AS ib, list_cosine_similarity(a.e, b.e) AS w FROM c a JOIN c b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.35),

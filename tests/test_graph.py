@@ -294,6 +294,37 @@ def test_build(spark):
     assert len(ids) == len(set(ids)) and {"field_g.csv_a", "p", "c"} <= set(ids)
 
 
+def test_build_of_every_pair(spark):
+    """Documents and fields that share a vector meet all that it is similar to, not only the first of them."""
+    v = spark.createDataFrame([("p", [1.0, 0.0]), ("p_1", [1.0, 0.0]), ("p_2", [0.9, 0.1]), ("c", [0.9, 0.1])], "id string, embedding array<double>")
+    fields = spark.createDataFrame([("g.csv", x, [1.0, y]) for x, y in (("a", 0.0), ("b", 0.1), ("c", 0.0), ("d", 0.0))], "source_file string, field string, embedding array<double>")
+    nodes, edges, report = build_graph(docs(spark), v, 0.7, fields=fields, every_pair=True)
+    found = {(r.src, r.dst) for r in edges.collect() if r.relationship_type in ("semantic_similarity", "field_similarity")}
+    assert found == {("c", "p"), ("c", "p_1"), ("c", "p_2"), ("p", "p_2"), ("p_1", "p_2")} | {
+        (f"field_g.csv_{a}", f"field_g.csv_{b}") for a, b in ("ab", "ac", "ad", "bc", "bd", "cd")}
+    assert report.first().semantic_relationships == 6 and report.first().field_relationships == 6
+    assert nodes.where("node_type = 'field'").count() == 4
+
+
+@pytest.mark.parametrize("first", [0, 1_999_999_990])
+def test_graph_report_counts_pairs_of_copies_as_the_sql_does(spark, tmp_path, first):
+    import __spark_entry__ as entry
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(12, 4)).astype(np.float32)[[*range(12), 3, 3, 3, 5, 11, 11]]
+    tables = {
+        "embeddings": spark.createDataFrame([(first + i, v.tolist(), i % 2) for i, v in enumerate(m)], "vec_id bigint, embedding array<float>, label int"),
+        "documents": spark.createDataFrame([(first + i, f"text {i}", "en", f"s{i % 3}", 6) for i in range(10)], "doc_id bigint, text string, lang string, source string, n_chars bigint"),
+        "part": spark.createDataFrame([(i, f"part {i}", f"Brand#{i % 2}", "TYPE", i + 1, 1.0) for i in range(4)], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")}
+    db = duckdb.connect()
+    for name, rows in tables.items():
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = db.execute(entry.oracle_sql()["gr11_graph_report"]).fetchall()
+    assert [tuple(r) for r in entry.queries()["gr11_graph_report"](spark, str(tmp_path)).collect()] == want
+
+
 def test_build_deals_edges_by_their_true_size(spark, monkeypatch):
     """The planner guesses the size of the joins before as a product, by which a few edges would be dealt to thousands of tasks."""
     seen = []

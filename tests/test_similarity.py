@@ -54,6 +54,25 @@ def test_pairs_against_brute_force(spark, threshold, pivots, block):
     assert all(abs(r.similarity - sims[r.id_a, r.id_b]) < 1e-9 for r in rows)
 
 
+@pytest.mark.parametrize("parts,pivots,block", [(4096, 1, 2048), (3, 6, 16)])
+def test_every_pair_lists_the_copies_too(spark, monkeypatch, parts, pivots, block):
+    """Copies pair with all that their vector is similar to; zeros and ids that are null pair with nothing, rows that come twice count once."""
+    monkeypatch.setattr(SI, "COPIES", parts, raising=False)
+    m = made()
+    m[-3:] = 0
+    groups = ["a" if i % 3 else "b" for i in range(len(m))]
+    rows = [(i, [float(x) for x in v], groups[i]) for i, v in enumerate(m)]
+    vectors = spark.createDataFrame(rows + rows[38:44] + [(None, rows[0][1], "a"), (7, rows[50][1], "a"), (3, None, "a"), (5, rows[0][1], None)], "id bigint, embedding array<double>, grp string")
+    held = [(i, v, g) for i, v, g in rows] + [(7, rows[50][1], "a")]
+    sims = unit(np.array([v for _, v, _ in held])) @ unit(np.array([v for _, v, _ in held])).T
+    for within, alike in (([], lambda a, b: True), (["grp"], lambda a, b: a == b)):
+        given = vectors if within else vectors.where("grp is not null")
+        got = SI.every_similar_pair(given, 0.7, within=within, pivots=pivots, block_rows=block).collect()
+        want = sorted((a, b) for i, (a, _, g) in enumerate(held) for j, (b, _, h) in enumerate(held) if a < b and alike(g, h) and sims[i, j] >= 0.7)
+        assert sorted((r.id_a, r.id_b) for r in got) == want
+        assert all(0.7 <= r.similarity <= 1 + 1e-9 for r in got)
+
+
 def test_pairs_inside_groups(spark):
     m = made(60)
     groups = ["a" if i % 3 else "b" for i in range(60)]
